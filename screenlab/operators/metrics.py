@@ -162,3 +162,44 @@ def ranking_from_table(table: DataFrame, by: Sequence[str], score: str) -> DataF
             F.when(both, F.try_divide(F.col("_ap"), F.col("n_pos"))).alias("auprc"),
         )
     )
+
+
+def effect_size(df: DataFrame, by: Sequence[str], value: str, label: str) -> DataFrame:
+    """Mann-Whitney U / (n m), group means, and the two-sided normal p-value."""
+    table = score_table(df, by, value, label)
+    ties = F.col("n").cast("double")
+    per = table.groupBy(*by).agg(
+        F.sum(ties * ties * ties - ties).alias("_t"),
+        F.try_divide(F.sum(F.col(value) * F.col("pos")), F.sum("pos")).alias("mean_hit"),
+        F.try_divide(
+            F.sum(F.col(value) * (F.col("n") - F.col("pos"))), F.sum(F.col("n") - F.col("pos"))
+        ).alias("mean_rest"),
+    )
+    ranked = ranking_from_table(table, by, value)
+    a = F.col("n_pos").cast("double")
+    b = (F.col("n") - F.col("n_pos")).cast("double")
+    n = F.col("n").cast("double")
+    sd = F.sqrt(a * b / 12.0 * ((n + 1.0) - F.try_divide(F.col("_t"), n * (n - 1.0))))
+    z = F.try_divide(F.abs(F.col("auroc") * a * b - a * b / 2.0) - 0.5, sd)
+    joined = null_safe_join(ranked, per, by)
+    return joined.select(
+        *by,
+        "n",
+        "n_pos",
+        "auroc",
+        "mean_hit",
+        "mean_rest",
+        normal_two_sided(F.greatest(z, F.lit(0.0))).alias("p_value"),
+    )
+
+
+def normal_two_sided(z: Column) -> Column:
+    """2 (1 - Phi(z)) for z >= 0, by the rational erfc fit of Abramowitz and Stegun 7.1.26."""
+    # The published coefficients.
+    a1, a2, a3, a4, a5, p = (
+        0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429, 0.3275911,
+    )
+    x = z / F.lit(2.0**0.5)
+    t = F.lit(1.0) / (F.lit(1.0) + x * p)
+    poly = ((((t * a5 + a4) * t + a3) * t + a2) * t + a1) * t
+    return poly * F.exp(-x * x)

@@ -9,23 +9,7 @@ from screenlab.operators.metrics import ranking_metrics
 from screenlab.operators.screen import leave_one_out
 from screenlab.plans import roles
 from screenlab.plans.registry import query, round_all
-
-AP_AUROC = """
-, ap_scores AS (SELECT {by}, score, count(*) AS n_s, sum(label) AS pos_s
-  FROM {source} GROUP BY {by}, score)
-, ap_run AS (SELECT *, sum(n_s) OVER w AS cn, sum(pos_s) OVER w AS cp,
-    sum(n_s) OVER (PARTITION BY {by}) AS tn, sum(pos_s) OVER (PARTITION BY {by}) AS tp
-  FROM ap_scores WINDOW w AS (PARTITION BY {by} ORDER BY score DESC
-    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-, ap_out AS (SELECT {by}, CAST(max(tn) AS BIGINT) AS n, CAST(max(tp) AS BIGINT) AS n_pos,
-    CASE WHEN max(tp) > 0 AND max(tp) < max(tn) THEN
-      sum(pos_s * ((tn - tp - (cn - cp)) + (n_s - pos_s) / 2e0)) / (max(tp) * (max(tn) - max(tp)))
-    END AS auroc,
-    CASE WHEN max(tp) > 0 AND max(tp) < max(tn) THEN
-      sum(pos_s * (cp / cn)) / max(tp) END AS auprc
-  FROM ap_run GROUP BY {by})
-"""
-
+from screenlab.plans.sqltext import ap_auroc
 
 def held_out_priors(spark: SparkSession, sf: str) -> DataFrame:
     gene = roles.gene(spark, sf)
@@ -44,7 +28,7 @@ def held_out_priors(spark: SparkSession, sf: str) -> DataFrame:
   FROM gene a LEFT JOIN gene b ON a.target = b.target AND a.cell <> b.cell
   GROUP BY a.target, a.cell, a.label)
 """
-    + AP_AUROC.format(by="cell", source="other")
+    + ap_auroc("other", "cell")
     + """
 SELECT cell, n, n_pos, round(auroc, 6) AS auroc, round(auprc, 6) AS auprc FROM ap_out
 """,
