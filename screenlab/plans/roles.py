@@ -38,7 +38,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def seqs(spark: SparkSession, sf: str) -> DataFrame:
-    dna = F.regexp_replace(F.translate("text", _LETTERS, _AS_BASES), "[^ACGT]", "N")
+    """Letters become bases, digits N; everything else is dropped."""
+    kept = F.regexp_replace("text", "[^A-Za-z0-9]", "")
+    dna = F.translate(kept, _LETTERS + "0123456789", _AS_BASES + "N" * 10)
     return table(spark, sf, "documents").select(F.col("doc_id").alias("target"), dna.alias("seq"))
 
 
@@ -220,7 +222,8 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "seqs": (
         (),
         f"""SELECT doc_id AS target,
-          regexp_replace(translate(text, '{_LETTERS}', '{_AS_BASES}'), '[^ACGT]', 'N', 'g') AS seq
+          translate(regexp_replace(text, '[^A-Za-z0-9]', '', 'g'),
+            '{_LETTERS}0123456789', '{_AS_BASES}NNNNNNNNNN') AS seq
         FROM documents""",
     ),
     "guides": (
