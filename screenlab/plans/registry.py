@@ -28,11 +28,11 @@ def query(name: str, sql: str | None = None, roles: tuple[str, ...] = ()):
     return add
 
 
-def rounded(col: Column | str, digits: int = 6) -> Column:
+def rounded(col: Column | str, digits: int = 9) -> Column:
     """Round and turn -0.0 into 0.0, so that equal results print equally."""
     col = F.col(col) if isinstance(col, str) else col
     return F.round(col.cast("double"), digits) + F.lit(0.0)
 
 
-def round_all(df: DataFrame, names: list[str], digits: int = 6) -> DataFrame:
+def round_all(df: DataFrame, names: list[str], digits: int = 9) -> DataFrame:
     return df.withColumns({n: rounded(n, digits) for n in names})

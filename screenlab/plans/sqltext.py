@@ -47,5 +47,5 @@ def corr(x: str, y: str) -> str:
     )
 
 
-def r(expr: str, name: str, digits: int = 6) -> str:
+def r(expr: str, name: str, digits: int = 9) -> str:
     return f"round({expr}, {digits}) + 0e0 AS {name}"
