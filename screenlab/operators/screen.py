@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenlab import schema
+from screenlab.functions import maths as fm
+from screenlab.operators.metrics import guarded_corr
+from screenlab.operators.ordered import quantiles
 
 
 def hit(p: str = "p", fc: str = "fc") -> Column:
@@ -70,3 +73,321 @@ def leave_one_out(
             built["std"] = F.sqrt(F.try_divide(square, F.col("sources")))
         out += [built[s].alias(f"{v}_{s}") for s in stats]
     return df.select("*", rest.alias("sources"), *parts).select(*df.columns, "sources", *out)
+
+
+OUTCOMES = ("label", "strength", "depletion", "effect")
+
+
+def with_outcomes(df: DataFrame) -> DataFrame:
+    """Add strength, depletion and effect to rows with p and fc."""
+    return df.select(
+        "*",
+        fm.strength(F.col("p")).alias("strength"),
+        (-F.col("fc")).alias("depletion"),
+        fm.effect(F.col("fc")).alias("effect"),
+    )
+
+
+def outcome_column(target: str) -> Column:
+    """The column a model is trained on: label, strength, depletion or effect."""
+    if target not in OUTCOMES:
+        raise KeyError(f"unknown target {target!r}, have {list(OUTCOMES)}")
+    return F.col(target)
+
+
+def cross_cell_priors(df: DataFrame, held_out: str | None = None) -> DataFrame:
+    """Outcomes of the same target in other cells, never the row's own or the held-out one.
+
+    Rows of the held-out cell get their priors from all other cells; the other
+    rows from the training cells without their own.
+    """
+    rows = with_outcomes(df)
+    if held_out is None:
+        return leave_one_out(rows, "target", "cell", OUTCOMES)
+    train = rows.where(F.col("cell") != held_out)
+    inner = leave_one_out(train, "target", "cell", OUTCOMES)
+    names = [f"{o}_{s}" for o in OUTCOMES for s in ("mean", "max", "min", "std")]
+    whole = training_priors(train, ("mean", "max", "min", "std"))
+    outer = rows.where(F.col("cell") == held_out).join(whole, "target", "left")
+    return inner.select("target", "cell", *names).unionByName(
+        outer.select("target", "cell", *names)
+    )
+
+
+_STATS = {"mean": F.avg, "max": F.max, "min": F.min, "std": F.stddev_pop}
+
+
+def training_priors(train: DataFrame, stats: Sequence[str] = ("mean", "max")) -> DataFrame:
+    """Per target statistics of the four outcomes over the training rows."""
+    return train.groupBy("target").agg(
+        *[
+            _STATS[s](F.col(o).cast("double")).alias(f"{o}_{s}")
+            for o in OUTCOMES
+            for s in stats
+        ]
+    )
+
+
+def source_pivot(df: DataFrame, cells: Sequence[str], held_out: str | None = None) -> DataFrame:
+    """Each allowed source cell's outcomes in columns of their own, per row.
+
+    The target's cells are pivoted once; a row's own cell and the held-out cell
+    are blanked to "not available".
+    """
+    rows = with_outcomes(df)
+    wide = (
+        rows.where(F.col("cell") != held_out if held_out else F.lit(True))
+        .groupBy("target")
+        .pivot("cell", list(cells))
+        .agg(
+            F.max(F.lit(1.0)).alias("available"),
+            *[F.max(F.col(o).cast("double")).alias(o) for o in OUTCOMES],
+        )
+    )
+    out = []
+    for c in cells:
+        for m in ("available", *OUTCOMES):
+            own = F.col("cell") == c
+            value = F.coalesce(F.col(f"{c}_{m}"), F.lit(0.0))
+            out.append(F.when(own, F.lit(0.0)).otherwise(value).alias(f"source_{c}_{m}"))
+    return df.select("target", "cell").join(wide, "target", "left").select("target", "cell", *out)
+
+
+# ---- closed-form scorers ----------------------------------------------------------
+
+def _strength() -> Column:
+    return fm.signed_log_p(F.col("p"), F.col("fc"))
+
+
+SCORERS = {
+    "neg_mean_fc": lambda: -F.avg("fc"),
+    "neg_min_fc": lambda: -F.min("fc"),
+    "neg_max_fc": lambda: -F.max("fc"),
+    "neg_median_fc": lambda: -F.median("fc"),
+    "hit_count": lambda: F.sum("label").cast("double"),
+    "mean_signed_logp": lambda: F.avg(_strength()),
+    "max_signed_logp": lambda: F.max(_strength()),
+    "mean_fc_logp": lambda: F.avg(-F.col("fc") * -F.log10(F.greatest("p", F.lit(schema.P_FLOOR)))),
+}
+
+
+def gene_scores(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """Closed-form scores per target, by name, over the rows given (one per cell)."""
+    names = list(SCORERS) if names is None else list(names)
+    return df.groupBy("target").agg(*[SCORERS[n]().alias(n) for n in names])
+
+
+def outcome_summary(df: DataFrame) -> DataFrame:
+    """Prior summary with the fold-change range."""
+    return df.groupBy("target").agg(
+        F.avg("fc").alias("fc_mean"),
+        F.min("fc").alias("fc_min"),
+        F.max("fc").alias("fc_max"),
+        F.stddev_pop("fc").alias("fc_std"),
+        (F.max("fc") - F.min("fc")).alias("fc_range"),
+        F.sum("label").alias("hits"),
+        F.avg(_strength()).alias("logp_mean"),
+        F.max(_strength()).alias("logp_max"),
+    )
+
+
+def baseline_submission(train: DataFrame, keys: DataFrame) -> DataFrame:
+    """-mean(fc) over the training rows, 0.0 for an unseen target, six decimals."""
+    mean = train.groupBy("target").agg(F.avg("fc").alias("_m"))
+    return keys.join(mean, "target", "left").select(
+        *keys.columns,
+        (F.round(F.coalesce(-F.col("_m"), F.lit(0.0)), 6) + F.lit(0.0)).alias("y_pred_proba"),
+    )
+
+
+def wide_cells(df: DataFrame, cells: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """One row per target with ``<cell>_<value>`` columns."""
+    aggs = [
+        F.max(F.when(F.col("cell") == c, F.col(v))).alias(f"{c}_{v}")
+        for c in cells
+        for v in values
+    ]
+    return df.groupBy("target").agg(*aggs)
+
+
+def hit_overlaps(df: DataFrame, cells: Sequence[str]) -> DataFrame:
+    """Jaccard of the hit sets of every ordered pair of cells.
+
+    Counted from one wide row per target; targets are not joined to themselves.
+    """
+    wide = wide_cells(df, cells, ["label"])
+    aggs = []
+    for a in cells:
+        for b in cells:
+            x, y = F.coalesce(f"{a}_label", F.lit(0)) == 1, F.coalesce(f"{b}_label", F.lit(0)) == 1
+            aggs.append(
+                F.struct(
+                    F.lit(a).alias("cell_a"),
+                    F.lit(b).alias("cell_b"),
+                    F.count_if(x & y).alias("shared"),
+                    F.count_if(x | y).alias("joint"),
+                ).alias(f"{a}|{b}")
+            )
+    one = wide.agg(*aggs)
+    return (
+        one.select(F.explode(F.array(*[F.col(f"`{c}`") for c in one.columns])).alias("x"))
+        .select("x.*")
+        .withColumn("jaccard", F.col("shared") / F.greatest("joint", F.lit(1)))
+    )
+
+
+def pair_rows(df: DataFrame, cells: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """For each target, its values in every ordered pair of different cells that has both."""
+    wide = wide_cells(df, cells, values)
+    pairs = [
+        F.struct(
+            F.lit(a).alias("source"),
+            F.lit(b).alias("cell"),
+            *[F.col(f"{a}_{v}").alias(f"source_{v}") for v in values],
+            *[F.col(f"{b}_{v}").alias(v) for v in values],
+        )
+        for a in cells
+        for b in cells
+        if a != b
+    ]
+    first = values[0]
+    return (
+        wide.select("target", F.explode(F.array(*pairs)).alias("x"))
+        .select("target", "x.*")
+        .where(F.col(f"source_{first}").isNotNull() & F.col(first).isNotNull())
+    )
+
+
+# ---- guide outcomes ----------------------------------------------------------------
+
+GUIDE_STATS = (
+    "depletion_mean",
+    "depletion_median",
+    "depletion_max",
+    "depletion_min",
+    "depletion_std",
+    "depletion_q75",
+    "mean_depletion_mean",
+    "mean_depletion_median",
+    "mean_depletion_max",
+    "mean_depletion_std",
+    "fraction_depleted",
+    "fraction_depleted_0p5",
+    "fraction_depleted_1p0",
+    "fraction_both_reps_depleted",
+    "fraction_both_reps_depleted_0p5",
+    "replicate_correlation",
+    "mean_replicate_abs_difference",
+    "guide_count",
+)
+
+
+def guide_outcomes(df: DataFrame, scale: float = 1.0) -> DataFrame:
+    """Eighteen statistics per (cell, target) from guides with two replicates.
+
+    ``scale`` multiplies the fixed thresholds 0.5 and 1.0.  A target whose guides
+    all lack a finite replicate keeps its row, filled with zeros.
+    """
+    by = ["cell", "target"]
+    a, b = F.col("rep1"), F.col("rep2")
+    usable = a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b)
+    good = df.where(usable)
+    half, one = 0.5 * scale, 1.0 * scale
+    each = good.select(*by, F.explode(F.array(-a, -b)).alias("d"))
+    d = F.col("d")
+    single = each.groupBy(*by).agg(
+        F.avg(d).alias("depletion_mean"),
+        F.max(d).alias("depletion_max"),
+        F.min(d).alias("depletion_min"),
+        F.stddev_pop(d).alias("depletion_std"),
+        F.avg((d > 0).cast("double")).alias("fraction_depleted"),
+        F.avg((d > half).cast("double")).alias("fraction_depleted_0p5"),
+        F.avg((d > one).cast("double")).alias("fraction_depleted_1p0"),
+    )
+    mean = -(a + b) / 2.0
+    pairs = good.groupBy(*by).agg(
+        F.avg(mean).alias("mean_depletion_mean"),
+        F.max(mean).alias("mean_depletion_max"),
+        F.stddev_pop(mean).alias("mean_depletion_std"),
+        F.avg(((a < 0) & (b < 0)).cast("double")).alias("fraction_both_reps_depleted"),
+        F.avg(((a < -half) & (b < -half)).cast("double")).alias(
+            "fraction_both_reps_depleted_0p5"
+        ),
+        F.coalesce(guarded_corr(a, b), F.lit(0.0)).alias("replicate_correlation"),
+        F.avg(F.abs(a - b)).alias("mean_replicate_abs_difference"),
+        F.count(F.lit(1)).cast("double").alias("guide_count"),
+    )
+    q = quantiles(each, by, "d", {"depletion_median": 0.5, "depletion_q75": 0.75})
+    qm = quantiles(good.select(*by, mean.alias("m")), by, "m", {"mean_depletion_median": 0.5})
+    out = df.select(*by).distinct()
+    for part in (single, pairs, q, qm):
+        out = out.join(part, by, "left")
+    return out.select(*by, *[F.coalesce(s, F.lit(0.0)).alias(s) for s in GUIDE_STATS])
+
+
+def guide_outcomes_across(
+    rows: DataFrame, outcomes: DataFrame, cells: Sequence[str], names: Sequence[str]
+) -> DataFrame:
+    """Per row, other cells' guide statistics: a block per cell, and mean/max/min/std.
+
+    A cell without guides for the target counts as zeros.
+    """
+    wide = wide_cells(outcomes, cells, names)
+    joined = rows.select("target", "cell").join(wide, "target", "left")
+    out: list[Column] = []
+    for n in names:
+        allowed = []
+        for c in cells:
+            value = F.coalesce(F.col(f"{c}_{n}"), F.lit(0.0))
+            out.append(
+                F.when(F.col("cell") == c, F.lit(0.0)).otherwise(value).alias(f"source_{c}_{n}")
+            )
+            allowed.append(F.when(F.col("cell") != c, value))
+        known = F.filter(F.array(*allowed), lambda x: x.isNotNull())
+        size = F.size(known)
+        mean = F.try_divide(F.aggregate(known, F.lit(0.0), lambda s, x: s + x), size)
+        square = F.aggregate(
+            F.transform(known, lambda x: x * x), F.lit(0.0), lambda s, x: s + x
+        )
+        spread = F.try_divide(square, size) - mean * mean
+        out += [
+            mean.alias(f"aggregate_mean_{n}"),
+            F.array_max(known).alias(f"aggregate_max_{n}"),
+            F.array_min(known).alias(f"aggregate_min_{n}"),
+            F.sqrt(F.greatest(spread, F.lit(0.0))).alias(f"aggregate_std_{n}"),
+        ]
+    return joined.select("target", "cell", *out)
+
+
+def assert_no_columns(df: DataFrame, forbidden: Sequence[str]) -> DataFrame:
+    """``df`` itself, or an error naming a column that gives the answer away."""
+    found = [c for c in df.columns if c in forbidden]
+    if found:
+        raise ValueError(f"columns derived from the answer: {found}")
+    return df
+
+
+def assert_none(df: DataFrame, bad: Column, message: str) -> DataFrame:
+    """``df`` itself, or an error with a few of the rows that satisfy ``bad``."""
+    rows = df.where(bad).take(3)
+    if rows:
+        raise ValueError(f"{message}, e.g. {rows}")
+    return df
+
+
+def keep_cells(
+    df: DataFrame, exclude: Sequence[str] = (), only: Sequence[str] = ()
+) -> DataFrame:
+    """Exclude / keep-only lists on the cell column; an error when nothing is left."""
+    if exclude:
+        df = df.where(~F.col("cell").isin(*exclude))
+    if only:
+        df = df.where(F.col("cell").isin(*only))
+    if df.isEmpty():
+        raise ValueError("no rows left after the cell filters")
+    return df
+
+
+def targets_of_group(df: DataFrame, groups: DataFrame, group: str) -> DataFrame:
+    """Rows whose target belongs to one target group."""
+    return df.join(groups.where(F.col("group") == group), "target", "left_semi")

@@ -135,7 +135,7 @@ def elements(spark: SparkSession, sf: str) -> DataFrame:
             F.col("c_nationkey").cast("string").alias("chrom"),
             start.alias("s"),
             (start + 30).alias("e"),
-            F.col("o_totalprice").alias("score"),
+            F.round("o_totalprice").alias("score"),
             (F.col("o_totalprice") / F.lit(1000.0)).alias("lod"),
         )
     )
@@ -274,7 +274,7 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
           (o_custkey // 25) * 2600 + date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS s,
           (o_custkey // 25) * 2600 + date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE))
             + 30 AS e,
-          o_totalprice AS score, o_totalprice / 1000e0 AS lod
+          round(o_totalprice) AS score, o_totalprice / 1000e0 AS lod
         FROM orders JOIN customer ON o_custkey = c_custkey""",
     ),
     "loci": (
