@@ -1,6 +1,16 @@
 """Imports every module that registers queries."""
 
-from screenlab.plans import flagship, genome, panels, ranking, screens, sequences, splits  # noqa: F401
+from screenlab.plans import (  # noqa: F401
+    flagship,
+    genome,
+    loading,
+    panels,
+    ranking,
+    screens,
+    sequences,
+    splits,
+    sweeps,
+)
 from screenlab.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
