@@ -10,6 +10,7 @@ from screenlab.plans import (  # noqa: F401
     sequences,
     splits,
     sweeps,
+    tables,
 )
 from screenlab.plans.registry import ORACLES, QUERIES
 
