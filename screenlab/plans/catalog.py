@@ -4,6 +4,7 @@ from screenlab.plans import (  # noqa: F401
     flagship,
     genome,
     loading,
+    near,
     panels,
     ranking,
     screens,
