@@ -12,6 +12,7 @@ from screenlab.plans import (  # noqa: F401
     splits,
     sweeps,
     tables,
+    training,
 )
 from screenlab.plans.registry import ORACLES, QUERIES
 
