@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from screenlab.functions import maths as fm
 from screenlab.operators import resample
 from screenlab.operators.metrics import ranking_metrics, regression_metrics
+from screenlab.session import cut_lineage
 
 Factory = Callable[..., Estimator]
 REGISTRY: dict[str, Factory] = {}
@@ -228,7 +229,7 @@ def balanced_bagging(
         part = samples.where(F.col("estimator") == i).withColumn("weight", F.lit(1.0))
         one = fit_predict("decision_tree", part, test, keep, seed=seed + i, **params)
         votes = one if votes is None else votes.unionByName(one)
-    return votes.groupBy(*keep).agg(F.avg("score").alias("score"))
+    return cut_lineage(votes).groupBy(*keep).agg(F.avg("score").alias("score"))
 
 
 # ---- search ------------------------------------------------------------------------------
@@ -282,6 +283,7 @@ def search(
             out = fit_predict(name, train, valid, [label], **params)
             out = out.select(F.lit(t).alias("trial"), F.lit(str(f)).alias("fold"), F.col(label).alias("label"), "score")
             scored = out if scored is None else scored.unionByName(out)
+    scored = cut_lineage(scored)
     if metric in ("auroc", "auprc"):
         per = ranking_metrics(scored, ["trial", "fold"], "score", "label")
     else:
@@ -307,7 +309,7 @@ def out_of_fold(
         part = fit_one(design.where(F.col(fold) != f), design.where(F.col(fold) == f), str(f))
         part = part.select(*keep, "score", F.lit(str(f)).alias("held_out"))
         out = part if out is None else out.unionByName(part)
-    return out
+    return cut_lineage(out)
 
 
 def require_once(df: DataFrame, keys: Sequence[str]) -> DataFrame:

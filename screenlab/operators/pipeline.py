@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from screenlab.operators import folds, metrics, models, resample
+from screenlab.session import cut_lineage
 
 # What a configuration may name.
 CV = ("none", "chromosome", "stratified", "cellline")
@@ -95,7 +96,9 @@ def run(config: Config, train: DataFrame, test: DataFrame) -> Run:
         cv = models.search(design, "fold", held, config.model, trials, config.metric)
         params = models.best_params(cv, trials)
     rows = models.balanced_rows(train, ["target", "cell"], config.resampling, config.seed)
-    out = models.fit_predict(config.model, rows, test, ["target", "cell", "label"], **params)
+    out = cut_lineage(
+        models.fit_predict(config.model, rows, test, ["target", "cell", "label"], **params)
+    )
     labelled = test.where(F.col("label").isNull() | (F.col("label") < 0)).isEmpty()
     if not labelled:
         return Run(params, cv, out.drop("label"), None)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenlab.operators import board, ensemble, metrics
+from screenlab.operators import board, bootstrap, ensemble, metrics
 from screenlab.operators.ordered import quantiles, with_rank
 from screenlab.plans import roles
 from screenlab.plans.registry import query, round_all, rounded
@@ -488,3 +488,10 @@ def quantile_clip_sweep(spark: SparkSession, sf: str) -> DataFrame:
             rounded(F.col("clipped") / F.col("n")).alias("pct_clipped"),
         )
     )
+
+
+@query("bootstrap_interval")
+def bootstrap_interval(spark: SparkSession, sf: str) -> DataFrame:
+    """Score report of every submission: interval, lift over the base rate, smallest gap."""
+    rows = roles.preds(spark, sf).withColumnRenamed("model", "submission")
+    return bootstrap.ap_interval(rows, ["submission"], "score", "label", replicates=200)

@@ -11,6 +11,7 @@ from screenlab.operators.metrics import ranking_metrics, regression_metrics
 from screenlab.plans import roles
 from screenlab.plans.registry import query, rounded
 from screenlab.plans.sqltext import r
+from screenlab.session import cut_lineage
 
 HELD = "RF"
 NAMES = [f"{o}_{s}" for o in screen.OUTCOMES for s in ("mean", "max", "min", "std")]
@@ -30,7 +31,7 @@ def _parts(design: DataFrame, held: str = HELD) -> tuple[DataFrame, DataFrame]:
 
 
 def _scored(out: DataFrame, name: str) -> DataFrame:
-    m = ranking_metrics(out, [], "score", "label")
+    m = ranking_metrics(cut_lineage(out.select("label", "score")), [], "score", "label")
     return m.select(F.lit(name).alias("model"), "n", "n_pos", "auroc", "auprc")
 
 
@@ -64,9 +65,10 @@ def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
     }
     out = None
     for name, params in settings.items():
-        row = _scored(models.fit_predict(name, train, test, [*KEYS, "label"], **params), name)
-        out = row if out is None else out.unionByName(row)
-    return out
+        part = models.fit_predict(name, train, test, ["label"], **params)
+        part = part.withColumn("model", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return ranking_metrics(cut_lineage(out), ["model"], "score", "label")
 
 
 @query("kernel_svm")
@@ -145,7 +147,7 @@ def nested_random_search(spark: SparkSession, sf: str) -> DataFrame:
         part = models.fit_predict("decision_tree", train, test, [*KEYS, "label"], **params)
         part = part.withColumn("params", F.lit(repr(params)))
         out = part if out is None else out.unionByName(part)
-    checked = models.require_once(out, KEYS)
+    checked = models.require_once(cut_lineage(out), KEYS)
     return ranking_metrics(checked, ["cell", "params"], "score", "label")
 
 
@@ -157,7 +159,8 @@ def out_of_fold_predictions(spark: SparkSession, sf: str) -> DataFrame:
         train, test = _parts(_design(spark, sf, cell), cell)
         part = models.fit_predict("decision_tree", train, test, [*KEYS, "label"], maxDepth=3)
         out = part if out is None else out.unionByName(part)
-    return ranking_metrics(models.require_once(out, KEYS), ["cell"], "score", "label")
+    checked = models.require_once(cut_lineage(out), KEYS)
+    return ranking_metrics(checked, ["cell"], "score", "label")
 
 
 @query("drop_one_source_average")
@@ -189,7 +192,7 @@ def pooled_and_own_models(spark: SparkSession, sf: str) -> DataFrame:
     pooled = models.fit_predict("decision_tree", train, test, [*KEYS, "label"], maxDepth=3)
     own = models.per_group(train, test, "cell", roles.CELLS[:3], [*KEYS, "label"], "decision_tree", maxDepth=3)
     both = pooled.withColumn("kind", F.lit("pooled")).unionByName(own.withColumn("kind", F.lit("own")))
-    return ranking_metrics(both, ["kind", "cell"], "score", "label")
+    return ranking_metrics(cut_lineage(both), ["kind", "cell"], "score", "label")
 
 
 @query("gene_propensity")

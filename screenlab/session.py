@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,13 +28,17 @@ def local_session(cpus: str = "*", app: str = "screenlab", partitions: int = 8)
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder the cluster names in spark.checkpoint.dir.
 
-    Used between iterations (model sweeps), so that a lost executor re-reads
-    files instead of replaying every earlier iteration.
+    Used where a frame made by many jobs (model predictions, say) is read several
+    times: a lost executor then re-reads files instead of replaying those jobs.
+    Only a local session without the setting gets a folder of its own.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
