@@ -32,16 +32,19 @@ def guide_sites(guides: DataFrame, transcripts: DataFrame) -> DataFrame:
     joined = guides.join(transcripts.select("target", "seq"), "target", "left").select(
         "guide_id", "target", "spacer", t.alias("_t"), F.reverse(F.translate(s, "ACGT", "TGCA")).alias("_rc")
     )
-    placed = joined.select(
+    found = joined.select(
         "*",
-        fs.occurrences(F.col("_t"), F.col("_rc")).alias("exact_match_count"),
         fs.first_position(F.col("_t"), F.col("_rc")).alias("at"),
+        F.length("_t").alias("_len"),
     )
+    # the text is searched a second time only where there is something to count
+    times = F.when(F.col("at") >= 0, fs.occurrences(F.col("_t"), F.col("_rc")))
+    placed = found.select("*", F.coalesce(times, F.lit(0)).alias("exact_match_count"))
     size = F.length("spacer")
     cut = F.when(F.col("at") >= 0, fs.context(F.col("_t"), F.col("at"), size))
     flanks = [
         F.when(
-            (F.col("at") >= 0) & (where >= 0) & (where < F.length("_t")),
+            (F.col("at") >= 0) & (where >= 0) & (where < F.col("_len")),
             F.substring(F.col("_t"), (where + 1).cast("int"), F.lit(1)),
         ).alias(f"flank_{o:+d}")
         for o in OFFSETS
@@ -53,7 +56,7 @@ def guide_sites(guides: DataFrame, transcripts: DataFrame) -> DataFrame:
         "spacer",
         "exact_match_count",
         "at",
-        F.length("_t").alias("transcript_length"),
+        F.col("_len").alias("transcript_length"),
         F.coalesce(cut, F.lit("")).alias("context"),
         *flanks,
     )

@@ -200,70 +200,76 @@ def chunks_of(contigs: DataFrame, size: int = CHUNK) -> DataFrame:
     )
 
 
-def extract(intervals: DataFrame, chunks: DataFrame, key: str, size: int = CHUNK) -> DataFrame:
-    """Letters of each half-open interval(key, chrom, s, e), clipped to the contig.
+def _parts(
+    intervals: DataFrame, chunks: DataFrame, carry: Sequence[str], size: int
+) -> DataFrame:
+    """(carry..., chunk, part): the letters of each half-open interval, chunk by chunk.
 
-    An interval meets only the chunks it touches; its parts are put together in
-    chunk order.  An interval that meets none has no row.
+    An interval meets only the chunks it touches.
     """
     touched = F.sequence(
         F.floor(F.greatest(F.col("s"), F.lit(0)) / size), F.floor((F.col("e") - 1) / size)
     )
     spans = intervals.where((F.col("e") > F.col("s")) & (F.col("e") > 0)).select(
-        key, "chrom", F.greatest("s", F.lit(0)).alias("s"), "e", F.explode(touched).alias("chunk")
+        *carry, "chrom", F.greatest("s", F.lit(0)).alias("s"), "e", F.explode(touched).alias("chunk")
     )
     start = F.greatest(F.col("s") - F.col("chunk") * size, F.lit(0))
     stop = F.least(F.col("e") - F.col("chunk") * size, F.lit(size))
     part = F.substring(F.col("piece"), (start + 1).cast("int"), (stop - start).cast("int"))
-    parts = spans.join(chunks, ["chrom", "chunk"]).select(key, "chunk", part.alias("part"))
-    ordered = F.array_sort(F.collect_list(F.struct("chunk", "part")))
-    return parts.groupBy(key).agg(
-        F.array_join(F.transform(ordered, lambda x: x["part"]), "").alias("seq")
-    )
+    return spans.join(chunks, ["chrom", "chunk"]).select(*carry, "chunk", part.alias("part"))
+
+
+def _joined(order: Sequence[str], when: Column | None = None) -> Column:
+    """Aggregate: the parts in order, as one text.  A result is one value, so its
+    parts fit one task."""
+    packed = F.struct(*order, "part")
+    kept = F.collect_list(packed if when is None else F.when(when, packed))
+    return F.array_join(F.transform(F.array_sort(kept), lambda x: x["part"]), "")
+
+
+def _sense(seq: Column) -> Column:
+    return F.when(F.col("strand") == "-", fs.reverse_complement(seq)).otherwise(seq)
+
+
+def extract(intervals: DataFrame, chunks: DataFrame, key: str, size: int = CHUNK) -> DataFrame:
+    """Letters of each half-open interval(key, chrom, s, e), clipped to the contig.
+
+    An interval that meets no contig has no row.
+    """
+    parts = _parts(intervals, chunks, [key], size)
+    return parts.groupBy(key).agg(_joined(["chunk"]).alias("seq"))
 
 
 def span_sequences(bounds: DataFrame, chunks: DataFrame) -> DataFrame:
     """Sense-strand sequence of whole genes from closed bounds."""
     s, e = to_half_open(F.col("s"), F.col("e"))
-    got = extract(bounds.select("gene", "chrom", s.alias("s"), e.alias("e")), chunks, "gene")
-    flipped = F.when(F.col("strand") == "-", fs.reverse_complement(F.col("seq"))).otherwise(
-        F.col("seq")
-    )
-    return got.join(bounds.select("gene", "strand"), "gene").select("gene", flipped.alias("seq"))
+    spans = bounds.select("gene", "strand", "chrom", s.alias("s"), e.alias("e"))
+    parts = _parts(spans, chunks, ["gene", "strand"], CHUNK)
+    whole = parts.groupBy("gene", "strand").agg(_joined(["chunk"]).alias("seq"))
+    return whole.select("gene", _sense(F.col("seq")).alias("seq"))
 
 
 def end_windows(bounds: DataFrame, chunks: DataFrame, size: int) -> DataFrame:
     """First and last ``size`` sense-strand letters of each gene."""
-    left = F.struct((F.col("s") - 1).alias("s"), F.least(F.col("e"), F.col("s") - 1 + size).alias("e"))
-    right = F.struct(F.greatest(F.col("s") - 1, F.col("e") - size).alias("s"), F.col("e").alias("e"))
+    start, end = F.col("s") - 1, F.col("e")
+    left = F.struct(start.alias("s"), F.least(end, start + size).alias("e"))
+    right = F.struct(F.greatest(start, end - size).alias("s"), end.alias("e"))
     forward = F.col("strand") != "-"
     sides = F.array(
         F.struct(F.lit("first").alias("side"), F.when(forward, left).otherwise(right).alias("w")),
         F.struct(F.lit("last").alias("side"), F.when(forward, right).otherwise(left).alias("w")),
     )
-    ends = (
-        bounds.select("gene", "chrom", "strand", F.explode(sides).alias("x"))
-        .select(
-            F.concat_ws(":", "gene", "x.side").alias("_id"),
-            "gene",
-            "chrom",
-            "strand",
-            "x.side",
-            "x.w.s",
-            "x.w.e",
-        )
+    ends = bounds.select("gene", "chrom", "strand", F.explode(sides).alias("x")).select(
+        "gene", "chrom", "strand", "x.side", "x.w.s", "x.w.e"
     )
-    got = extract(ends.select("_id", "chrom", "s", "e"), chunks, "_id")
-    text = F.when(F.col("strand") == "-", fs.reverse_complement(F.col("seq"))).otherwise(
-        F.col("seq")
+    parts = _parts(ends, chunks, ["gene", "strand", "side"], CHUNK)
+    both = parts.groupBy("gene", "strand").agg(
+        *[_joined(["chunk"], F.col("side") == s).alias(s) for s in ("first", "last")]
     )
-    return (
-        ends.join(got, "_id")
-        .groupBy("gene")
-        .agg(
-            F.max(F.when(F.col("side") == "first", text)).alias("first_window"),
-            F.max(F.when(F.col("side") == "last", text)).alias("last_window"),
-        )
+    return both.select(
+        "gene",
+        _sense(F.col("first")).alias("first_window"),
+        _sense(F.col("last")).alias("last_window"),
     )
 
 
@@ -278,29 +284,13 @@ def longest_transcript(exons: DataFrame) -> DataFrame:
 def spliced_sequences(exons: DataFrame, chunks: DataFrame) -> DataFrame:
     """Exons of the longest transcript joined in order and turned to the sense strand."""
     chosen = exons.join(longest_transcript(exons).select("gene", "tx"), ["gene", "tx"])
-    keyed = chosen.select(
-        "gene",
-        "strand",
-        "chrom",
-        F.concat_ws(":", "gene", "s", "e").alias("_id"),
-        F.col("s").alias("start"),
-        (F.col("s") - 1).alias("s"),
-        "e",
-    )
-    got = extract(keyed.select("_id", "chrom", "s", "e"), chunks, "_id")
-    ordered = F.array_sort(F.collect_list(F.struct("start", "seq")))
-    joined = F.array_join(F.transform(ordered, lambda x: x["seq"]), "")
-    whole = (
-        keyed.join(got, "_id")
-        .groupBy("gene", "strand")
-        .agg(joined.alias("seq"))
-    )
-    return whole.select(
-        "gene",
-        F.when(F.col("strand") == "-", fs.reverse_complement(F.col("seq")))
-        .otherwise(F.col("seq"))
-        .alias("seq"),
+    s, e = to_half_open(F.col("s"), F.col("e"))
+    spans = chosen.select(
+        "gene", "strand", "chrom", F.col("s").alias("start"), s.alias("s"), e.alias("e")
     )
+    parts = _parts(spans, chunks, ["gene", "strand", "start"], CHUNK)
+    whole = parts.groupBy("gene", "strand").agg(_joined(["start", "chunk"]).alias("seq"))
+    return whole.select("gene", _sense(F.col("seq")).alias("seq"))
 
 
 def resolve_names(wanted: DataFrame, have: DataFrame) -> DataFrame:

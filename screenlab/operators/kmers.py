@@ -140,12 +140,23 @@ def descriptors(df: DataFrame, key: str, seq: str, spread: bool = False) -> Data
             *[F.sum(F.when(F.col("kmer") == p, F.col("n"))).alias(f"_n_{p}") for p in pairs],
         )
     )
-    base = df.select(
+    letters = df.select(
         key,
-        F.log1p(F.length(s)).alias("seq_log_length"),
-        fs.gc_fraction(s).alias("seq_gc"),
-        fs.base_entropy(s).alias("seq_entropy"),
-        fs.ambiguous_fraction(s).alias("seq_ambiguous_fraction"),
+        F.length(s).alias("_len"),
+        *[fs.base_count(s, b).alias(f"_{b}") for b in "ACGT"],
+    )
+    valid = F.col("_A") + F.col("_C") + F.col("_G") + F.col("_T")
+    total = F.greatest(valid, F.lit(1))
+    entropy = F.lit(0.0)
+    for b in "ACGT":
+        share = F.col(f"_{b}") / total
+        entropy = entropy + F.when(share > 0, -share * F.log2(share)).otherwise(F.lit(0.0))
+    base = letters.select(
+        key,
+        F.log1p("_len").alias("seq_log_length"),
+        ((F.col("_G") + F.col("_C")) / total).alias("seq_gc"),
+        entropy.alias("seq_entropy"),
+        (F.lit(1.0) - valid / F.greatest("_len", F.lit(1))).alias("seq_ambiguous_fraction"),
     )
     shares = [
         F.coalesce(F.try_divide(F.col(f"_n_{p}"), F.col("_pairs")), F.lit(0.0)).alias(

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from screenlab.sources.tables import dealt_out
+
 # Letters onto bases for the text-derived sequences.
 _LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _AS_BASES = "ACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTAC"
@@ -41,7 +43,8 @@ def seqs(spark: SparkSession, sf: str) -> DataFrame:
     """Letters become bases, digits N; everything else is dropped."""
     kept = F.regexp_replace("text", "[^A-Za-z0-9]", "")
     dna = F.translate(kept, _LETTERS + "0123456789", _AS_BASES + "N" * 10)
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("target"), dna.alias("seq"))
+    texts = dealt_out(table(spark, sf, "documents").select("doc_id", "text"))
+    return texts.select(F.col("doc_id").alias("target"), dna.alias("seq"))
 
 
 def guides(spark: SparkSession, sf: str) -> DataFrame:

@@ -110,7 +110,7 @@ _KMERS = """
     ("seqs",),
 )
 def kmer_counts_k3(spark: SparkSession, sf: str) -> DataFrame:
-    return ko.kmer_counts(roles.seqs(spark, sf), ["target"], "seq", 3, spread=True)
+    return ko.kmer_counts(roles.seqs(spark, sf), ["target"], "seq", 3)
 
 
 @query(
@@ -119,7 +119,7 @@ def kmer_counts_k3(spark: SparkSession, sf: str) -> DataFrame:
     ("seqs",),
 )
 def kmer_vocab_k4(spark: SparkSession, sf: str) -> DataFrame:
-    return ko.fit_vocab(roles.seqs(spark, sf), "seq", 4, spread=True)
+    return ko.fit_vocab(roles.seqs(spark, sf), "seq", 4)
 
 
 _VOCAB_SQL = """
@@ -136,7 +136,7 @@ _VOCAB_SQL = """
     ("seqs",),
 )
 def kmer_spectrum_k4(spark: SparkSession, sf: str) -> DataFrame:
-    return ko.spectrum(roles.seqs(spark, sf), "seq", 4, spread=True)
+    return ko.spectrum(roles.seqs(spark, sf), "seq", 4)
 
 
 _SPECTRUM = (
@@ -156,7 +156,7 @@ _SPECTRUM = (
 )
 def kmer_spectrum_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Spread of the corpus counts over the 4^k k-mers (a table of 256 rows)."""
-    sp = ko.spectrum(roles.seqs(spark, sf), "seq", 4, spread=True)
+    sp = ko.spectrum(roles.seqs(spark, sf), "seq", 4)
     return sp.agg(
         F.min("n").alias("lo"),
         F.max("n").alias("hi"),
@@ -181,7 +181,7 @@ FROM pos, lim GROUP BY 1""",
 )
 def kmer_log_histogram(spark: SparkSession, sf: str) -> DataFrame:
     """25 equal bins on a log10 count axis."""
-    sp = ko.spectrum(roles.seqs(spark, sf), "seq", 4, spread=True).where(F.col("n") > 0)
+    sp = ko.spectrum(roles.seqs(spark, sf), "seq", 4).where(F.col("n") > 0)
     return ko.log_histogram(sp, "n", 25).withColumnRenamed("count", "kmers")
 
 
@@ -194,7 +194,7 @@ UNION ALL (SELECT 'bottom', kmer, n FROM sp ORDER BY n, kmer LIMIT 10)""",
     ("seqs",),
 )
 def kmer_extremes(spark: SparkSession, sf: str) -> DataFrame:
-    sp = ko.spectrum(roles.seqs(spark, sf), "seq", 4, spread=True)
+    sp = ko.spectrum(roles.seqs(spark, sf), "seq", 4)
     top = sp.orderBy(F.desc("n"), "kmer").limit(10)
     low = sp.orderBy("n", "kmer").limit(10)
     return top.select(F.lit("top").alias("side"), "kmer", "n").unionAll(
@@ -215,7 +215,7 @@ def kmer_features_per_row(spark: SparkSession, sf: str) -> DataFrame:
     """k-mer shares counted once per target; a row without sequence is kept with zero."""
     rows = roles.gene(spark, sf).select("target", "cell")
     wanted = roles.seqs(spark, sf).join(rows.select("target").distinct(), "target", "left_semi")
-    freq = ko.kmer_frequencies(wanted, ["target"], "seq", 2, spread=True)
+    freq = ko.kmer_frequencies(wanted, ["target"], "seq", 2)
     joined = rows.join(freq.select("target", "kmer", "value"), "target", "left")
     return joined.select(
         "target", "cell", "kmer", rounded(F.coalesce("value", F.lit(0.0))).alias("value")
@@ -237,8 +237,8 @@ def kmer_train_vocab_shares(spark: SparkSession, sf: str) -> DataFrame:
     """Vocabulary fitted on one part only; others' shares count windows inside it."""
     langs = roles.table(spark, sf, "documents").select(F.col("doc_id").alias("target"), "lang")
     seqs = roles.seqs(spark, sf).join(langs, "target")
-    vocab = ko.fit_vocab(seqs.where(F.col("lang") == "en"), "seq", 4, spread=True)
-    out = ko.kmer_frequencies(seqs.where(F.col("lang") != "en"), ["target"], "seq", 4, vocab, spread=True)
+    vocab = ko.fit_vocab(seqs.where(F.col("lang") == "en"), "seq", 4)
+    out = ko.kmer_frequencies(seqs.where(F.col("lang") != "en"), ["target"], "seq", 4, vocab)
     return out.select("target", "kmer", rounded("value").alias("value"))
 
 
@@ -257,7 +257,7 @@ FROM seqs LEFT JOIN piv USING (target) LEFT JOIN tot USING (target)""",
     ("seqs",),
 )
 def sequence_descriptors(spark: SparkSession, sf: str) -> DataFrame:
-    out = ko.descriptors(roles.seqs(spark, sf), "target", "seq", spread=True)
+    out = ko.descriptors(roles.seqs(spark, sf), "target", "seq")
     return round_all(out, [c for c in out.columns if c != "target"])
 
 

@@ -73,7 +73,7 @@ SELECT block, feature, count(*) AS n, {r('sum(value)', 'total', 6)}, {r('max(val
 def screen_feature_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Entries, sum and maximum per feature of the guide-level table."""
     long = features.screen_features(
-        _records(spark, sf), 2, schema.DAYS, CELLS, roles.seqs(spark, sf), spread=True
+        _records(spark, sf), 2, schema.DAYS, CELLS, roles.seqs(spark, sf)
     )
     out = long.groupBy("block", "feature").agg(
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max("value").alias("top")
@@ -120,7 +120,7 @@ def _gene_long(spark: SparkSession, sf: str, cells: list[str]) -> DataFrame:
     )
     rows = roles.gene(spark, sf).select("target", "cell").join(notes, "target")
     return features.gene_features(
-        rows, roles.seqs(spark, sf), 2, cells, _coords(spark, sf), 2, spread=True
+        rows, roles.seqs(spark, sf), 2, cells, _coords(spark, sf), 2
     )
 
 
@@ -210,7 +210,7 @@ def train_variance_threshold(spark: SparkSession, sf: str) -> DataFrame:
     langs = roles.table(spark, sf, "documents").where(F.col("lang") == "en")
     train_ids = langs.select(F.col("doc_id").alias("target"))
     seqs = roles.seqs(spark, sf).join(train_ids, "target", "left_semi")
-    freq = kmers.kmer_frequencies(seqs, ["target"], "seq", 3, spread=True)
+    freq = kmers.kmer_frequencies(seqs, ["target"], "seq", 3)
     long = freq.select("target", F.col("kmer").alias("feature"), "value")
     total = langs.agg(F.count(F.lit(1)).alias("n")).scalar()
     out = features.variances(long, total)
