@@ -30,7 +30,7 @@ def held_out_priors(spark: SparkSession, sf: str) -> DataFrame:
 """
     + ap_auroc("other", "cell")
     + """
-SELECT cell, n, n_pos, round(auroc, 6) AS auroc, round(auprc, 6) AS auprc FROM ap_out
+SELECT cell, n, n_pos, round(auroc, 9) + 0e0 AS auroc, round(auprc, 9) + 0e0 AS auprc FROM ap_out
 """,
     ("gene",),
 )
