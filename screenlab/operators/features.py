@@ -95,6 +95,14 @@ def pick_blocks(long: DataFrame, names: Sequence[str], known: Sequence[str]) ->
     return long.where(F.col("block").isin(*names))
 
 
+def pick_features(long: DataFrame, prefixes: Sequence[str]) -> DataFrame:
+    """Rows whose feature name starts with one of the prefixes."""
+    wanted = F.lit(False)
+    for p in prefixes:
+        wanted = wanted | F.col("feature").startswith(p)
+    return long.where(wanted)
+
+
 def screen_features(
     records: DataFrame,
     k: int,

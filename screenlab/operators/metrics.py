@@ -203,3 +203,25 @@ def normal_two_sided(z: Column) -> Column:
     t = F.lit(1.0) / (F.lit(1.0) + x * p)
     poly = ((((t * a5 + a4) * t + a3) * t + a2) * t + a1) * t
     return poly * F.exp(-x * x)
+
+
+# Metrics a run may be tuned on, by name: each gives the named column per group.
+METRICS = {
+    "auroc": ranking_metrics,
+    "auprc": ranking_metrics,
+    "pearson_r": regression_metrics,
+    "spearman_rho": regression_metrics,
+    "rmse": regression_metrics,
+    "mae": regression_metrics,
+}
+
+
+def metric(
+    df: DataFrame, name: str, by: Sequence[str], score: str, label: str
+) -> DataFrame:
+    """(by, value) of one metric chosen by name."""
+    if name not in METRICS:
+        raise KeyError(f"unknown metric {name!r}, have {sorted(METRICS)}")
+    ranking = METRICS[name] is ranking_metrics
+    out = METRICS[name](df, by, score, label) if ranking else METRICS[name](df, by, label, score)
+    return out.select(*by, F.col(name).alias("value"))

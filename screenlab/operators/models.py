@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from screenlab.functions import maths as fm
 from screenlab.operators import resample
-from screenlab.operators.metrics import ranking_metrics, regression_metrics
+from screenlab.operators.metrics import metric as metric_by_name
+from screenlab.operators.metrics import ranking_metrics
 from screenlab.session import cut_lineage
 
 Factory = Callable[..., Estimator]
@@ -284,14 +285,11 @@ def search(
             out = out.select(F.lit(t).alias("trial"), F.lit(str(f)).alias("fold"), F.col(label).alias("label"), "score")
             scored = out if scored is None else scored.unionByName(out)
     scored = cut_lineage(scored)
-    if metric in ("auroc", "auprc"):
-        per = ranking_metrics(scored, ["trial", "fold"], "score", "label")
-    else:
-        per = regression_metrics(scored, ["trial", "fold"], "label", "score")
+    per = metric_by_name(scored, metric, ["trial", "fold"], "score", "label")
     text = design.sparkSession.createDataFrame(
         [(t, repr(p)) for t, p in enumerate(trials)], "trial int, params string"
     )
-    mean = per.groupBy("trial").agg(F.avg(metric).alias("score"), F.count(metric).alias("folds"))
+    mean = per.groupBy("trial").agg(F.avg("value").alias("score"), F.count("value").alias("folds"))
     return mean.join(text, "trial").orderBy(F.desc("score"), "trial")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from screenlab.operators import folds, metrics, models, resample
 from screenlab.session import cut_lineage
+from screenlab.sources.records import write_run
 
 # What a configuration may name.
 CV = ("none", "chromosome", "stratified", "cellline")
@@ -104,3 +105,18 @@ def run(config: Config, train: DataFrame, test: DataFrame) -> Run:
         return Run(params, cv, out.drop("label"), None)
     scored = metrics.ranking_metrics_by_sets(out, [[], ["cell"]], "score", "label")
     return Run(params, cv, out, scored)
+
+
+def save(done: Run, folder: str, run_id: str) -> None:
+    """Write a run's tables; an unlabelled run has an empty metrics table."""
+    spark = done.predictions.sparkSession
+    info = spark.createDataFrame([(repr(done.params),)], "params string")
+    empty = spark.createDataFrame([], "split string, n long")
+    write_run(
+        folder,
+        run_id,
+        done.metrics if done.metrics is not None else empty,
+        done.cv if done.cv is not None else spark.createDataFrame([], "trial int, score double"),
+        info,
+        done.predictions,
+    )

@@ -282,6 +282,15 @@ GUIDE_STATS = (
 )
 
 
+def finite_pairs(df: DataFrame, first: str, second: str) -> DataFrame:
+    """Rows in which both values are present, not NaN and not infinite."""
+    keep = F.lit(True)
+    for name in (first, second):
+        x = F.col(name)
+        keep = keep & x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+    return df.where(keep)
+
+
 def guide_outcomes(df: DataFrame, scale: float = 1.0) -> DataFrame:
     """Eighteen statistics per (cell, target) from guides with two replicates.
 
@@ -290,8 +299,7 @@ def guide_outcomes(df: DataFrame, scale: float = 1.0) -> DataFrame:
     """
     by = ["cell", "target"]
     a, b = F.col("rep1"), F.col("rep2")
-    usable = a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b)
-    good = df.where(usable)
+    good = finite_pairs(df, "rep1", "rep2")
     half, one = 0.5 * scale, 1.0 * scale
     each = good.select(*by, F.explode(F.array(-a, -b)).alias("d"))
     d = F.col("d")

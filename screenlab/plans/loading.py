@@ -32,7 +32,7 @@ def _guide_page(spark: SparkSession, sf: str) -> DataFrame:
         ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias(
             "row"
         ),
-        F.when(F.col("l_orderkey") % 10 == 9, " ")
+        F.when(F.col("l_quantity") > 45, " ")
         .otherwise(F.concat(F.lit("G"), "l_orderkey"))
         .alias("c0"),
         F.concat(F.lit("T"), "l_partkey").alias("c1"),
@@ -92,7 +92,7 @@ _GUIDES = """
 , lib AS (SELECT 'G' || l_orderkey AS guide_id, 'T' || l_partkey AS target,
     translate(CAST(l_partkey AS VARCHAR), '0123456789', 'ACGTACGTAC') AS target_sequence, l_partkey,
     row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC) AS k
-  FROM lineitem WHERE l_orderkey % 10 <> 9)
+  FROM lineitem WHERE l_quantity <= 45)
 , tg AS (SELECT guide_id, target, target_sequence FROM lib WHERE k = 1)
 , ann AS (SELECT 'T' || p_partkey AS target, CASE WHEN p_size % 5 = 0 THEN '' ELSE CAST(p_size AS VARCHAR) END AS chrom,
     CASE WHEN p_size % 2 = 0 THEN '+' ELSE '-' END AS strand,
@@ -157,7 +157,7 @@ def load_screen(spark: SparkSession, sf: str) -> DataFrame:
     + f"""
 SELECT 'T' || g.target AS target, cell AS cell_line, 14 AS day, {r('p', 'rra_pvalue')}, {r('fc', 'fold_change')},
   label, ann.chrom, strand, closest_pc_gene, distance_to_closest_pc_gene
-FROM gene g JOIN ann ON ann.target = 'T' || g.target WHERE g.target % 4 <> 0 AND NOT (g.target % 6 = 1)""",
+FROM gene g JOIN ann ON ann.target = 'T' || g.target WHERE g.target % 4 <> 0 AND p < 0.9""",
     ("gene",),
 )
 def load_gene_outcomes(spark: SparkSession, sf: str) -> DataFrame:
@@ -168,7 +168,7 @@ def load_gene_outcomes(spark: SparkSession, sf: str) -> DataFrame:
         data = gene.where(F.col("cell") == cell).select(
             F.col("target").alias("row"),
             F.concat(F.lit("T"), "target").alias("c0"),
-            F.when(F.col("target") % 6 != 1, F.col("p").cast("string")).alias("c1"),
+            F.when(F.col("p") < 0.9, F.col("p").cast("string")).alias("c1"),
             F.col("fc").cast("string").alias("c2"),
         )
         header = ["Gene", "Day 14 - P value", "Day 14 - Fold-change (log2)"]
@@ -356,16 +356,15 @@ def expression_page_panel(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "two_page_expression",
     f"""
-, a AS (SELECT * FROM panel WHERE (gene + length(sample)) % 3 <> 0)
-, b AS (SELECT gene, sample, value * 2 AS value FROM panel WHERE (gene + length(sample)) % 4 <> 0)
+, a AS (SELECT * FROM panel WHERE sample <> 'click')
+, b AS (SELECT gene, sample, value * 2 AS value FROM panel WHERE sample <> 'view')
 SELECT gene, sample, {r('ln(1 + coalesce(a.value, b.value, 0))', 'value')} FROM a FULL JOIN b USING (gene, sample)""",
     ("panel",),
 )
 def two_page_expression(spark: SparkSession, sf: str) -> DataFrame:
     panel = roles.panel(spark, sf)
-    mix = F.col("gene") + F.length("sample")
-    first = panel.where(mix % 3 != 0)
-    second = panel.where(mix % 4 != 0).withColumn("value", F.col("value") * 2)
+    first = panel.where(F.col("sample") != "click")
+    second = panel.where(F.col("sample") != "view").withColumn("value", F.col("value") * 2)
     out = sheets.coalesced_panel(first, second)
     return out.withColumn("value", rounded("value"))
 
@@ -425,7 +424,7 @@ def cell_coordinates(spark: SparkSession, sf: str) -> DataFrame:
 def _runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Orders as run infos, their lines as metric rows; some runs lack one half."""
     orders = roles.table(spark, sf, "orders")
-    infos = orders.where(F.col("o_orderkey") % 5 != 0).select(
+    infos = orders.where(F.col("o_orderpriority") != "5-LOW").select(
         F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("run"),
         F.col("o_orderpriority").alias("model"),
         F.col("o_orderstatus").alias("cell_line"),
@@ -443,7 +442,7 @@ def _runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 _RUNS = """
 , infos AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS run, o_orderpriority AS model, o_orderstatus AS cell_line
-   FROM orders WHERE o_orderkey % 5 <> 0)
+   FROM orders WHERE o_orderpriority <> '5-LOW')
 , metrics AS (SELECT lpad(CAST(l_orderkey AS VARCHAR), 12, '0') AS run, l_returnflag || l_linestatus AS split,
    count(*) AS n, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) / (count(*) * 100e0) AS rho
    FROM lineitem GROUP BY ALL)

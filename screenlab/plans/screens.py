@@ -435,3 +435,32 @@ def leak_audit(spark: SparkSession, sf: str) -> DataFrame:
     both = digest(gene, "a").join(digest(mutated, "b"), ["target", "cell"], "full")
     same = F.col("a").eqNullSafe(F.col("b"))
     return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~same).alias("changed"))
+
+
+@query(
+    "target_level_means",
+    _OUT
+    + f"""SELECT target, {r('avg(x_strength)', 'strength')}, {r('avg(x_depletion)', 'depletion')},
+  CAST(sum(label) AS BIGINT) AS hits, {r('max(x_strength)', 'strength_max')} FROM o GROUP BY target""",
+    ("gene",),
+)
+def target_level_means(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows collapsed to their target: feature means, label sum, strongest signal."""
+    rows = screen.with_outcomes(roles.gene(spark, sf))
+    return rows.groupBy("target").agg(
+        rounded(F.avg("strength")).alias("strength"),
+        rounded(F.avg("depletion")).alias("depletion"),
+        F.sum("label").alias("hits"),
+        rounded(F.max("strength")).alias("strength_max"),
+    )
+
+
+@query(
+    "finite_replicate_pairs",
+    _REPS + "SELECT cell, target, guide, rep1, rep2 FROM good",
+    ("screen",),
+)
+def finite_replicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Guides whose two replicates are both there and finite."""
+    rows = screen.finite_pairs(_replicates(spark, sf), "rep1", "rep2")
+    return rows.select("cell", "target", "guide", "rep1", "rep2")

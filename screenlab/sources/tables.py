@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def dealt_out(df: DataFrame) -> DataFrame:
@@ -14,3 +15,8 @@ def dealt_out(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if len(df.inputFiles()) >= cores else df.repartition(2 * cores)
+
+
+def read_embeddings(spark: SparkSession, path: str, key: str, vector: str) -> DataFrame:
+    """An embedding table as (id, vec)."""
+    return spark.read.parquet(path).select(F.col(key).alias("id"), F.col(vector).alias("vec"))

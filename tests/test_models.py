@@ -152,3 +152,17 @@ def test_sweep_is_one_long_table(spark):
     assert summary["bb"].delta == pytest.approx(1.0) and not summary["bb"].noise
     paired = sweep.paired_comparison(results, "a").first()
     assert (paired.wins, paired.pairs, paired.sign_consistent) == (4, 4, True)
+
+
+def test_metric_by_name(spark):
+    df = spark.createDataFrame([(0, 0.1), (1, 0.9)], "y int, s double")
+    assert models.metric_by_name(df, "auroc", [], "s", "y").first().value == 1.0
+    with pytest.raises(KeyError, match="unknown metric"):
+        models.metric_by_name(df, "accuracy_squared", [], "s", "y")
+
+
+def test_saved_run(spark, design, tmp_path):
+    done = pipeline.run(pipeline.Config(model="decision_tree"), design, design.where("cell = 'c'"))
+    pipeline.save(done, str(tmp_path / "runs"), "one")
+    back = spark.read.parquet(str(tmp_path / "runs" / "predictions"))
+    assert back.count() == 200 and back.first().run_id == "one"
