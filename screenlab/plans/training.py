@@ -22,7 +22,8 @@ def _design(spark: SparkSession, sf: str, held: str = HELD) -> DataFrame:
     """Features, outcomes and a unit weight; kept, since every fit passes over it many times."""
     rows = screen.with_outcomes(roles.gene(spark, sf)).withColumn("weight", F.lit(1.0))
     feats = screen.cross_cell_priors(roles.gene(spark, sf), held)
-    return models.assembled(rows.join(feats, KEYS), NAMES).persist()
+    parts = 2 * spark.sparkContext.defaultParallelism
+    return models.assembled(rows.join(feats, KEYS), NAMES).coalesce(parts).persist()
 
 
 def _parts(design: DataFrame, held: str = HELD) -> tuple[DataFrame, DataFrame]:
