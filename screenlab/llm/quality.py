@@ -97,9 +97,13 @@ def fit_quality(
     and labels that are null, teach nothing; an id with several labels or rows
     teaches once, its smallest label and features.
     """
-    known = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_key"))
+    known = labels.filter(F.col(label_col).isNotNull() & (fold(F.col(id_col)) != 1)).groupBy(F.col(id_col).alias("_key"))
     known = known.agg(F.min(label_col).cast("double").alias("_y"))
-    taught = features(docs.filter(fold(F.col(id_col)) != 1), id_col, text_col)
+    # Ids with hashes up to here are about as many as the sample may hold.
+    share = min(1.0, sample / max(1, known.count()))
+    last = int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1
+    taught = docs.filter((fold(F.col(id_col)) != 1) & (F.xxhash64(id_col) <= F.lit(last)))
+    taught = features(taught, id_col, text_col)
     rows = (
         taught.join(known, "_key")
         .groupBy("_key")
