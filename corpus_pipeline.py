@@ -1,15 +1,52 @@
-"""The corpus pipeline: documents through a few stages, each written and read again."""
+"""The corpus pipeline: documents through five stages, each written and read again."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from screenlab.llm.common import shared_folder, table, written
+from screenlab.llm.decontaminate import decontaminate
+from screenlab.llm.jaccard import one_of_each
+from screenlab.llm.op05 import coded
+from screenlab.llm.quality import keep_good
+from screenlab.llm.repeats import without_repeats
 
-STAGES: list = []
 
-#: The first stage learns a model, which SQL cannot express; tests/llm holds run()
-#: against brute force instead.
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    return one_of_each(docs)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of repeated passages are cut out of the texts."""
+    return without_repeats(docs, n_chars="n_chars")
+
+
+def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, token ids, their number, and digests of the ids and of what they decode to."""
+    return coded(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_copies", near_copies),
+    ("repeats", repeats),
+    ("benchmarks", benchmarks),
+    ("tokens", tokens),
+]
+
+#: The first stage learns a model and the last one merges tokens, which SQL
+#: cannot express; tests/llm holds run() against brute force instead.
 ORACLE_SQL = None
 
 
