@@ -36,15 +36,15 @@ STOP_WORDS = (
 #: The last rule names; values are SQL over the measures below.
 RULES = (
     Rule("few_words", "n_words", low=20),
-    Rule("repeated_windows", "100 * n_repeat_words / n_words", high=30),
-    Rule("word_length", "word_chars / n_words", low=2.0, high=14.0),
-    Rule("symbols", "n_symbols / n_words", high=0.1),
-    Rule("stop_words", "n_stop_words / n_words", low=0.02),
-    Rule("repeated_lines", "n_dup_lines / n_lines", high=0.5),
-    Rule("shouting", "n_shouts / n_words", high=0.3),
-    Rule("echoes", "n_echoes / n_words", high=0.3),
-    Rule("ellipsis_lines", "n_ellipsis_lines / n_lines", high=0.5),
-    Rule("bullet_lines", "n_bullet_lines / n_lines", high=0.9),
+    Rule("repeated_windows", "100 * n_repeat_words / nullif(n_words, 0)", high=30),
+    Rule("word_length", "word_chars / nullif(n_words, 0)", low=2.0, high=14.0),
+    Rule("symbols", "n_symbols / nullif(n_words, 0)", high=0.1),
+    Rule("stop_words", "n_stop_words / nullif(n_words, 0)", low=0.02),
+    Rule("repeated_lines", "n_dup_lines / nullif(n_lines, 0)", high=0.5),
+    Rule("shouting", "n_shouts / nullif(n_words, 0)", high=0.3),
+    Rule("echoes", "n_echoes / nullif(n_words, 0)", high=0.3),
+    Rule("ellipsis_lines", "n_ellipsis_lines / nullif(n_lines, 0)", high=0.5),
+    Rule("bullet_lines", "n_bullet_lines / nullif(n_lines, 0)", high=0.9),
 )
 
 
