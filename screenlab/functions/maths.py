@@ -122,6 +122,7 @@ def stage_rank(stage: Column, postnatal: Sequence[str]) -> Column:
     )
 
 
+# Fixed value: a number in free text.
 NUMBER = r"(?<![A-Za-z\d])[-+]?\d+\.?\d*(?:[eE][-+]?\d+)?"
 
 

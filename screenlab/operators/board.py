@@ -13,7 +13,7 @@ from screenlab.operators.metrics import ranking_metrics
 # pattern of a handle.
 COLUMNS = ("target", "cell_line", "y_pred_proba")
 METADATA = ("submitter", "model", "uses_measured_depletion")
-HANDLE = r"^[A-Za-z0-9](?:[A-Za-z0-9]|-(?=[A-Za-z0-9])){0,38}$"
+HANDLE = r"^[A-Za-z\d](?:[A-Za-z\d]|-(?=[A-Za-z\d])){0,38}$"
 
 
 def missing_columns(have: Sequence[str], required: Sequence[str] = COLUMNS) -> list[str]:

@@ -24,17 +24,43 @@ from screenlab.operators.metrics import ranking_from_table, score_table
 from screenlab.operators.ordered import null_safe_join, quantiles, with_blocks
 
 _CHUNK = 64
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _uniform(key: np.ndarray, replicate: np.ndarray, seed: int, kind: int) -> np.ndarray:
+    """A number in [0, 1) for each (replicate, key): a mixed hash of both, the seed and the kind."""
+    x = key[None, :] + ((replicate.astype(np.uint64) * np.uint64(2) + np.uint64(kind)) * _STEP)[:, None]
+    x = x + np.uint64(seed) * np.uint64(0xD1B54A32D192ED03)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+
+
+def _poisson(mean: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Poisson counts by inverting the distribution, a column of u for each mean."""
+    out = np.zeros(u.shape, np.int64)
+    for m in np.unique(mean[mean > 0]):
+        k = np.arange(int(m + 12 * np.sqrt(m) + 25))
+        logs = np.r_[0.0, np.cumsum(np.log(np.arange(1, len(k))))]
+        cdf = np.cumsum(np.exp(k * np.log(m) - m - logs))
+        at = mean == m
+        out[:, at] = np.searchsorted(cdf, u[:, at], side="right")
+    return out
 
 
 def _draws(pdf: pd.DataFrame, replicates: int, seed: int):
-    """(first replicate, rows drawn, positives drawn) in chunks; same seed, same draws."""
+    """(first replicate, rows drawn, positives drawn) in chunks.
+
+    A draw depends on the group, the score, the replicate and the seed alone, so
+    no way of cutting the rows into blocks changes it.
+    """
     pos = pdf["pos"].to_numpy(dtype=np.int64)
     neg = pdf["n"].to_numpy(dtype=np.int64) - pos
+    key = pdf["_salt"].to_numpy(dtype=np.int64).astype(np.uint64)
     for start in range(0, replicates, _CHUNK):
-        width = min(_CHUNK, replicates - start)
-        rng = np.random.default_rng([seed, int(pdf["_salt"].iloc[0]), start])
-        p = rng.poisson(pos, (width, len(pos)))
-        yield start, p + rng.poisson(neg, (width, len(neg))), p
+        at = np.arange(start, min(start + _CHUNK, replicates))
+        p = _poisson(pos, _uniform(key, at, seed, 0))
+        yield start, p + _poisson(neg, _uniform(key, at, seed, 1)), p
 
 
 def ap_replicates(
@@ -43,7 +69,7 @@ def ap_replicates(
     """(by, replicate, ap); replicates without a positive are left out."""
     by = list(by)
     table = with_blocks(score_table(df, by, score, label), score, blocks)
-    salt = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in by], "_block"), F.lit(1 << 31))
+    salt = F.xxhash64(*[F.col(c).cast("string") for c in by], F.col(score).cast("double"))
     table = table.withColumn("_salt", salt).withColumn("_g", F.to_json(F.struct(F.lit(0).alias("_"), *by)))
 
     def totals(pdf: pd.DataFrame) -> pd.DataFrame:

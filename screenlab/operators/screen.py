@@ -159,6 +159,7 @@ def _strength() -> Column:
     return fm.signed_log_p(F.col("p"), F.col("fc"))
 
 
+# The names of the scorers are fixed values.
 SCORERS = {
     "neg_mean_fc": lambda: -F.avg("fc"),
     "neg_min_fc": lambda: -F.min("fc"),
@@ -167,7 +168,7 @@ SCORERS = {
     "hit_count": lambda: F.sum("label").cast("double"),
     "mean_signed_logp": lambda: F.avg(_strength()),
     "max_signed_logp": lambda: F.max(_strength()),
-    "mean_fc_logp": lambda: F.avg(-F.col("fc") * -F.log10(F.greatest("p", F.lit(schema.P_FLOOR)))),
+    "mean_fc_x_logp": lambda: F.avg(-F.col("fc") * -F.log10(F.greatest("p", F.lit(schema.P_FLOOR)))),
 }
 
 
@@ -260,6 +261,7 @@ def pair_rows(df: DataFrame, cells: Sequence[str], values: Sequence[str]) -> Dat
 
 # ---- guide outcomes ----------------------------------------------------------------
 
+# The names of the statistics.
 GUIDE_STATS = (
     "depletion_mean",
     "depletion_median",

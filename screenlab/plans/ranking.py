@@ -494,4 +494,4 @@ def quantile_clip_sweep(spark: SparkSession, sf: str) -> DataFrame:
 def bootstrap_interval(spark: SparkSession, sf: str) -> DataFrame:
     """Score report of every submission: interval, lift over the base rate, smallest gap."""
     rows = roles.preds(spark, sf).withColumnRenamed("model", "submission")
-    return bootstrap.ap_interval(rows, ["submission"], "score", "label", replicates=200)
+    return bootstrap.ap_interval(rows, ["submission"], "score", "label")

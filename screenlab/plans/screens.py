@@ -244,7 +244,7 @@ def guide_outcome_summary(spark: SparkSession, sf: str) -> DataFrame:
     return round_all(out, list(screen.GUIDE_STATS))
 
 
-_ACROSS = ("depletion_mean", "depletion_max", "guide_count")
+_ACROSS = screen.GUIDE_STATS
 
 
 def _across_sql() -> str:
@@ -287,7 +287,7 @@ def guide_outcomes_across_cells(spark: SparkSession, sf: str) -> DataFrame:
     f"""SELECT target, {r('-avg(fc)', 'neg_mean_fc')}, {r('-min(fc)', 'neg_min_fc')},
   {r('-max(fc)', 'neg_max_fc')}, {r('-median(fc)', 'neg_median_fc')}, {r('sum(label)', 'hit_count')},
   {r(f'avg({_SIGNED})', 'mean_signed_logp')}, {r(f'max({_SIGNED})', 'max_signed_logp')},
-  {r('avg(fc * log10(greatest(p, 1e-12)))', 'mean_fc_logp')}
+  {r('avg(fc * log10(greatest(p, 1e-12)))', 'mean_fc_x_logp')}
 FROM gene WHERE cell <> 'RF' GROUP BY target""",
     ("gene",),
 )
@@ -311,14 +311,14 @@ def outcome_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "baseline_submission",
     """
-, m AS (SELECT target, avg(fc) AS m FROM gene WHERE cell IN ('AF', 'AO') GROUP BY target)
+, m AS (SELECT target, avg(fc) AS m FROM gene WHERE cell <> 'RO' GROUP BY target)
 SELECT target, cell, round(coalesce(-m, 0), 6) + 0e0 AS y_pred_proba
 FROM gene LEFT JOIN m USING (target) WHERE cell = 'RO'""",
     ("gene",),
 )
 def baseline_submission(spark: SparkSession, sf: str) -> DataFrame:
     gene = roles.gene(spark, sf)
-    train = gene.where(F.col("cell").isin("AF", "AO"))
+    train = gene.where(F.col("cell") != "RO")
     keys = gene.where(F.col("cell") == "RO").select("target", "cell")
     return screen.baseline_submission(train, keys)
 

@@ -56,12 +56,16 @@ def gene_records(fields: DataFrame) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """FASTA split at ">": one row per record, however long."""
-    return fasta_records(spark.read.option("lineSep", ">").text(path))
+    """FASTA split at each ">" that begins a line: one row per record, however long."""
+    return fasta_records(spark.read.option("lineSep", "\n>").text(path))
 
 
 def fasta_records(chunks: DataFrame) -> DataFrame:
-    """(name, seq) from record texts: first line is the header, the rest is joined."""
+    """(name, seq) from record texts: first line is the header, the rest is joined.
+
+    A record may keep the ">" of its first line, as the first of a file does.
+    """
+    chunks = chunks.withColumn("value", F.regexp_replace("value", r"^\s*>", ""))
     header = F.substring_index("value", "\n", 1)
     rest = F.expr("substring(value, length(substring_index(value, '\n', 1)) + 1)")
     return (

@@ -21,7 +21,7 @@ NEIGHBOUR = "Closest protein-coding gene symbol"
 DISTANCE = "Distance to closest protein-coding gene"
 LNC_GROUP = "long non-coding RNA"
 SCREENED_SUFFIX = " RfxCas13d"
-FOLD_CHANGE = r"(?i)day\s*(\d+)\s.*rep[a-z]*\s*(\d+)\s*\(fold-change\)"
+FOLD_CHANGE = r"(?i)[Dd]ay\s*(\d+).*?[Rr]ep(?:licate)?\s*(\d+).*?\(Fold-change\)"
 
 
 def read_page(spark: SparkSession, path: str) -> DataFrame:

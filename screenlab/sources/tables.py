@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 def dealt_out(df: DataFrame) -> DataFrame:
     """A file-based frame with at least one task per core.
 
-    A long text costs far more to process than to move, so a table stored in
-    fewer files than there are cores is dealt out once, round robin.  A table
-    with enough files, as any large one has, is returned untouched.
+    A long text costs far more to process than to move, so a table that is read
+    in fewer tasks than there are cores is dealt out once, round robin.  Only the
+    number of tasks is looked at, on the driver; rows are the same either way.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(2 * cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
 
 
 def read_embeddings(spark: SparkSession, path: str, key: str, vector: str) -> DataFrame:

@@ -105,3 +105,23 @@ def test_bootstrap_brackets_the_estimate(spark):
     b = bootstrap.ap_interval(df, [], "s", "y", replicates=150).first()
     assert a.ci_low < a.auprc < a.ci_high and 0 < a.ci_width < 0.5
     assert (a.ci_low, a.ci_high) == (b.ci_low, b.ci_high)
+
+
+def test_bootstrap_draws_do_not_follow_a_setting(spark):
+    rows = [(float((i * 37) % 101), int(i % 9 == 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "s double, y int")
+    ends = []
+    for blocks in (3, 40):
+        reps = bootstrap.ap_replicates(df, [], "s", "y", replicates=100, blocks=blocks)
+        ends.append({r.replicate: round(r.ap, 12) for r in reps.collect()})
+    assert len(ends[0]) == 100 and ends[0] == ends[1]
+
+
+def test_bootstrap_counts_are_poisson():
+    import numpy as np
+
+    key = np.arange(20_000, dtype=np.uint64) * np.uint64(12345)
+    for mean in (1, 3, 40):
+        u = bootstrap._uniform(key, np.arange(5), 0, 1)
+        x = bootstrap._poisson(np.full(len(key), mean), u)
+        assert abs(x.mean() - mean) < 0.03 * mean and abs(x.var() - mean) < 0.05 * mean

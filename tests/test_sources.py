@@ -97,6 +97,19 @@ def test_page_from_csv(spark, tmp_path):
     assert (got["ID"], got["Target"]) == ("g1", "T1")
 
 
+def test_fold_change_headers():
+    import re
+
+    for text, found in (
+        ("Day 14_Rep 1 (Fold-change)", ("14", "1")),
+        ("Day 7 Rep 2 log2 (Fold-change)", ("7", "2")),
+        ("day 7 replicate 1 (fold-change)", ("7", "1")),
+        ("Day 7 - P value", None),
+    ):
+        match = re.search(sheets.FOLD_CHANGE, text)
+        assert (match.groups() if match else None) == found
+
+
 def test_gtf_and_fasta_files(spark, tmp_path):
     gtf = tmp_path / "a.gtf"
     line = '1\tsrc\texon\t{}\t{}\t.\t+\t.\tgene_id G1; transcript_id T1;\n'
@@ -104,7 +117,7 @@ def test_gtf_and_fasta_files(spark, tmp_path):
     exons = genome.exons(genome.read_gtf(spark, str(gtf)))
     assert sorted((r.gene, r.tx, r.s, r.e) for r in exons.collect()) == [("G1", "T1", 1, 3), ("G1", "T1", 5, 9)]
     fasta = tmp_path / "a.fa"
-    fasta.write_text(">one first\nACG\nT\n>two\nGG\n\nCC\n")
+    fasta.write_text(">one first\nACG\nT\n>two a>b note\nGG\n\nCC\n")
     got = {r.name: r.seq for r in genome.read_fasta(spark, str(fasta)).collect()}
     assert got == {"one": "ACGT", "two": "GGCC"}
 
