@@ -6,6 +6,7 @@ A design frame has its key columns, ``features`` (vector), ``label`` and
 
 from __future__ import annotations
 
+import inspect
 import random
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from itertools import product
@@ -56,11 +57,15 @@ def _scaled(estimator: Estimator) -> Pipeline:
 
 
 @register("logreg")
-def _logreg(C: float = 1.0, rows: int = 1000, maxIter: int = 50) -> Estimator:
-    """L2 penalty of 1 / (C n) per row, as in the summed-loss form."""
+def _logreg(C: float = 1.0, total_weight: float = 1000.0, maxIter: int = 50) -> Estimator:
+    """L2 penalty of 1 / (C total weight), as in the summed-loss form; fits take the weight from their rows."""
     return _scaled(
         mc.LogisticRegression(
-            regParam=1.0 / (C * rows), elasticNetParam=0.0, weightCol="weight", maxIter=maxIter
+            regParam=1.0 / (C * total_weight),
+            elasticNetParam=0.0,
+            weightCol="weight",
+            maxIter=maxIter,
+            standardization=False,
         )
     )
 
@@ -108,13 +113,18 @@ def _net(inputs: int, hidden: int = 16, maxIter: int = 50, seed: int = 0) -> Est
 
 
 @register("ridge")
-def _ridge(alpha: float = 1.0, rows: int = 1000) -> Estimator:
-    return mr.LinearRegression(regParam=alpha / rows, elasticNetParam=0.0)
+def _ridge(alpha: float = 1.0, rows: int = 1000, spread: float = 1.0) -> Estimator:
+    """Squared errors summed plus alpha times the squared norm.
+
+    The estimator divides its penalty by the spread of the outcome; fits take
+    both numbers from their rows.
+    """
+    return mr.LinearRegression(regParam=alpha * spread / rows, elasticNetParam=0.0, standardization=False)
 
 
 @register("lasso")
 def _lasso(alpha: float = 0.01) -> Estimator:
-    return mr.LinearRegression(regParam=alpha, elasticNetParam=1.0)
+    return mr.LinearRegression(regParam=alpha, elasticNetParam=1.0, standardization=False)
 
 
 @register("boosted_regression")
@@ -151,7 +161,18 @@ def predicted(model: Model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
 def fit_predict(
     name: str, train: DataFrame, test: DataFrame, keep: Sequence[str], **params
 ) -> DataFrame:
-    return predicted(build(name, **params).fit(train), test, keep)
+    return predicted(build(name, **{**sized(name, train), **params}).fit(train), test, keep)
+
+
+def sized(name: str, train: DataFrame) -> dict:
+    """The parameters of a penalised model that follow from its training rows."""
+    wanted = inspect.signature(REGISTRY[name]).parameters if name in REGISTRY else {}
+    if "rows" in wanted:
+        n, spread = train.agg(F.count(F.lit(1)), F.stddev_pop("label")).first()
+        return {"rows": max(1, n), "spread": spread or 1.0}
+    if "total_weight" in wanted:
+        return {"total_weight": train.agg(F.sum("weight")).first()[0] or 1.0}
+    return {}
 
 
 def base_rate_model(train: DataFrame, test: DataFrame, keep: Sequence[str], label: str = "label") -> DataFrame:

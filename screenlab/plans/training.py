@@ -191,7 +191,7 @@ def pooled_and_own_models(spark: SparkSession, sf: str) -> DataFrame:
     train = models.weighted(design.where(~test_rows).drop("weight"))
     test = design.where(test_rows)
     pooled = models.fit_predict("decision_tree", train, test, [*KEYS, "label"], maxDepth=3)
-    own = models.per_group(train, test, "cell", roles.CELLS[:3], [*KEYS, "label"], "decision_tree", maxDepth=3)
+    own = models.per_group(train, test, "cell", roles.CELLS, [*KEYS, "label"], "decision_tree", maxDepth=3)
     both = pooled.withColumn("kind", F.lit("pooled")).unionByName(own.withColumn("kind", F.lit("own")))
     return ranking_metrics(cut_lineage(both), ["kind", "cell"], "score", "label")
 

@@ -33,6 +33,36 @@ def test_knn_is_exact(points, pivots, piece):
     assert got == want
 
 
+def test_penalties_equal_closed_form(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, [1.0, 5.0, 0.2], (80, 3))
+    y = x @ [1.0, -0.5, 2.0] + rng.normal(0, 0.5, 80) + 3
+    rows = [(i, Vectors.dense(v), float(t), 1.0) for i, (v, t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, ["id", "features", "label", "weight"])
+    got = models.fit_predict("ridge", df, df, ["id"], alpha=7.0).orderBy("id").toPandas()["score"].to_numpy()
+    c = x - x.mean(0)
+    w = np.linalg.solve(c.T @ c + 7.0 * np.eye(3), c.T @ (y - y.mean()))
+    assert np.abs(got - (c @ w + y.mean())).max() < 1e-4
+
+
+def test_logistic_penalty_is_that_of_the_summed_loss(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (120, 2))
+    y = (x[:, 0] + rng.normal(0, 1, 120) > 0).astype(float)
+    weight = np.where(y == 1, 3.0, 1.0)
+    rows = [(i, Vectors.dense(v), t, k) for i, (v, t, k) in enumerate(zip(x, y.tolist(), weight.tolist()))]
+    df = spark.createDataFrame(rows, ["id", "features", "label", "weight"])
+    got = models.fit_predict("logreg", df, df, ["id"], C=0.05).orderBy("id").toPandas()["score"].to_numpy()
+    z = np.c_[(x - x.mean(0)) / x.std(0, ddof=1), np.ones(120)]
+    a = np.zeros(3)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ a))
+        g = 0.05 * z.T @ (weight * (p - y)) + a * [1, 1, 0]
+        h = 0.05 * (z * (weight * p * (1 - p))[:, None]).T @ z + np.diag([1.0, 1, 0])
+        a -= np.linalg.solve(h, g)
+    assert np.abs(got - 1 / (1 + np.exp(-z @ a))).max() < 1e-3
+
+
 def test_smote_evens_the_classes(points):
     _, df = points
     out = neighbours.smote(df, 3)
