@@ -30,11 +30,11 @@ from screenlab.llm.common import shared_folder, written
 
 #: Similarity in percent, words of a shingle.
 SIMILARITY, WORDS = 80, 5
-#: Hash buckets whose hits order the shingles: four bytes each, whatever the corpus.
-BUCKET_BITS = 20
+#: Hash buckets whose hits order the shingles: two bytes each, whatever the corpus.
+BUCKET_BITS = 24
 _SLICES = 64
-#: Fellows each member is first held against.
-FELLOWS = 4
+#: Keys of so many sets are first thinned out, in some rounds, by so many fellows for each set.
+LARGE, ROUNDS, FELLOWS = 64, 5, 4
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -69,9 +69,16 @@ def _buckets(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
+def _sliced(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    parts = [zlib.compress(p.astype(np.uint16).tobytes(), 1) for p in np.split(np.minimum(total, 65535), _SLICES)]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(range(_SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "hits"]
+    )
+
+
 def _hits(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles per bucket, each set of the task once, in slices."""
-    total, seen, known = np.zeros(1 << BUCKET_BITS, np.int64), set(), {}
+    total, seen, known = np.zeros(1 << BUCKET_BITS, np.int32), set(), {}
     for batch in batches:
         for text in batch.column(0):
             x = shingles(text.as_py(), known, words)
@@ -79,39 +86,33 @@ def _hits(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             if d not in seen:
                 seen.add(d)
                 np.add.at(total, _buckets(x), 1)
-    parts = [zlib.compress(p.tobytes(), 1) for p in np.split(total, _SLICES)]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(range(_SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "hits"]
-    )
+    yield from _sliced(total)
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the slices of a task; slices are few, so this keeps _SLICES arrays at most."""
+    """Sums of the slices of a task; there are _SLICES slices at most."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(zlib.decompress(x), np.int64)
-            total[k] = total[k] + x if k in total else x
+            x = np.frombuffer(zlib.decompress(x), np.uint16).astype(np.int32)
+            total[k] = np.minimum(total[k] + x, 65535) if k in total else x
+    data = [zlib.compress(x.astype(np.uint16).tobytes(), 1) for x in total.values()]
     yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(list(total), pa.int32()),
-            pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary()),
-        ],
-        names=["slice", "hits"],
+        [pa.array(list(total), pa.int32()), pa.array(data, pa.binary())], names=["slice", "hits"]
     )
 
 
 def bucket_hits(texts: DataFrame, words: int) -> np.ndarray:
-    """How often each hash bucket is hit over all texts: an order of shingles, nothing else.
+    """How often each hash bucket is hit over all texts, up to 65535: an order of shingles, nothing else.
 
     Whatever the hits are, results are the same; rare shingles first makes fewer candidates.
     """
     rows = texts.mapInArrow(functools.partial(_hits, words), "slice int, hits binary")
     rows = rows.repartition(_SLICES, "slice").mapInArrow(_added, "slice int, hits binary")
-    out = np.zeros((_SLICES, (1 << BUCKET_BITS) // _SLICES), np.int64)
+    out = np.zeros((_SLICES, (1 << BUCKET_BITS) // _SLICES), np.uint16)
     for r in rows.toLocalIterator():
-        out[r["slice"]] += np.frombuffer(zlib.decompress(bytes(r["hits"])), np.int64)
-    return np.minimum(out.ravel(), np.iinfo(np.int32).max).astype(np.int32)
+        out[r["slice"]] = np.frombuffer(zlib.decompress(bytes(r["hits"])), np.uint16)
+    return out.ravel()
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -152,39 +153,37 @@ def _prefixes(hits, percent: int, words: int, batches: Iterator[pa.RecordBatch])
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Prefix shingles of a task's groups. One row of each shingle is compared across tasks.
+    """Prefix shingles of a task's groups and their places. One row of each shingle is compared across tasks.
 
     Shingles that two groups of the task share are settled, all their rows, so a
     shingle that a third of all groups hold is one compared row of each task.
     """
-    shingle, group, held = [], [], 0
+    shingle, group, place, held = [], [], [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        h, g = np.concatenate(shingle), np.concatenate(group)
+        h, g, p = (np.concatenate(x) for x in (shingle, group, place))
         order = np.lexsort((g, h))
-        h, g = h[order], g[order]
-        fresh = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]
-        h, g = h[fresh], g[fresh]
+        h, g, p = h[order], g[order], p[order]
         head = np.r_[True, h[1:] != h[:-1]]
         several = np.where(head, np.r_[~head[1:], False], True)
         # Of a shared shingle the head is sent to be compared, and all its rows as settled.
-        h2, g2 = np.r_[h[head], h[several]], np.r_[g[head], g[several]]
-        settled = np.r_[np.zeros(head.sum(), bool), np.ones(several.sum(), bool)]
-        for a in range(0, len(h2), 100_000):
-            part = slice(a, a + 100_000)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h2[part]), pa.array(g2[part]), pa.array(settled[part])], names=["h", "grp", "settled"]
-            )
+        at = np.r_[np.flatnonzero(head), np.flatnonzero(several)]
+        settled = np.arange(len(at)) >= head.sum()
+        for a in range(0, len(at), 100_000):
+            part = at[a : a + 100_000]
+            columns = [pa.array(x) for x in (h[part], g[part], p[part], settled[a : a + 100_000])]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "grp", "place", "settled"])
 
     for batch in batches:
         for g, p in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             p = p.values.to_numpy()
             shingle.append(p)
             group.append(np.full(len(p), g, np.int64))
+            place.append(np.arange(len(p), dtype=np.int32))
             held += len(p)
         if held > 2_000_000:
             yield from flush()
-            shingle, group, held = [], [], 0
+            shingle, group, place, held = [], [], [], 0
     if held:
         yield from flush()
 
@@ -234,101 +233,114 @@ class _Join:
         return self.kept(found.select("k.id", "k.k", "node", "n", "grp", "prefix"))
 
     def candidates(self, rows: DataFrame) -> DataFrame:
-        """(key, node, n): sets under one key may be alike; keys with one set are left out.
+        """(key, node, n, place, up): sets under one key may be alike; keys with one set are left out.
 
         A key is a shared shingle, or a group of several sets, with a band of
-        sizes; sets of sizes that can be alike share a band.
+        sizes. Each set stands in its own band and, marked up, in the next one,
+        so sets of sizes that can be alike meet once.
         """
         prefixes = rows.filter(F.col("prefix").isNotNull()).select("grp", "prefix")
-        posts = prefixes.mapInArrow(_postings, "h long, grp long, settled boolean")
-        own = F.when(F.col("settled"), F.col("grp"))
-        by_shingle = Window.partitionBy("h", own)
-        shared = posts.withColumn("_same", F.min("grp").over(by_shingle) == F.max("grp").over(by_shingle))
-        shared = shared.filter(F.col("settled") | ~F.col("_same")).select("h", "grp").distinct()
+        posts = prefixes.mapInArrow(_postings, "h long, grp long, place int, settled boolean")
+        by_shingle = Window.partitionBy("h", F.when(F.col("settled"), F.col("grp")))
+        posts = posts.withColumn("_same", F.min("grp").over(by_shingle) == F.max("grp").over(by_shingle))
+        shared = posts.filter(F.col("settled") | ~F.col("_same")).select("h", "grp", "place").distinct()
         sets = rows.filter("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("grp").alias("grp"))
-        several = sets.groupBy("grp").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("grp").alias("h"), "grp")
-        members = self.kept(shared.unionByName(several)).join(sets, "grp")
+        several = sets.groupBy("grp").agg(F.count("*").alias("c")).filter("c > 1")
+        several = several.select(F.col("grp").alias("h"), "grp", F.lit(0).alias("place"))
+        members = shared.unionByName(several).join(sets, "grp")
         band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / self.percent) - 1e-9)
-        keyed = members.select(F.explode(F.array(band, band + 1)).alias("band"), "h", "node", "n")
-        keyed = self.kept(keyed.select(F.xxhash64("h", "band").alias("key"), "node", "n").distinct())
-        more = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-        return self.kept(keyed.join(more, "key"))
+        own = F.struct(band.alias("b"), F.lit(False).alias("up"))
+        both = F.explode(F.array(own, F.struct((band + 1).alias("b"), F.lit(True).alias("up"))))
+        keyed = members.select(both.alias("x"), "h", "node", "n", "place")
+        keyed = self.kept(keyed.select(F.xxhash64("h", "x.b").alias("key"), "node", "n", "place", "x.up"))
+        return keyed.join(self.meeting(keyed), "key")
+
+    @staticmethod
+    def meeting(keyed: DataFrame) -> DataFrame:
+        """Keys of two sets or more of which one is in its own band."""
+        n, own = F.count("*").alias("c"), F.max(~F.col("up")).alias("own")
+        return keyed.groupBy("key").agg(n, own).filter("c > 1 AND own").select("key")
 
     def sets_of(self, rows: DataFrame, nodes: DataFrame) -> DataFrame:
         """(node, s): the whole shingle set of each node, from one row that has it."""
         one = rows.filter("n > 0").groupBy("node").agg(F.min("k").alias("k")).join(nodes, "node")
-        texts = self.given.select("k", "text").join(one, "k").select("node", "text")
-        schema = "node binary, s array<long>"
-        sets = texts.mapInArrow(functools.partial(_sets, self.words), schema)
-        return self.kept(sets.groupBy("node").agg(F.first("s").alias("s")))
+        texts = self.given.select("k", "text").join(one, "k").groupBy("k")
+        texts = texts.agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text")
+        return texts.mapInArrow(functools.partial(_sets, self.words), "node binary, s array<long>")
 
-    def alike(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def alike(self, rows: DataFrame, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) and whether their whole sets are alike."""
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        sets = self.kept(self.sets_of(rows, wanted))
         a, b = (sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in ("a", "b"))
         both = pairs.join(a, "a").join(b, "b")
         common = F.size(F.array_intersect("sa", "sb"))
         union = F.size("sa") + F.size("sb") - common
-        return both.select("a", "b", (100 * common >= self.percent * union).alias("linked"))
+        linked = (100 * common >= self.percent * union).alias("linked")
+        return self.kept(both.select("a", "b", "ca", "cb", linked))
 
     def components(self, rows: DataFrame) -> DataFrame:
         """(node, comp) of all nodes with candidates."""
-        keyed = self.candidates(rows)
-        nodes = keyed.select("node").distinct()
-        comp = self.kept(nodes.withColumn("comp", F.col("node")))
-        tried, sets, left = None, None, None
-        while True:
+        keyed = self.kept(self.candidates(rows))
+        comp = self.kept(keyed.select("node").distinct().withColumn("comp", F.col("node")))
+        tried = None
+        for turn in range(ROUNDS + 1):
             now = keyed.join(comp, "node")
-            per = now.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key")
-            per = per.agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"))
+            sizes = now.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key")
+            sizes = sizes.agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q")).filter("m * m > q")
             across = ((F.col("m") * F.col("m") - F.col("q")) / 2).alias("p")
-            open_keys = self.kept(per.filter("m * m > q").select("key", "m", across))
-            now = now.join(open_keys, "key")
-            row = open_keys.agg(F.sum("p").alias("p"), F.sum("m").alias("m")).first()
-            if row["p"] is None:
-                return comp
-            # Few pairs left for the rows there are, or fellows bring no more: compare all that are left.
-            last = row["p"] <= 2 * row["m"] or (left is not None and row["p"] > 0.7 * left)
-            pairs = self.pairs_left(now) if last else self.fellows(now)
-            left = row["p"]
-            pairs = pairs.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a")
-            pairs = pairs.join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
-            pairs = pairs.filter("ca <> cb")
+            sizes = self.kept(sizes.select("key", "m", across))
+            large = sizes.filter(F.col("m") >= LARGE)
+            total = large.agg(F.sum("p").alias("p"), F.sum("m").alias("m")).first()
+            # All pairs, once large keys have few left for their rows.
+            last = turn == ROUNDS or total["p"] is None or total["p"] <= 4 * total["m"]
+            pairs = self.pairs_left(now.join(sizes, "key")) if last else self.fellows(now.join(large, "key"), turn)
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            pairs = self.kept(pairs)
-            if sets is None:
-                mine = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-                sets = self.sets_of(rows, mine if last else nodes)
-            found = self.kept(self.alike(pairs.select("a", "b"), sets))
-            links = found.filter("linked").join(pairs, ["a", "b"]).select("ca", "cb").distinct()
+            found = self.alike(rows, self.kept(pairs))
+            links = found.filter("linked").select("ca", "cb").distinct()
             moved = connected(links, "ca", "cb", self.kept)
-            comp = self.kept(
-                comp.join(moved, comp["comp"] == moved["v"], "left").select(
-                    "node", F.coalesce("l", "comp").alias("comp")
-                )
-            )
+            new = comp.join(moved, comp["comp"] == moved["v"], "left")
+            comp = self.kept(new.select("node", F.coalesce("l", "comp").alias("comp")))
             if last:
                 return comp
-            new = found.filter("NOT linked").select("a", "b")
-            tried = new if tried is None else tried.unionByName(new)
+            failed = found.filter("NOT linked").select("a", "b")
+            tried = failed if tried is None else tried.unionByName(failed)
+        raise AssertionError
+
+    def fits(self) -> Column:
+        """Can sets that first meet at these places of their prefixes be alike?"""
+        most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+        return (100 + self.percent) * most >= self.percent * (F.col("na") + F.col("nb"))
 
-    def fellows(self, now: DataFrame) -> DataFrame:
-        """Each node with a few nodes of its fullest open key, the same few for all of a key."""
-        some = [F.min_by("node", F.xxhash64(F.lit(seed), "node")) for seed in range(FELLOWS)]
-        hubs = now.groupBy("key").agg(F.array(*some).alias("f"))
-        mine = now.groupBy("node").agg(F.max(F.struct("m", "key")).alias("x")).select("node", "x.key")
-        pairs = mine.join(hubs, "key").select("node", F.explode("f").alias("f")).filter("node <> f")
-        return pairs.select(F.least("node", "f").alias("a"), F.greatest("node", "f").alias("b")).distinct()
+    def fellows(self, now: DataFrame, turn: int) -> DataFrame:
+        """Each set with a few sets of its fullest key, the same few for all of a key.
+
+        One is the set that meets most others, the rest change from turn to turn.
+        """
+        met = now.groupBy("node").agg(F.sum("m").alias("met"), F.max(F.struct("m", "key")).alias("x"))
+        now = now.join(met, "node")
+        some = [F.xxhash64(F.lit(FELLOWS * turn + k), "node") for k in range(FELLOWS)]
+        some = [F.struct("met", "node"), *some[1:]] if turn == 0 else some
+        chosen = F.struct("node", "comp", "n")
+        hubs = now.groupBy("key").agg(F.array(*[F.max_by(chosen, x) for x in some]).alias("f"))
+        mine = now.filter("x.key = key").select("key", "node", "comp", "n").join(hubs, "key")
+        mine = mine.select("node", "comp", "n", F.explode("f").alias("f")).filter("comp <> f.comp")
+        mine = mine.filter(100 * F.least("n", "f.n") >= self.percent * F.greatest("n", "f.n"))
+        first = F.col("node") < F.col("f.node")
+        ends = {"a": ("node", "f.node"), "b": ("f.node", "node"), "ca": ("comp", "f.comp"), "cb": ("f.comp", "comp")}
+        ends = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(e) for e, (x, y) in ends.items()]
+        return mine.select(*ends).distinct()
 
     def pairs_left(self, now: DataFrame) -> DataFrame:
-        """All pairs of different components under a key whose sizes can be alike."""
-        a, b = (
-            now.select("key", F.col("node").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"))
-            for x in "ab"
-        )
-        both = a.join(b, "key").filter("a < b AND ca <> cb")
-        fits = 100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")
-        return both.filter(fits).select("a", "b").distinct()
+        """All pairs of different components that meet under a key and can be alike."""
+
+        def side(x: str) -> DataFrame:
+            names = {"node": x, "comp": f"c{x}", "n": f"n{x}", "place": f"p{x}", "up": f"u{x}"}
+            return now.select("key", *[F.col(c).alias(name) for c, name in names.items()])
+
+        both = side("a").join(side("b"), "key").filter("a < b AND ca <> cb AND NOT (ua AND ub)")
+        return both.filter(self.fits()).select("a", "b", "ca", "cb").distinct()
 
 
 def connected(edges: DataFrame, a: str, b: str, kept) -> DataFrame:
