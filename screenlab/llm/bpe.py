@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Letters of text in one round of queries, and pre-tokens a worker remembers.
-CHUNK, REMEMBERED = 4_000_000, 400_000
+CHUNK, REMEMBERED = 3_000_000, 400_000
 #: Contractions of a segment in one recursive query; longer ones take several.
 STEPS = 48
 
@@ -70,7 +70,7 @@ class Coder:
                 a, b = rank.get(token[:k]), rank.get(token[k:])
                 if a is not None and b is not None:
                     splits.append(((a << 20) | b, made))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.store("merges", pair=np.array([p for p, _ in splits], np.int64), made=np.array([m for _, m in splits]))
         vocab = pa.table({"id": [r for _, r in tokens], "hex": [t.hex() for t, _ in tokens]})
         self.db.register("_vocab", vocab)
@@ -239,20 +239,36 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> Data
     return out.select(F.col("_row").alias("row"), F.col("_ids").alias("ids"), F.col("_bytes").alias("bytes"))
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _round_trip(path: str, pattern: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    own = coder(path, pattern)
     for batch in batches:
-        ids = [x.values.to_numpy().astype("<u4").tobytes() if x.is_valid else b"" for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([hashlib.sha256(x).hexdigest() for x in ids])],
-            names=["_row", "_ids", "_sha"],
-        )
+        at = 0
+        for texts in _chunks(batch.column(1)):
+            ids = own.encode(texts)
+            told = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]
+            back = [hashlib.sha256(x).hexdigest() for x in own.decode(ids)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).slice(at, len(texts)),
+                    pa.array(ids, pa.list_(pa.int32())),
+                    pa.array(told),
+                    pa.array(back),
+                ],
+                names=["_row", "_ids", "_told", "_back"],
+            )
+            at += len(texts)
 
 
-def with_id_digest(df: DataFrame, ids_col: str = "ids") -> DataFrame:
-    """(row, ids, ids_sha256): digest of the ids as little-endian unsigned 32-bit integers."""
-    rest = [c for c in df.columns if c != ids_col]
-    row = F.struct(*[F.col(f"`{c}`") for c in rest])
-    given = df.select(row.alias("_row"), F.col(ids_col).alias("_ids"))
-    schema = T.StructType([*given.schema, T.StructField("_sha", T.StringType())])
-    out = given.mapInArrow(_hashed, schema)
-    return out.select(F.col("_row").alias("row"), F.col("_ids").alias("ids"), F.col("_sha").alias("ids_sha256"))
+def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """(row, ids, ids_sha256, decoded_sha256): `encode` and `decode` in one pass over the texts.
+
+    Digests are of the ids as little-endian unsigned 32-bit integers, and of the
+    bytes the ids decode to. Both steps share a worker and its database.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    given = docs.select(row.alias("_row"), F.col(text_col).alias("_text"))
+    digests = [T.StructField("_told", T.StringType()), T.StructField("_back", T.StringType())]
+    schema = T.StructType([given.schema["_row"], T.StructField("_ids", T.ArrayType(T.IntegerType())), *digests])
+    out = given.mapInArrow(functools.partial(_round_trip, path, pattern), schema)
+    names = {"_row": "row", "_ids": "ids", "_told": "ids_sha256", "_back": "decoded_sha256"}
+    return out.withColumnsRenamed(names)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenlab.llm.bpe import decode, encode, with_id_digest
+from screenlab.llm.bpe import round_trip
 from screenlab.llm.common import table
 
 NAME = "op5_byte_bpe"
@@ -16,15 +16,9 @@ SQL = None
 def coded(docs: DataFrame) -> DataFrame:
     """doc_id, ids, n_tokens, ids_sha256, decoded_sha256 of each document."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = encode(docs.select("doc_id", "text"), path, pattern)
-    ids = ids.select(F.col("row.doc_id").alias("doc_id"), "ids")
-    out = decode(ids, path, pattern).select(
-        F.col("row.doc_id").alias("doc_id"), "ids", F.sha2("bytes", 256).alias("decoded_sha256")
-    )
-    out = with_id_digest(out).select(
-        F.col("row.doc_id").alias("doc_id"), "ids", "ids_sha256", F.col("row.decoded_sha256").alias("decoded_sha256")
-    )
-    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", "decoded_sha256")
+    out = round_trip(docs.select("doc_id", "text"), path, pattern)
+    n = F.size("ids").cast("long").alias("n_tokens")
+    return out.select(F.col("row.doc_id").alias("doc_id"), "ids", n, "ids_sha256", "decoded_sha256")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
