@@ -31,7 +31,7 @@ from screenlab.llm.common import shared_folder, written
 #: Similarity in percent, words of a shingle.
 SIMILARITY, WORDS = 80, 5
 #: Hash buckets whose hits order the shingles: two bytes each, whatever the corpus.
-BUCKET_BITS = 24
+BUCKET_BITS = 23
 _SLICES = 64
 #: Keys of so many sets are first thinned out, in some rounds, by so many fellows for each set.
 LARGE, ROUNDS, FELLOWS = 64, 5, 4
@@ -44,7 +44,7 @@ def shingles(text: str | None, known: dict[bytes, int], words: int = WORDS) -> n
     parts = (text or "").encode().lower().split()
     if not parts:
         return np.zeros(0, np.uint64)
-    if len(known) > 500_000:
+    if len(known) > 300_000:
         known.clear()
     hashes = []
     for w in parts:
@@ -70,7 +70,7 @@ def _buckets(x: np.ndarray) -> np.ndarray:
 
 
 def _sliced(total: np.ndarray) -> Iterator[pa.RecordBatch]:
-    parts = [zlib.compress(p.astype(np.uint16).tobytes(), 1) for p in np.split(np.minimum(total, 65535), _SLICES)]
+    parts = [zlib.compress(np.minimum(p, 65535).astype(np.uint16).tobytes(), 1) for p in np.split(total, _SLICES)]
     yield pa.RecordBatch.from_arrays(
         [pa.array(range(_SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "hits"]
     )
