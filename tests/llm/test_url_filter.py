@@ -1,6 +1,10 @@
 import math
 import re
+import zlib
 
+import pytest
+
+from screenlab.llm import url_filter
 from screenlab.llm.op01 import RULES
 from screenlab.llm.url_filter import MarkovModel, judge_urls, logistic_curve
 
@@ -63,3 +67,32 @@ def test_curve_is_calibrated():
     x = np.linspace(-3, 3, 200)
     a, b = logistic_curve(x, 1 / (1 + np.exp(-(2 * x - 1))), np.full(200, 50.0))
     assert abs(a - 2) < 0.05 and abs(b + 1) < 0.05
+
+
+@pytest.mark.parametrize("bits", [2, 15])
+def test_rare_ngrams_count_whatever_the_size(spark, monkeypatch, bits):
+    # Each path's last n-grams stand once among far more than 2**15.
+    monkeypatch.setattr(url_filter, "BITS", bits)
+    taught = next(k for k in range(60000, 60100) if zlib.crc32(str(k).encode()) % 3 != 1)
+    rows = [(k, f"http://n.org/{k * 7919 % 10007:05d}-{k * 104729 % 99991:x}") for k in range(3000)]
+    rows += [(10000 + k, f"http://n.com/de/{k * 6007 % 10009:05d}") for k in range(3000)]
+    rows += [(50000, "http://n.net/zq-xjkv"), (taught, "http://n.org/zq-xjkv"), (50001, "http://n.net/zq-xjkv"), (7, None)]
+    counts, total = {"org": {}, "com": {}}, 0
+    for k, url in rows:
+        host = url and url.split("/")[2][2:]
+        if host in counts and zlib.crc32(str(k).encode()) % 3 != 1:
+            text = "^" + url[7:] + "$"
+            for size in range(1, 7):
+                for i in range(len(text) - size + 1):
+                    gram = text[i : i + size]
+                    counts[host][gram] = counts[host].get(gram, 0) + 1
+                    total += size == 6
+    assert total > 2**15 and counts["org"]["q-xjkv"] == 1
+    allow, block = MarkovModel(counts["org"]), MarkovModel(counts["com"])
+    df = spark.createDataFrame(rows, "page_id long, url string").repartition(3)
+    got = judge_urls(df, RULES).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = "^" + (r["row"]["url"] or "http://")[7:] + "$"
+        want = (allow.likelihood(text) - block.likelihood(text)) / (len(text) - 1) if len(text) > 2 else 0.0
+        assert math.isclose(r["ratio"], want, rel_tol=1e-9, abs_tol=1e-9), r
