@@ -111,8 +111,12 @@ def likelihoods(df: DataFrame, text_col: str, model, as_page: bool = False) -> D
 
 
 def declared_language(page: Column) -> Column:
-    """The main part of the lang attribute of the html element, in lower case; empty without one."""
-    found = F.regexp_extract(F.substring(page, 1, 4096), r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]+)", 1)
+    """The main part of the lang attribute of the html element, in lower case; empty without one.
+
+    The element is the first html tag outside comments, however far into the page.
+    """
+    tag = F.regexp_extract(F.regexp_replace(page, r"(?s)<!--.*?(?:-->|\z)", " "), r"(?i)<html(?=[\s/>])[^>]*", 0)
+    found = F.regexp_extract(tag, r"(?i)\slang\s*=\s*[\"']?([a-z]+)", 1)
     return F.lower(F.coalesce(found, F.lit("")))
 
 

@@ -44,3 +44,19 @@ def test_parts_of_pages_and_hosts(spark):
     got = df.select(declared_language(F.col("h")), suffix_of(F.col("u")), domain_of(F.col("u"))).collect()
     assert [tuple(r) for r in got] == [("de", "uk", "co.uk:80"), ("", "", ""), ("", "", "")]
     assert visible(html).split() == ["a&b", "c"]
+
+
+def test_declaration_stands_anywhere_in_the_page(spark):
+    tag = "<html class=x lang='de'><body lang=fr>x</body></html>"
+    pages = [
+        "<!-- " + "x" * 10000 + " -->" + tag,
+        "\n" * 9000 + tag,
+        " " * 4080 + tag,
+        "<!-- <html lang=fr> -->" + tag,
+        "<!--[if gt IE 8]><!-->" + tag + "<!--<![endif]-->",
+        "<html><p>&lt;</p><script>var a='<html lang=fr>'</script></html>",
+        "<!-- " + "<!-- " * 20000 + "<html lang=fr>",
+    ]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(pages)], "k long, h string")
+    got = [r[0] for r in df.orderBy("k").select(declared_language(F.col("h"))).collect()]
+    assert got == ["de"] * 5 + ["", ""]
