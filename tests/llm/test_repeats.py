@@ -56,3 +56,10 @@ def test_offsets_are_those_of_the_original(spark):
     (span,) = row["spans"]
     assert rows[1][1][span["start"] : span["end"]] == passage.upper()
     assert row["text"] == "New here.\n\nEnd."
+
+
+def test_runs_of_one_word_leave_no_later_line(spark):
+    rows = [(1, "Home. News\nOne of a kind."), (2, "HOME.  News\nTwo of them."), (3, "x\nTwo of them.\nhome. news")]
+    found = find_repeats(spark.createDataFrame(rows, "doc_id long, text string"), run_words=1)
+    left = {r["row"]["doc_id"]: r["text"].split() for r in found.collect()}
+    assert left == {1: ["Home.", "News", "One", "of", "a", "kind."], 2: ["Two", "of", "them."], 3: ["x"]}
