@@ -296,16 +296,19 @@ def search(
 ) -> DataFrame:
     """(trial, params, score, folds): mean fold metric per trial, best first.
 
-    Each fit is a job; all predictions are then scored in one grouped pass.
+    Each fit is a job, and the plan is cut after each trial; all predictions are
+    then scored in one grouped pass.
     """
     scored = None
     for t, params in enumerate(trials):
+        own = None
         for f in folds:
             train, valid = design.where(F.col(fold) != f), design.where(F.col(fold) == f)
             out = fit_predict(name, train, valid, [label], **params)
             out = out.select(F.lit(t).alias("trial"), F.lit(str(f)).alias("fold"), F.col(label).alias("label"), "score")
-            scored = out if scored is None else scored.unionByName(out)
-    scored = cut_lineage(scored)
+            own = out if own is None else own.unionByName(out)
+        own = cut_lineage(own)
+        scored = own if scored is None else scored.unionByName(own)
     per = metric_by_name(scored, metric, ["trial", "fold"], "score", "label")
     text = design.sparkSession.createDataFrame(
         [(t, repr(p)) for t, p in enumerate(trials)], "trial int, params string"

@@ -16,6 +16,8 @@ from screenlab.session import cut_lineage
 HELD = "RF"
 NAMES = [f"{o}_{s}" for o in screen.OUTCOMES for s in ("mean", "max", "min", "std")]
 KEYS = ["target", "cell"]
+#: Trials of a search; the reference's default.
+TRIALS = 50
 
 
 def _design(spark: SparkSession, sf: str, held: str = HELD) -> DataFrame:
@@ -135,20 +137,26 @@ def grid_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("nested_random_search")
-def nested_random_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Per outer cell: random search inside its training cells, then one prediction per row."""
+def nested_random_search(spark: SparkSession, sf: str, n_trials: int = TRIALS) -> DataFrame:
+    """Per outer cell: random search over all its training cells, then one prediction per row.
+
+    `n_trials` settings are drawn once and judged on each inner cell, so there are
+    cells x (n_trials x (cells - 1) + 1) fits.
+    """
     space = {"maxDepth": ("int", 2, 5), "minInstancesPerNode": ("int", 1, 50, "log")}
-    trials = models.draws(space, 2, seed=1)
+    trials = models.draws(space, n_trials, seed=1)
     out = None
-    for outer in roles.CELLS[:2]:
-        train, test = _parts(_design(spark, sf, outer), outer)
-        inner = [c for c in roles.CELLS if c != outer][:2]
+    for outer in roles.CELLS:
+        design = _design(spark, sf, outer)
+        train, test = _parts(design, outer)
+        inner = [c for c in roles.CELLS if c != outer]
         found = models.search(train, "cell", inner, "decision_tree", trials)
         params = models.best_params(found, trials)
         part = models.fit_predict("decision_tree", train, test, [*KEYS, "label"], **params)
-        part = part.withColumn("params", F.lit(repr(params)))
+        part = cut_lineage(part.withColumn("params", F.lit(repr(params))))
+        design.unpersist()
         out = part if out is None else out.unionByName(part)
-    checked = models.require_once(cut_lineage(out), KEYS)
+    checked = models.require_once(out, KEYS)
     return ranking_metrics(checked, ["cell", "params"], "score", "label")
 
 

@@ -196,3 +196,19 @@ def test_saved_run(spark, design, tmp_path):
     pipeline.save(done, str(tmp_path / "runs"), "one")
     back = spark.read.parquet(str(tmp_path / "runs" / "predictions"))
     assert back.count() == 200 and back.first().run_id == "one"
+
+
+def test_nested_search_uses_every_cell(spark, sf, monkeypatch):
+    from screenlab.plans import roles, training
+
+    judged = {}
+
+    def search(train, fold, folds, name, trials):
+        cells = {r[0] for r in train.select(fold).distinct().collect()}
+        judged[tuple(set(roles.CELLS) - cells)] = (set(folds) == cells, len(trials))
+        return spark.createDataFrame([(0,)], "trial int")
+
+    monkeypatch.setattr(training.models, "search", search)
+    got = training.nested_random_search(spark, sf).collect()
+    assert judged == {(c,): (True, 50) for c in roles.CELLS}
+    assert {r["cell"] for r in got} == set(roles.CELLS)
