@@ -20,6 +20,7 @@ from itertools import chain, groupby
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -248,7 +249,8 @@ def _batches(batches: Iterator[pa.RecordBatch], columns) -> Iterator[pa.RecordBa
     """Each row's first column, and what `columns` makes of the values of its second."""
     for batch in batches:
         values = batch.column(1)
-        for a, b in _chunks([len(x) if x.is_valid else 0 for x in values]):
+        size = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+        for a, b in _chunks(pc.fill_null(size, 0).to_pylist()):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(a, b - a), *columns(values.slice(a, b - a).to_pylist())],
                 names=[str(k) for k in range(1 + len(columns([])))],
