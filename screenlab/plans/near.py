@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenlab.operators import neighbours
+from screenlab.operators import neighbours, vector_index
 from screenlab.plans import roles
 from screenlab.plans.registry import query, round_all
 from screenlab.plans.sqltext import r
@@ -58,6 +58,40 @@ def knn_probability(spark: SparkSession, sf: str) -> DataFrame:
     return round_all(neighbours.knn_vote(_near(spark, sf), labels), ["probability"])
 
 
+def _indexed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The embeddings, every hundredth of them as a query, and what an index finds for these."""
+    emb = roles.emb(spark, sf)
+    asked = emb.where(F.col("id") % 100 == 0)
+    index = vector_index.fit_index(emb, K)
+    rows = vector_index.index_rows(index, emb)
+    return emb, asked, vector_index.search_index(index, rows, emb, asked, K)
+
+
+@query("indexed_neighbours")
+def indexed_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """Near rows of every hundredth one, by cells of short codes and exact comparison of the best."""
+    return _indexed(spark, sf)[2]
+
+
+@query(
+    "indexed_neighbour_recall",
+    f"""SELECT count(*) FILTER (id % 100 = 0) AS queries, count(*) FILTER (id % 100 = 0) * {K} AS neighbours,
+TRUE AS reached, round(least({8 * K}, count(*)) / count(*), 9) AS compared FROM emb""",
+    ("emb",),
+)
+def indexed_neighbour_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the index finds nine tenths of what exact search does, and the share of rows it compares."""
+    emb, asked, found = _indexed(spark, sf)
+    seen = vector_index.recall(found, neighbours.knn(asked, emb, K))
+    n = emb.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return seen.select(
+        asked.agg(F.count(F.lit(1)).alias("n")).scalar().alias("queries"),
+        "neighbours",
+        (F.col("recall") >= 0.9).alias("reached"),
+        F.round(F.least(F.lit(8 * K), n) / n, 9).alias("compared"),
+    )
+
+
 def _binary(spark: SparkSession, sf: str) -> DataFrame:
     return roles.emb(spark, sf).select("id", "vec", (F.col("label") == 0).cast("int").alias("y"))
 
