@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from screenlab.functions import maths as fm
 from screenlab.operators import resample
+from screenlab.operators.boosting import Boosting, Settings
 from screenlab.operators.metrics import metric as metric_by_name
 from screenlab.operators.metrics import ranking_metrics
 from screenlab.session import cut_lineage
@@ -128,8 +129,14 @@ def _lasso(alpha: float = 0.01) -> Estimator:
 
 
 @register("boosted_regression")
-def _boosted_regression(maxIter: int = 20, maxDepth: int = 3, lossType: str = "squared", seed: int = 0) -> Estimator:
-    return mr.GBTRegressor(maxIter=maxIter, maxDepth=maxDepth, lossType=lossType, seed=seed)
+def _boosted_regression(loss: str = "pseudo_huber", early_stop: str | None = None, **settings) -> Boosting:
+    """Trees from grouped histograms; the settings are those of `boosting.Settings`."""
+    return Boosting(Settings(loss, **settings), watch=early_stop)
+
+
+@register("histogram_trees")
+def _histogram_trees(early_stop: str | None = None, **settings) -> Boosting:
+    return Boosting(Settings("logistic", **settings), watch=early_stop)
 
 
 def weighted(df: DataFrame, scheme: str = "balanced", multiplier: float = 1.0) -> DataFrame:

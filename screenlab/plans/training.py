@@ -18,6 +18,8 @@ NAMES = [f"{o}_{s}" for o in screen.OUTCOMES for s in ("mean", "max", "min", "st
 KEYS = ["target", "cell"]
 #: Trials of a search; the reference's default.
 TRIALS = 50
+#: Settings of boosted regression (fixed values but for `rounds` and `rate`).
+HUBER = {"rounds": 20, "rate": 0.1, "depth": 3, "least": 3.0, "row_share": 0.8, "column_share": 0.8, "threshold": 1.0, "penalty": 1.0}
 
 
 def _design(spark: SparkSession, sf: str, held: str = HELD) -> DataFrame:
@@ -102,7 +104,8 @@ def early_stopped_trees(spark: SparkSession, sf: str) -> DataFrame:
     """Boosting that watches one training cell to stop."""
     train, test = _parts(_design(spark, sf))
     watched = train.withColumn("watch", F.col("cell") == "RO")
-    out = models.fit_predict("boosted_trees", watched, test, [*KEYS, "label"], maxIter=10, early_stop="watch")
+    settings = dict(rounds=20, depth=3, rate=0.3, patience=3)
+    out = models.fit_predict("histogram_trees", watched, test, [*KEYS, "label"], early_stop="watch", **settings)
     return _scored(out, "early_stopped_trees")
 
 
@@ -123,8 +126,10 @@ def alpha_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("boosted_regression")
 def boosted_regression(spark: SparkSession, sf: str) -> DataFrame:
+    """Depletion under pseudo-Huber loss, with the reference's settings but for the number of trees."""
     train, test = _parts(_design(spark, sf))
-    out = models.fit_predict("boosted_regression", train.withColumn("label", F.col("depletion")), test, [*KEYS, "depletion"], maxIter=5)
+    rows = train.withColumn("label", F.col("depletion"))
+    out = models.fit_predict("boosted_regression", rows, test, [*KEYS, "depletion"], **HUBER)
     return regression_metrics(out, ["cell"], "depletion", "score")
 
 
@@ -211,7 +216,7 @@ def gene_propensity(spark: SparkSession, sf: str) -> DataFrame:
     feats = screen.cross_cell_priors(roles.gene(spark, sf), HELD)
     train = rows.where(F.col("cell") != HELD).join(feats, KEYS)
     held = rows.where(F.col("cell") == HELD).select("target", "label")
-    out = models.gene_propensity(train, held, NAMES, "strength", maxIter=5)
+    out = models.gene_propensity(train, held, NAMES, "strength", **HUBER)
     return _scored(out.withColumnRenamed("propensity", "score"), "gene_propensity")
 
 
