@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +21,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of the value, which is worked out once however often `use` names it.
+
+    An expression named inside the function of a higher-order one is otherwise
+    worked out for every element, and once more for every mention.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def fold(key: Column) -> Column:
     """crc32 of the id written as text, modulo three; the contract's held-out rows have 1."""
     return F.crc32(key.cast("string").cast("binary")) % 3
 
 
+def tidy(work: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """`work` for a task's batches, which at its end gives freed memory back to the system.
+
+    Workers are used again by later stages, which would otherwise start with the
+    most that an earlier one has held.
+    """
+
+    @functools.wraps(work)
+    def run(*given: object) -> Iterator:
+        try:
+            yield from work(*given)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that every executor can reach, under spark.checkpoint.dir.
 
