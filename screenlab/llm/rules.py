@@ -6,14 +6,25 @@ explode and no shuffle, so a document never leaves the task that read it.
 
 from __future__ import annotations
 
+import functools
+import operator
+import re
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from screenlab.llm.common import BLANKS
+from screenlab.llm.common import BLANKS, bound
 
 WINDOW = 8
+#: The measures: of words, of lines, of the text.
+MEASURES = (
+    "n_words", "word_chars", "n_stop_words", "n_echoes", "n_repeat_words",
+    "n_lines", "n_dup_lines", "n_ellipsis_lines", "n_bullet_lines", "n_symbols", "n_shouts",
+)
+_PLACES = [("w" if k < 5 else "l" if k < 9 else "t", n) for k, n in enumerate(MEASURES)]
+_BASE = "m.n_words < 20 OR 100 * m.n_repeat_words > 30 * m.n_words"
 
 
 class Rule(NamedTuple):
@@ -48,17 +59,13 @@ RULES = (
 )
 
 
-def compiled(rules: tuple[Rule, ...] = RULES) -> dict[str, Column]:
-    """Rule name -> does the row meet it."""
+def compiled(rules: tuple[Rule, ...] = RULES) -> dict[str, str]:
+    """Rule name -> SQL that tells whether measures `m` meet it."""
     out = {}
     for r in rules:
-        value = F.expr(r.value)
-        meets = F.lit(True)
-        if r.low is not None:
-            meets = meets & (value >= F.lit(r.low))
-        if r.high is not None:
-            meets = meets & (value <= F.lit(r.high))
-        out[r.name] = F.coalesce(meets, F.lit(True))
+        value = re.sub(rf"\b({'|'.join(MEASURES)})\b", r"m.\1", r.value)
+        limits = [f"{value} >= {r.low}"] * (r.low is not None) + [f"{value} <= {r.high}"] * (r.high is not None)
+        out[r.name] = f"coalesce({' AND '.join(limits) or 'true'}, true)"
     return out
 
 
@@ -73,8 +80,80 @@ def _letters_of(text: Column, kind: str) -> Column:
     return F.when(text.rlike(kind), F.length(text) - rest).otherwise(0).cast("long")
 
 
-def _count(words: str, test: str) -> Column:
-    return F.expr(f"size(filter({words}, w -> {test}))").cast("long")
+def _count(words: Column, test: Callable[[Column], Column]) -> Column:
+    return F.size(F.filter(words, test)).cast("long")
+
+
+def _starts(line: Column, *signs: str) -> Column:
+    return functools.reduce(operator.or_, [F.startswith(F.ltrim(line), F.lit(s)) for s in signs])
+
+
+def _ends(line: Column, *signs: str) -> Column:
+    return functools.reduce(operator.or_, [F.endswith(F.rtrim(line), F.lit(s)) for s in signs])
+
+
+def _repeated(words: Column) -> Column:
+    """How many words lie inside runs of WINDOW words that occur twice or more."""
+
+    def windows(h: Column) -> Column:
+        def run(x: Column, i: Column) -> Column:
+            return F.xxhash64(x, *[F.get(h, i + k) for k in range(1, WINDOW)])
+
+        return F.slice(F.transform(h, run), F.lit(1), F.size(h) - (WINDOW - 1))
+
+    def equal(s: Column) -> Column:
+        def twin(e: Column, k: Column) -> Column:
+            return (e["h"] == F.get(s, k - 1)["h"]) | (e["h"] == F.get(s, k + 1)["h"])
+
+        return F.array_sort(F.transform(F.filter(s, lambda e, k: F.coalesce(twin(e, k), F.lit(False))), lambda e: e["i"]))
+
+    def covered(places: Column) -> Column:
+        start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("long").alias("n"))
+
+        def add(a: Column, p: Column) -> Column:
+            return F.struct(p.alias("last"), (a["n"] + F.least(F.lit(WINDOW), p - a["last"]).cast("long")).alias("n"))
+
+        return F.aggregate(places, start, add, lambda a: a["n"])
+
+    def twice(h: Column) -> Column:
+        placed = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), covered(bound(placed, equal)))
+
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    found = F.when(F.size(words) > WINDOW, bound(bound(hashes, windows), twice))
+    return F.coalesce(found, F.lit(0).cast("long"))
+
+
+def _measured(t: Column) -> Column:
+    """All measures of a text as one struct: named twice, it is still worked out as one."""
+    stop = sorted({*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)})
+
+    def of_words(w: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            _count(w, lambda x: x.isin(stop)).alias("n_stop_words"),
+            F.size(F.filter(w, lambda x, i: F.coalesce(x == F.get(w, i - 1), F.lit(False)))).cast("long").alias("n_echoes"),
+            _repeated(w).alias("n_repeat_words"),
+        )
+
+    def of_lines(l: Column) -> Column:  # noqa: E741
+        return F.struct(
+            F.size(l).cast("long").alias("n_lines"),
+            (F.size(l) - F.size(F.array_distinct(l))).cast("long").alias("n_dup_lines"),
+            _count(l, lambda x: _ends(x, "...", "…")).alias("n_ellipsis_lines"),
+            _count(l, lambda x: _starts(x, "-", "•", "* ")).alias("n_bullet_lines"),
+        )
+
+    lines = F.filter(F.split(t, "\n"), lambda x: F.trim(x, F.lit(BLANKS)) != "")
+    return F.struct(
+        bound(_words(t), of_words).alias("w"),
+        bound(lines, of_lines).alias("l"),
+        F.struct(
+            _letters_of(t, "[#*$%&|<>]").alias("n_symbols"),
+            F.regexp_count(t, F.lit(r"!!(?=[\x20\x09-\x0D]|$)")).cast("long").alias("n_shouts"),
+        ).alias("t"),
+    )
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,55 +168,24 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     each run of eight to another 64 bits; sorting (hash, place) inside the row
     finds the equal ones, and only in rows where the distinct hashes are fewer.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.select(F.col(id_col), text.alias("_t"))
-    df = df.select(
-        id_col,
-        _words(F.col("_t")).alias("_w"),
-        F.filter(F.split("_t", "\n"), lambda x: F.trim(x, F.lit(BLANKS)) != "").alias("_l"),
-        _letters_of(F.col("_t"), "[#*$%&|<>]").alias("n_symbols"),
-        F.regexp_count("_t", F.lit(r"!!(?=[\x20\x09-\x0D]|$)")).cast("long").alias("n_shouts"),
-    )
-    stop = ", ".join(f"'{w}'" for w in sorted({*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)}))
-    df = df.withColumns(
-        {
-            "n_words": F.size("_w").cast("long"),
-            "word_chars": F.length(F.array_join("_w", "")).cast("long"),
-            "n_lines": F.size("_l").cast("long"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-            "n_stop_words": _count("_w", f"w IN ({stop})"),
-            "n_echoes": F.expr("size(filter(_w, (w, i) -> w = get(_w, i - 1)))").cast("long"),
-            "n_ellipsis_lines": _count("_l", "endswith(rtrim(w), '...') OR endswith(rtrim(w), '…')"),
-            "n_bullet_lines": _count("_l", "ltrim(w) LIKE '-%' OR ltrim(w) LIKE '•%' OR ltrim(w) LIKE '* %'"),
-            "_h": F.when(F.size("_w") > WINDOW, F.transform("_w", lambda w: F.xxhash64(w))),
-        }
-    )
-    later = ", ".join(f"get(_h, i + {k})" for k in range(1, WINDOW))
-    windows = f"slice(transform(_h, (x, i) -> xxhash64(x, {later})), 1, size(_h) - {WINDOW - 1})"
-    df = df.withColumn("_h", F.expr(windows))
-    twice = F.size(F.array_distinct("_h")) < F.size("_h")
-    df = df.withColumn(
-        "_s",
-        F.when(twice, F.array_sort(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))),
-    )
-    same = "filter(_s, (e, k) -> (k > 0 AND e.h = _s[k - 1].h) OR (k + 1 < size(_s) AND e.h = _s[k + 1].h))"
-    df = df.withColumn("_p", F.expr(f"array_sort(transform({same}, e -> e.i))"))
-    covered = (
-        f"aggregate(_p, named_struct('last', -{WINDOW}, 'n', 0L), (a, p) -> named_struct('last', p, 'n',"
-        f" a.n + CAST(least({WINDOW}, p - a.last) AS BIGINT)), a -> a.n)"
-    )
-    return df.withColumn("n_repeat_words", F.coalesce(F.expr(covered), F.lit(0).cast("long"))).drop(
-        "_w", "_l", "_h", "_s", "_p"
-    )
+    names = [f"_m.{k}.{n}" for k, n in _PLACES]
+    measured = bound(F.coalesce(F.col(text_col), F.lit("")), _measured)
+    return docs.select(F.col(id_col), measured.alias("_m")).select(id_col, *names)
 
 
 def judge(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES
 ) -> DataFrame:
     """The measures, base_failed, kept, and the names of the rules each row breaks."""
-    df = measures(docs, id_col, text_col)
     tests = compiled(rules)
-    broken = F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in tests.items()]))
-    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    df = df.withColumns({"broken": broken, "base_failed": base})
-    return df.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
+    fields = "".join(f"'{n}', m.{k}.{n}, " for k, n in _PLACES)
+    flat = f"get(transform(array(_m), m -> named_struct({fields.rstrip(', ')})), 0)"
+    broken = ", ".join(f"CASE WHEN NOT {ok} THEN '{name}' END" for name, ok in tests.items())
+    kinds = f"'m', m, 'broken', array_compact(array({broken})), 'base_failed', {_BASE}"
+    judged = f"get(transform(array({flat}), m -> named_struct({kinds})), 0)"
+    last = "'kept', NOT j.base_failed AND size(j.broken) = 0"
+    whole = f"get(transform(array({judged}), j -> named_struct('j', j, {last})), 0)"
+    measured = bound(F.coalesce(F.col(text_col), F.lit("")), _measured)
+    # One expression from text to verdict: a filter on any column copies it once, not once a mention.
+    df = docs.select(F.col(id_col), measured.alias("_m")).select(id_col, F.expr(whole).alias("_j"))
+    return df.select(id_col, "_j.j.m.*", "_j.j.broken", "_j.j.base_failed", "_j.kept")

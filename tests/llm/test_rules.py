@@ -1,4 +1,7 @@
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from screenlab.llm.rules import RULES, judge
 
@@ -43,8 +46,16 @@ def test_broken_rules_are_named_and_no_python_runs(spark, capsys):
 
 def test_rules_may_be_given(odd):
     strict = judge(odd, rules=(*RULES, RULES[0]._replace(name="long", value="n_words", low=10_000.0)))
-    assert not any(r["kept"] for r in strict.collect())
+    assert strict.filter("kept").count() == 0
 
 
 def test_empty_table(none):
-    assert judge(none).collect() == []
+    assert judge(none).filter(F.col("kept")).count() == 0
+
+
+def test_a_filter_gives_the_rows_that_are_kept(spark, sf):
+    judged = judge(spark.read.parquet(f"{sf}/documents.parquet"))
+    kept = [r["doc_id"] for r in judged.collect() if r["kept"]]
+    start = time.time()
+    assert sorted(r["doc_id"] for r in judged.filter("kept AND NOT base_failed").collect()) == sorted(kept)
+    assert time.time() - start < 60
