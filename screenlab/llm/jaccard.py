@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from screenlab.llm.common import shared_folder, written
+from screenlab.llm.common import shared_folder, tidy, written
 
 #: Similarity in percent, words of a shingle.
 SIMILARITY, WORDS = 80, 5
@@ -76,6 +76,7 @@ def _sliced(total: np.ndarray) -> Iterator[pa.RecordBatch]:
     )
 
 
+@tidy
 def _hits(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles per bucket, each set of the task once, in slices."""
     total, seen, known = np.zeros(1 << BUCKET_BITS, np.int32), set(), {}
@@ -89,6 +90,7 @@ def _hits(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     yield from _sliced(total)
 
 
+@tidy
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the slices of a task; there are _SLICES slices at most."""
     total: dict[int, np.ndarray] = {}
@@ -119,6 +121,7 @@ def prefix_length(n: int, percent: int) -> int:
     return n - math.ceil(percent * n / 100) + 1
 
 
+@tidy
 def _prefixes(hits, percent: int, words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns: key, text. Adds set digest, size, group, and the prefix of each group's first row."""
     hits, known = hits.value, {}
@@ -152,6 +155,7 @@ def _prefixes(hits, percent: int, words: int, batches: Iterator[pa.RecordBatch])
         )
 
 
+@tidy
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Prefix shingles of a task's groups and their places. One row of each shingle is compared across tasks.
 
@@ -188,6 +192,7 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
+@tidy
 def _sets(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[bytes, int] = {}
     for batch in batches:

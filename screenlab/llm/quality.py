@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from screenlab.llm import additive
-from screenlab.llm.common import fold
+from screenlab.llm.common import fold, tidy
 from screenlab.llm.rules import STOP_WORDS
 
 #: Labelled rows a model is fitted on at most: those with the smallest id hashes.
@@ -61,6 +61,7 @@ def measured(text: str | None) -> list[float]:
     ]
 
 
+@tidy
 def _table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [measured(t.as_py()) for t in batch.column(1)]
@@ -68,9 +69,11 @@ def _table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["_key", "_x"])
 
 
-def _scored(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@tidy
+def _scored(model, text_col: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [measured(t.as_py()) for t in batch.column(1)]
+        texts = batch.column(0).field(text_col).cast(pa.string())
+        rows = [measured(t.as_py()) for t in texts]
         scores = model.value.score(np.array(rows).reshape(-1, len(FEATURES)))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["_row", "_score"])
 
@@ -124,10 +127,10 @@ def score_quality(docs: DataFrame, model: additive.AdditiveModel, text_col: str
     stays in its struct, so no column name can clash; an empty table gives none.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    given = docs.select(row.alias("_row"), F.col(text_col).alias("_text"))
+    given = docs.select(row.alias("_row"))
     schema = T.StructType([given.schema["_row"], T.StructField("_score", T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    out = given.mapInArrow(functools.partial(_scored, sent), schema)
+    out = given.mapInArrow(functools.partial(_scored, sent, text_col), schema)
     predicted = (F.col("_score") >= 0.5).cast("int")
     return out.select(F.col("_row").alias("row"), F.col("_score").alias("score"), predicted.alias("predicted"))
 
