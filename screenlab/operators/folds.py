@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,21 +84,69 @@ def carve_out(df: DataFrame, label: str, order: str, tenths: int = 1) -> DataFra
 
 
 def stratified_group_folds(df: DataFrame, group: str, label: str, k: int) -> DataFrame:
-    """(group, fold): whole groups dealt out in snake order of their positives.
+    """(group, pos, n, fold): whole groups, each put where it evens the classes most.
 
-    Only the group table is ordered.
+    Groups come in order of how uneven their two classes are, then by name. Each
+    goes to the fold that leaves the least spread over the folds, averaged over
+    the classes' shares; of equal ones (to nine digits) to the smallest, then to
+    the first. The assignment depends on all before it, so one task walks over
+    the sorted group table, a row a group, and holds k running totals.
     """
     sizes = df.groupBy(group).agg(
         F.sum(F.col(label).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n")
     )
-    # positives first, size second, name hash last, as one unique order key
-    name = F.pmod(F.xxhash64(F.col(group)), F.lit(1 << 20))
-    key = -(F.col("pos") * F.lit(1e9) + F.col("n")) + name / float(1 << 21)
-    at = row_numbers(sizes.withColumn("_key", key), [], "_key", "_rn")
-    turn = F.floor((F.col("_rn") - 1) / k)
-    step = (F.col("_rn") - 1) % k
-    fold = F.when(turn % 2 == 0, step).otherwise(k - 1 - step)
-    return at.select(group, "pos", "n", fold.cast("int").alias("fold"))
+    total = sizes.agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).first()
+    classes = np.array([total.pos or 0, (total.n or 0) - (total.pos or 0)], float)
+    classes[classes == 0] = np.inf
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros((k, 2))
+        for pdf in batches:
+            out = []
+            for pos, n in zip(pdf["pos"], pdf["n"], strict=True):
+                own = np.array([pos, n - pos], float)
+                # Held by each fold if the group goes to fold i: (i, fold, class).
+                after = held[None] + np.eye(k)[:, :, None] * own
+                spread = (after / classes).std(axis=1).mean(axis=1).round(9)
+                at = min(range(k), key=lambda i: (spread[i], held[i].sum(), i))
+                held[at] += own
+                out.append(at)
+            yield pdf.assign(fold=np.array(out, np.int32))
+
+    order = [F.abs(F.col("n") - 2 * F.col("pos")).desc(), F.col(group)]
+    kind = df.schema[group].dataType.simpleString()
+    walked = sizes.select(group, "pos", "n").repartition(1).sortWithinPartitions(*order)
+    return walked.mapInPandas(dealt, f"`{group}` {kind}, pos long, n long, fold int")
+
+
+def fold_pairs(folds: DataFrame) -> Column:
+    """All folds with their early-stop fold as one array of (fold, next_fold)."""
+    return folds.agg(F.collect_list(F.struct("fold", "next_fold")).alias("f")).scalar()
+
+
+def fold_roles(df: DataFrame, group: str, folds: DataFrame) -> DataFrame:
+    """Every row once a fold, with ``fold`` and its ``role`` there; rows in no fold always train."""
+    spread = df.select("*", F.explode(fold_pairs(folds)).alias("_f"))
+    role = F.when(F.col(group) == F.col("_f.fold"), "validation").when(
+        F.col(group) == F.col("_f.next_fold"), "early_stop"
+    )
+    return spread.select(*df.columns, F.col("_f.fold").alias("fold"), role.otherwise("train").alias("role"))
+
+
+def fold_vocabulary(seen: DataFrame, group: str, folds: DataFrame) -> DataFrame:
+    """(fold, kmer): k-mers of each fold's training rows, from (group, kmer) of all rows in one pass.
+
+    A k-mer is a fold's unless only its validation and early-stop groups have it.
+    """
+    seen = seen.select(F.col(group).alias("_g"), "kmer").distinct()
+    holders = seen.groupBy("kmer").agg(F.count(F.lit(1)).alias("_n"))
+    wide = holders.select("kmer", "_n", F.explode(fold_pairs(folds)).alias("_f"))
+    wide = wide.select("kmer", "_n", "_f.fold", "_f.next_fold")
+    for column, name in (("fold", "_v"), ("next_fold", "_e")):
+        own = seen.select(F.col("_g").alias(column), "kmer", F.lit(1).alias(name))
+        wide = wide.join(own, [column, "kmer"], "left")
+    early = F.when(F.col("fold") == F.col("next_fold"), 0).otherwise(F.coalesce("_e", F.lit(0)))
+    return wide.where(F.col("_n") > F.coalesce("_v", F.lit(0)) + early).select("fold", "kmer")
 
 
 def publish_holdout(

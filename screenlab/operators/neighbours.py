@@ -15,9 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from screenlab.operators.ordered import row_numbers
+from screenlab.session import cut_lineage
+
 PIVOTS = 64
 PIECE = 2048
 
@@ -180,21 +184,24 @@ def knn_vote(near: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def smote(df: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
-    """Synthetic positives until both classes are even: points between a positive
-    and one of its k nearest positives.  df(id, vec, y); returns (vec, y) rows."""
+def synthetic(df: DataFrame, k: int = 5, seed: int = 0, ratio: float = 1.0) -> DataFrame:
+    """(id, neighbour, t, vec): new positives until there are ratio x negatives.
+
+    df(id, vec, y). Each lies at share ``t`` of the way from a positive to one of its
+    k nearest positives; no positive has two more of them than another. With fewer
+    than two positives, or enough of them, there are none.
+    """
     minority = df.where(F.col("y") == 1)
     counts = df.agg(
         F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")
     ).first()
-    missing, pos = counts.neg - counts.pos, counts.pos
+    missing, pos = math.floor(ratio * counts.neg) - counts.pos, counts.pos
     if missing <= 0 or pos < 2:
-        return df.select("vec", "y")
+        empty = df.select("id", F.col("id").alias("neighbour"), F.lit(0.0).alias("t"), "vec").where(F.lit(False))
+        return empty.withColumn("vec", F.col("vec").cast("array<double>"))
     near = knn(minority, minority, min(k, pos - 1))
     width = min(k, pos - 1)
     base, extra = divmod(missing, pos)
-    from screenlab.operators.ordered import row_numbers
-
     placed = row_numbers(
         minority.select("id", "vec", F.xxhash64("id", F.lit(seed)).alias("_h")), [], "_h", "_rn"
     )
@@ -213,13 +220,37 @@ def smote(df: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
     partner = minority.select(F.col("id").alias("neighbour"), F.col("vec").alias("_to"))
     step = F.zip_with("vec", "_to", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     point = F.transform(step, lambda s: s["a"] + (s["b"] - s["a"]) * F.col("t"))
-    synthetic = (
+    return (
         made.join(near.select("id", "place", "neighbour"), ["id", "place"])
         .join(partner, "neighbour")
-        .select(point.cast("array<double>").alias("vec"), F.lit(1).alias("y"))
+        .select("id", "neighbour", "t", point.cast("array<double>").alias("vec"))
     )
+
+
+def smote(df: DataFrame, k: int = 5, seed: int = 0, ratio: float = 1.0) -> DataFrame:
+    """(vec, y): the rows of df(id, vec, y) and synthetic positives up to ratio x negatives."""
     real = df.select(F.col("vec").cast("array<double>").alias("vec"), "y")
-    return real.unionByName(synthetic)
+    return real.unionByName(synthetic(df, k, seed, ratio).select("vec", F.lit(1).alias("y")))
+
+
+def _keyed(df: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with a number of their own, written so that it stays, and (id, vec, y) of them."""
+    rows = cut_lineage(df.withColumn("_id", F.monotonically_increasing_id()))
+    return rows, rows.select(F.col("_id").alias("id"), vector_to_array("features").alias("vec"), F.col(label).alias("y"))
+
+
+def smote_rows(df: DataFrame, label: str, order: str = "", ratio: float = 1.0, seed: int = 0) -> DataFrame:
+    """The design rows and synthetic positives, which have the other columns of the row they start from."""
+    rows, points = _keyed(df, label)
+    new = synthetic(points, seed=seed, ratio=ratio).select(F.col("id").alias("_id"), array_to_vector("vec").alias("features"))
+    new = rows.drop("features").join(new, "_id").select(*df.columns)
+    return rows.select(*df.columns).union(new)
+
+
+def smote_tomek_rows(df: DataFrame, label: str, order: str = "", ratio: float = 1.0, seed: int = 0) -> DataFrame:
+    """`smote_rows` without both ends of every Tomek link there is then."""
+    rows, points = _keyed(smote_rows(df, label, order, ratio, seed), label)
+    return rows.join(tomek_links(points).withColumnRenamed("id", "_id"), "_id", "left_anti").select(*df.columns)
 
 
 def tomek_links(df: DataFrame) -> DataFrame:

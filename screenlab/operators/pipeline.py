@@ -90,7 +90,12 @@ def run(config: Config, train: DataFrame, test: DataFrame) -> Run:
             trials = [{**params, **t} for t in models.grid(config.space)]
         elif config.tuning == "random":
             trials = [{**params, **t} for t in models.draws(config.space, config.trials, config.seed)]
-        cv = models.search(design, "fold", held, config.model, trials, config.metric)
+        balanced = None
+        if config.resampling != "none":
+            def balanced(rows: DataFrame) -> DataFrame:
+                return models.balanced_rows(rows, ["target", "cell"], config.resampling, config.seed)
+
+        cv = models.search(design, "fold", held, config.model, trials, config.metric, prepare=balanced)
         params = models.best_params(cv, trials)
     rows = models.balanced_rows(train, ["target", "cell"], config.resampling, config.seed)
     out = cut_lineage(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenlab.functions import maths as fm
+from screenlab.operators import neighbours
 from screenlab.operators.ordered import row_numbers
 
 
@@ -44,6 +45,9 @@ METHODS: dict[str, Callable[..., DataFrame]] = {
     "none": lambda df, label, order, ratio=1.0: df,
     "random_under": under_sample,
     "random_over": over_sample,
+    # These two work on the column `features` of a design.
+    "smote": neighbours.smote_rows,
+    "smote_tomek": neighbours.smote_tomek_rows,
 }
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenlab.operators import neighbours, vector_index
+from screenlab.operators import neighbours, resample, vector_index
 from screenlab.plans import roles
 from screenlab.plans.registry import query, round_all
 from screenlab.plans.sqltext import r
@@ -96,12 +97,41 @@ def _binary(spark: SparkSession, sf: str) -> DataFrame:
     return roles.emb(spark, sf).select("id", "vec", (F.col("label") == 0).cast("int").alias("y"))
 
 
-@query("smote_balance")
+@query(
+    "smote_balance",
+    """, c AS (SELECT count(*) FILTER (label = 0) AS pos, count(*) FILTER (label <> 0) AS neg FROM emb)
+SELECT ratio, CASE WHEN y = 1 THEN greatest(CAST(floor(ratio * neg) AS BIGINT), pos) ELSE neg END AS rows,
+  CAST(y AS INT) AS y, CAST(CASE WHEN y = 1 THEN greatest(CAST(floor(ratio * neg) AS BIGINT) - pos, 0) ELSE 0 END AS BIGINT) AS made,
+  CAST(0 AS BIGINT) AS off_segment
+FROM c, (SELECT unnest([0.5e0, 1e0]) AS ratio), (SELECT unnest([0, 1]) AS y)""",
+    ("emb",),
+)
 def smote_balance(spark: SparkSession, sf: str) -> DataFrame:
-    """Class sizes and mean vector length after synthetic positives were added."""
-    out = neighbours.smote(_binary(spark, sf))
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
-    return out.groupBy("y").agg(F.count(F.lit(1)).alias("rows"), F.avg(norm).alias("mean_norm"))
+    """Class sizes with synthetic positives, how many there are, and how many lie off their parents' segment."""
+    rows = _binary(spark, sf)
+    ends = rows.select("id", F.col("vec").alias("a")), rows.select(F.col("id").alias("neighbour"), F.col("vec").alias("b"))
+    out = None
+    for ratio in (0.5, 1.0):
+        new = neighbours.synthetic(rows, ratio=ratio).join(ends[0], "id").join(ends[1], "neighbour")
+        parts = F.arrays_zip("vec", "a", "b")
+        # Each component at the same share of the way, in single precision of the data.
+        apart = F.exists(parts, lambda x: F.abs(x["a"] + (x["b"] - x["a"]) * F.col("t") - x["vec"]) > 1e-6)
+        off = (apart | (F.col("t") < 0) | (F.col("t") >= 1)).cast("long")
+        made = new.select(F.lit(1).alias("y"), F.lit(1).cast("long").alias("made"), off.alias("off"))
+        both = rows.select("y", F.lit(0).cast("long").alias("made"), F.lit(0).cast("long").alias("off")).unionByName(made)
+        each = both.groupBy("y").agg(
+            F.count(F.lit(1)).alias("rows"), F.sum("made").alias("made"), F.sum("off").alias("off_segment")
+        )
+        each = each.select(F.lit(ratio).alias("ratio"), "y", "rows", "made", "off_segment")
+        out = each if out is None else out.unionByName(each)
+    return out
+
+
+@query("smote_tomek_balance")
+def smote_tomek_balance(spark: SparkSession, sf: str) -> DataFrame:
+    """Class sizes after synthetic positives were added and Tomek links taken out."""
+    design = _binary(spark, sf).select("id", array_to_vector(F.col("vec").cast("array<double>")).alias("features"), "y")
+    return resample.resample(design, "smote_tomek", "y", "id").groupBy("y").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from screenlab.functions import maths as fm
 from screenlab.operators import folds, resample
+from screenlab.operators import kmers as ko
 from screenlab.operators.ordered import quantiles
 from screenlab.plans import roles
 from screenlab.plans.registry import query, round_all, rounded
@@ -119,11 +120,97 @@ def stratified_carve_out(spark: SparkSession, sf: str) -> DataFrame:
     return folds.carve_out(_keyed(spark, sf), "label", "k").select("target", "cell", "held")
 
 
-@query("stratified_group_folds")
+@query(
+    "stratified_group_folds",
+    """
+, s AS (SELECT chrom, pos, n, row_number() OVER (ORDER BY abs(n - 2 * pos) DESC, chrom) AS i
+  FROM (SELECT chrom, CAST(sum(label) AS BIGINT) AS pos, count(*) AS n FROM gene GROUP BY chrom))
+SELECT chrom, pos, n, fold FROM (
+  WITH RECURSIVE tot AS (SELECT sum(pos)::DOUBLE AS p, sum(n - pos)::DOUBLE AS q FROM s)
+  , walk AS (
+    SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS a, [0, 0, 0, 0, 0]::BIGINT[] AS b, -1::INT AS fold
+    UNION ALL
+    SELECT i, list_transform(range(0, 5), lambda j: a[j + 1] + CASE WHEN j = f THEN pos ELSE 0 END),
+      list_transform(range(0, 5), lambda j: b[j + 1] + CASE WHEN j = f THEN n - pos ELSE 0 END), f::INT
+    FROM (
+      SELECT s.i, a, b, pos, n, list_sort(list_transform(range(0, 5), lambda j: {
+        'e': round((list_aggregate(list_transform(range(0, 5), lambda x: (a[x + 1] + CASE WHEN x = j THEN pos ELSE 0 END) / p), 'stddev_pop')
+          + list_aggregate(list_transform(range(0, 5), lambda x: (b[x + 1] + CASE WHEN x = j THEN n - pos ELSE 0 END) / q), 'stddev_pop')) / 2, 9),
+        'h': a[j + 1] + b[j + 1], 'j': j}))[1].j AS f
+      FROM walk JOIN s ON s.i = walk.i + 1, tot
+    )
+  )
+  SELECT s.*, walk.fold FROM walk JOIN s USING (i)
+)""",
+    ("gene",),
+)
 def stratified_group_folds(spark: SparkSession, sf: str) -> DataFrame:
+    """Chromosomes dealt one by one to the fold where they even out the classes."""
     return folds.stratified_group_folds(roles.gene(spark, sf), "chrom", "label", 5)
 
 
+SMALL = 20
+_SMALL_FOLDS = f"""
+, f AS (SELECT chrom AS fold, count(*) AS n FROM gene GROUP BY chrom HAVING count(*) >= {SMALL})
+, nf AS (SELECT fold, n, coalesce(lead(fold) OVER (ORDER BY length(fold), fold),
+    first(fold) OVER (ORDER BY length(fold), fold)) AS next_fold FROM f)
+, role AS (SELECT target, cell, chrom, label, fold,
+    CASE WHEN chrom = fold THEN 'validation' WHEN chrom = next_fold THEN 'early_stop' ELSE 'train' END AS role
+  FROM gene, nf)
+"""
+
+
+@query("fold_roles", _SMALL_FOLDS + "SELECT target, cell, fold, role FROM role", ("gene",))
+def fold_roles(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row's role in every fold."""
+    gene = roles.gene(spark, sf)
+    out = folds.fold_roles(gene, "chrom", folds.group_folds(gene, "chrom", SMALL))
+    return out.select("target", "cell", "fold", "role")
+
+
+@query(
+    "fold_vocabularies",
+    """
+, w AS (SELECT target, seq, unnest(range(1, length(seq) - 2)) AS i FROM seqs WHERE length(seq) >= 4)
+, km AS (SELECT DISTINCT target, substring(seq, i, 4) AS kmer FROM w)
+, pk AS (SELECT DISTINCT chrom, kmer FROM gene JOIN km USING (target) WHERE NOT contains(kmer, 'N'))
+"""
+    + _SMALL_FOLDS
+    + """
+, vocab AS (SELECT DISTINCT fold, kmer FROM nf JOIN pk ON chrom IS DISTINCT FROM fold AND chrom IS DISTINCT FROM next_fold)
+, held AS (SELECT fold, 'validation' AS role, kmer FROM nf JOIN pk ON chrom = fold
+  UNION ALL SELECT fold, 'early_stop', kmer FROM nf JOIN pk ON chrom = next_fold WHERE next_fold <> fold
+  UNION ALL SELECT fold, 'train', kmer FROM vocab)
+, k AS (SELECT fold, role, count(*) AS kmers, count(*) FILTER (vocab.kmer IS NULL) AS unseen
+  FROM held LEFT JOIN vocab USING (fold, kmer) GROUP BY fold, role)
+SELECT fold, role, n AS rows, pos AS positives, coalesce(kmers, 0) AS kmers, coalesce(unseen, 0) AS unseen
+FROM (SELECT fold, role, count(*) AS n, CAST(sum(label) AS BIGINT) AS pos FROM role GROUP BY fold, role) LEFT JOIN k USING (fold, role)""",
+    ("gene", "seqs"),
+)
+def fold_vocabularies(spark: SparkSession, sf: str) -> DataFrame:
+    """Per fold and role: rows, positives, k-mers of its sequences, and those outside the fold's vocabulary."""
+    gene = roles.gene(spark, sf)
+    table = folds.group_folds(gene, "chrom", SMALL)
+    sizes = folds.fold_roles(gene, "chrom", table).groupBy("fold", "role")
+    sizes = sizes.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("label").cast("bigint")).alias("positives"))
+    used = gene.select("target", "chrom").distinct()
+    counted = ko.kmer_counts(roles.seqs(spark, sf), ["target"], "seq", 4, spread=True)
+    seen = used.join(counted.select("target", "kmer"), "target").select("chrom", "kmer").distinct()
+    vocab = folds.fold_vocabulary(seen, "chrom", table)
+    role = F.lit("validation").alias("role")
+    held = table.select("fold", F.col("fold").alias("chrom"), role)
+    early = table.where("fold <> next_fold").select("fold", F.col("next_fold").alias("chrom"), F.lit("early_stop").alias("role"))
+    others = held.unionByName(early).join(seen, "chrom").select("fold", "role", "kmer")
+    kmers = others.unionByName(vocab.select("fold", F.lit("train").alias("role"), "kmer"))
+    known = vocab.select("fold", "kmer", F.lit(1).alias("known"))
+    count = kmers.join(known, ["fold", "kmer"], "left").groupBy("fold", "role")
+    count = count.agg(F.count(F.lit(1)).alias("kmers"), F.count_if(F.col("known").isNull()).alias("unseen"))
+    zero = F.lit(0).cast("bigint")
+    return sizes.join(count, ["fold", "role"], "left").select(
+        "fold", "role", "rows", "positives", F.coalesce("kmers", zero).alias("kmers"), F.coalesce("unseen", zero).alias("unseen")
+    )
+
+
 @query(
     "holdout_publication",
     """SELECT 'train' AS part, target, cell, label FROM gene WHERE cell NOT IN ('NF', 'NO')
