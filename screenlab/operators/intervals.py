@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from screenlab.functions import seq as fs
 from screenlab.operators.ordered import first_by
+from screenlab.session import cut_lineage
 
 CHUNK = 8192
 
@@ -52,15 +53,57 @@ def merge(df: DataFrame, by: Sequence[str], gap: int = 0) -> DataFrame:
     )
 
 
+#: Blocks of tiles whose summaries are scanned in one array a group.
+BLOCKS = 1024
+
+
+def before_tile(tiles: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(by, tile, before): the largest value of all earlier tiles of the group, one row a tile.
+
+    Tiles are put into at most BLOCKS blocks by their number. Inside a block they
+    are scanned in order; the blocks' largest values are one short array a group.
+    """
+    ends = tiles.agg(F.min("tile").alias("a"), F.max("tile").alias("b"))
+    low, high = ends.select("a").scalar(), ends.select("b").scalar()
+    block = F.floor((F.col("tile") - low) / F.ceil((high - low + 1) / BLOCKS))
+    blocked = tiles.select(*by, "tile", value, block.alias("_block"))
+    each = blocked.groupBy(*by, "_block").agg(F.max(value).alias("_m"))
+    listed = each.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_block", "_m"))).alias("_l"))
+    kind = dict(tiles.dtypes)[value]
+    none = F.lit(None).cast(kind)
+    start = F.struct(F.array().cast(f"array<struct<_block:bigint,_e:{kind}>>").alias("out"), none.alias("m"))
+
+    def add(a: Column, x: Column) -> Column:
+        here = F.struct(x["_block"].alias("_block"), a["m"].alias("_e"))
+        return F.struct(F.concat(a["out"], F.array(here)).alias("out"), F.greatest(a["m"], x["_m"]).alias("m"))
+
+    earlier = listed.select(*by, F.inline(F.aggregate("_l", start, add, lambda a: a["out"])))
+    inside = Window.partitionBy(*by, "_block").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
+    scanned = blocked.withColumn("_i", F.max(value).over(inside))
+    return scanned.join(earlier, [*by, "_block"]).select(*by, "tile", F.greatest("_i", "_e").alias("before"))
+
+
 def merge_wide(df: DataFrame, by: Sequence[str], width: int, gap: int = 0) -> DataFrame:
     """``merge`` for groups too large for one task (a chromosome).
 
-    Intervals are merged inside tiles of ``width`` first; only each tile's
-    islands, of which there are at most ``width``, go on to the second merge.
+    Intervals are merged inside tiles of ``width`` first. An island of a tile
+    begins a new one if no interval of an earlier tile reaches it; all others of
+    its tile come before those, and belong to the last that began in an earlier
+    tile. Both are prefix maxima over the tiles' summaries.
     """
     tile = F.floor(F.col("s") / width)
-    inside = merge(df.select(*by, tile.alias("_tile"), "s", "e"), [*by, "_tile"], gap)
-    return merge(inside.select(*by, "s", "e"), by, gap)
+    # Islands and their marks are read several times, so they are written.
+    inside = cut_lineage(merge(df.select(*by, tile.alias("tile"), "s", "e"), [*by, "tile"], gap))
+    reach = inside.groupBy(*by, "tile").agg(F.max("e").alias("e"))
+    marked = inside.join(before_tile(reach, by, "e"), [*by, "tile"])
+    fresh = F.col("before").isNull() | (F.col("s") > F.col("before") + gap)
+    marked = cut_lineage(marked.select(*by, "tile", "s", "e", fresh.alias("_fresh")))
+    begun = marked.groupBy(*by, "tile").agg(F.max(F.when(F.col("_fresh"), F.col("s"))).alias("begun"))
+    owned = marked.join(before_tile(begun, by, "begun"), [*by, "tile"])
+    first = F.when(F.col("_fresh"), F.col("s")).otherwise(F.col("before"))
+    return owned.select(*by, first.alias("_first"), "e").groupBy(*by, "_first").agg(F.max("e").alias("e")).select(
+        *by, F.col("_first").alias("s"), "e"
+    )
 
 
 def with_bins(df: DataFrame, width: int) -> DataFrame:
@@ -185,19 +228,31 @@ def gene_bounds(exons: DataFrame) -> DataFrame:
 
 
 def chunks_of(contigs: DataFrame, size: int = CHUNK) -> DataFrame:
-    """contigs(chrom, seq) cut into pieces of ``size`` letters: (chrom, chunk, piece)."""
-    last = F.expr(f"(length(seq) - 1) div {size}")
-    return (
-        contigs.where(F.length("seq") > 0)
-        .select("chrom", "seq", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("chunk"))
-        .select(
-            "chrom",
-            "chunk",
-            F.substring(
-                F.col("seq"), (F.col("chunk") * size + 1).cast("int"), F.lit(size)
-            ).alias("piece"),
-        )
-    )
+    """contigs(chrom, seq) cut into pieces of ``size`` letters: (chrom, chunk, piece).
+
+    Bytes are cut, as a cut in a text walks to its place from the start.
+    """
+    lines = contigs.select("chrom", F.lit(0).cast("bigint").alias("at"), F.col("seq").cast("binary").alias("letters"))
+    return _cut(lines, size).select("chrom", "chunk", F.col("piece").cast("string").alias("piece"))
+
+
+def _cut(lines: DataFrame, size: int) -> DataFrame:
+    """(chrom, chunk, start, piece): lines(chrom, at, letters) cut where chunks meet."""
+    numbers = F.sequence(F.expr(f"at div {size}"), F.expr(f"(at + length(letters) - 1) div {size}"))
+    cut = lines.where(F.length("letters") > 0).select("chrom", "at", "letters", F.explode(numbers).alias("chunk"))
+    start = F.greatest(F.col("at"), F.col("chunk") * size)
+    end = F.least(F.col("at") + F.length("letters"), (F.col("chunk") + 1) * size)
+    piece = F.substring("letters", (start - F.col("at") + 1).cast("int"), (end - start).cast("int"))
+    return cut.select("chrom", "chunk", start.alias("start"), piece.alias("piece"))
+
+
+def chunks_of_lines(lines: DataFrame, size: int = CHUNK) -> DataFrame:
+    """Placed lines (chrom, at, letters) as pieces of ``size`` letters: (chrom, chunk, piece).
+
+    No row holds more of a contig than a line or a piece.
+    """
+    parts = _cut(lines, size).select("chrom", "chunk", "start", F.col("piece").cast("string").alias("part"))
+    return parts.groupBy("chrom", "chunk").agg(_joined(["start"]).alias("piece"))
 
 
 def _parts(

@@ -35,16 +35,13 @@ def _window_rows(
     out over all tasks, for inputs with fewer splits than cores; it moves the
     text once, before it is multiplied by k.
     """
-    starts = F.sequence(F.lit(1), F.length(seq) - (k - 1), F.lit(CHUNK))
+    starts = F.sequence(F.lit(1), F.length("_seq") - (k - 1), F.lit(CHUNK))
+    # Bytes are cut, as a cut in a text walks to its place from the start.
     pieces = (
-        df.where(F.length(seq) >= k)
-        .select(*keys, seq, F.explode(starts).alias("_at"))
-        .select(
-            *keys,
-            F.substring(F.col(seq), F.col("_at"), F.lit(CHUNK + k - 1))
-            .cast("binary")
-            .alias("_piece"),
-        )
+        df.select(*keys, F.col(seq).cast("binary").alias("_seq"))
+        .where(F.length("_seq") >= k)
+        .select(*keys, "_seq", F.explode(starts).alias("_at"))
+        .select(*keys, F.substring("_seq", F.col("_at"), F.lit(CHUNK + k - 1)).alias("_piece"))
     )
     if spread:
         pieces = pieces.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

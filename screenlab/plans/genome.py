@@ -10,8 +10,11 @@ from screenlab.operators.ordered import first_by
 from screenlab.plans import roles
 from screenlab.plans.registry import query, round_all
 from screenlab.plans.sqltext import r
+from screenlab.sources import genome
 
 BIN = 64
+#: Letters at each end of a gene.
+END = 1000
 
 
 def _merge_sql(src: str, by: str, out: str, gap: int = 0) -> str:
@@ -137,6 +140,23 @@ def longest_transcript(spark: SparkSession, sf: str) -> DataFrame:
     return io.longest_transcript(roles.exons(spark, sf))
 
 
+def _chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of the contigs, from their FASTA lines."""
+    return io.chunks_of_lines(genome.placed_lines(roles.contig_lines(spark, sf)))
+
+
+@query(
+    "fasta_line_places",
+    """, l AS (SELECT chrom, seq, unnest(range(0, (length(seq) + 59) // 60)) AS i FROM contigs WHERE seq <> '')
+SELECT chrom, CAST(i * 60 AS BIGINT) AS at, substring(seq, (i * 60 + 1)::BIGINT, 60) AS line FROM l""",
+    ("contigs",),
+)
+def fasta_line_places(spark: SparkSession, sf: str) -> DataFrame:
+    """Every sequence line of one FASTA file, with its record and its place there."""
+    lines = genome.placed_lines(roles.contig_lines(spark, sf))
+    return lines.select("chrom", "at", F.col("letters").cast("string").alias("line"))
+
+
 _BOUNDS = """
 , b AS (SELECT gene, min(chrom) AS chrom, min(s) AS s, max(e) AS e, min(strand) AS strand
   FROM loci GROUP BY gene)
@@ -153,15 +173,15 @@ _BOUNDS = """
 )
 def gene_span_sequences(spark: SparkSession, sf: str) -> DataFrame:
     bounds = io.gene_bounds(roles.loci(spark, sf))
-    return io.span_sequences(bounds, io.chunks_of(roles.contigs(spark, sf)))
+    return io.span_sequences(bounds, _chunks(spark, sf))
 
 
 @query(
     "gene_end_windows",
     _BOUNDS
-    + """
-, w AS (SELECT gene, strand, substring(c.seq, s, least(e - s + 1, 80)) AS l,
-    substring(c.seq, greatest(s, e - 79), least(e - s + 1, 80)) AS rt
+    + f"""
+, w AS (SELECT gene, strand, substring(c.seq, s, least(e - s + 1, {END})) AS l,
+    substring(c.seq, greatest(s, e - {END} + 1), least(e - s + 1, {END})) AS rt
   FROM b JOIN contigs c USING (chrom))
 SELECT gene, CASE WHEN strand = '-' THEN reverse(translate(rt, 'ACGT', 'TGCA')) ELSE l END AS first_window,
   CASE WHEN strand = '-' THEN reverse(translate(l, 'ACGT', 'TGCA')) ELSE rt END AS last_window FROM w""",
@@ -169,7 +189,7 @@ SELECT gene, CASE WHEN strand = '-' THEN reverse(translate(rt, 'ACGT', 'TGCA'))
 )
 def gene_end_windows(spark: SparkSession, sf: str) -> DataFrame:
     bounds = io.gene_bounds(roles.loci(spark, sf))
-    return io.end_windows(bounds, io.chunks_of(roles.contigs(spark, sf)), 80)
+    return io.end_windows(bounds, _chunks(spark, sf), END)
 
 
 @query(
@@ -184,7 +204,7 @@ SELECT gene, CASE WHEN strand = '-' THEN reverse(translate(q, 'ACGT', 'TGCA')) E
     ("loci", "contigs"),
 )
 def spliced_sequences(spark: SparkSession, sf: str) -> DataFrame:
-    return io.spliced_sequences(roles.loci(spark, sf), io.chunks_of(roles.contigs(spark, sf)))
+    return io.spliced_sequences(roles.loci(spark, sf), _chunks(spark, sf))
 
 
 @query(

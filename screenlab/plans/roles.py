@@ -172,6 +172,20 @@ def contigs(spark: SparkSession, sf: str) -> DataFrame:
     return seqs(spark, sf).select(F.col("target").cast("string").alias("chrom"), "seq")
 
 
+def contig_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The contigs as lines of one FASTA file, 60 letters each, in blocks that records run over."""
+    cut = F.transform(
+        F.sequence(F.lit(0), F.expr("cast((length(_b) + 59) div 60 as int)")),
+        lambda i: F.struct(i.alias("i"), F.when(i == 0, F.concat(F.lit(">"), "chrom")).otherwise(
+            F.substring("_b", (i - 1) * 60 + 1, F.lit(60)).cast("string")).alias("value")),
+    )
+    rows = contigs(spark, sf).select("chrom", F.col("seq").cast("binary").alias("_b"))
+    at = F.col("chrom").cast("bigint") * (1 << 24) + F.col("x.i")
+    return rows.select("chrom", F.explode(cut).alias("x")).select(
+        F.lit("contigs").alias("source"), F.shiftright(at, 6).alias("block"), at.alias("nth"), "x.value"
+    )
+
+
 def panel(spark: SparkSession, sf: str) -> DataFrame:
     cents = F.sum(F.round(F.col("value") * 100).cast("bigint"))
     return (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -78,6 +78,66 @@ def fasta_records(chunks: DataFrame) -> DataFrame:
     )
 
 
+def fasta_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(source, block, nth, value): the lines of FASTA files, and their order in a file.
+
+    Lines of one block of a file are numbered in order; blocks by their first byte.
+    """
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("source"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("nth"),
+        "value",
+    )
+
+
+def placed_lines(lines: DataFrame) -> DataFrame:
+    """(chrom, at, letters): every sequence line with its record's name and its place there.
+
+    Places are sums of lengths: inside a block of lines, and from block to block by
+    one summary row a block. A record is never put together. Lines before the first
+    header of a file belong to none and go; a record of no letters has no row.
+    """
+    head = F.col("value").startswith(">")
+    name = F.element_at(F.split(F.trim(F.substring("value", 2, 1 << 20)), r"\s+"), 1)
+    letters = F.when(head, F.lit("")).otherwise(F.regexp_replace("value", r"\s", ""))
+    rows = lines.select(
+        "source", "block", "nth", F.when(head, name).alias("name"), letters.cast("binary").alias("letters")
+    )
+    inside = Window.partitionBy("source", "block").orderBy("nth")
+    rows = rows.withColumn("part", F.count("name").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    of = Window.partitionBy("source", "block", "part")
+    size = F.length("letters").cast("bigint")
+    so_far = F.sum(size).over(of.orderBy("nth").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.select(
+        "source", "block", "part", "letters", F.max("name").over(of).alias("name"), F.coalesce(so_far, F.lit(0)).alias("at")
+    )
+    parts = rows.groupBy("source", "block", "part").agg(F.max("name").alias("name"), F.sum(size).alias("size"))
+    last = F.max_by(F.struct("name", "size"), "part").alias("x")
+    blocks = parts.groupBy("source", "block").agg(last, F.max("part").alias("heads"))
+    # One row a block: the record that goes on into the next block, and how far it has come.
+    order = Window.partitionBy("source").orderBy("block")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    blocks = blocks.select("source", "block", "x.*", F.count_if(F.col("heads") > 0).over(upto).alias("record"))
+    record = Window.partitionBy("source", "record")
+    blocks = blocks.select(
+        "source",
+        "block",
+        F.max("name").over(record).alias("name"),
+        F.sum("size").over(record.orderBy("block").rowsBetween(Window.unboundedPreceding, 0)).alias("come"),
+    )
+    carried = blocks.select(
+        "source", "block", F.lag("name").over(order).alias("_name"), F.lag("come").over(order).alias("_come")
+    )
+    first = F.col("part") == 0
+    placed = rows.join(carried, ["source", "block"]).select(
+        F.when(first, F.col("_name")).otherwise(F.col("name")).alias("chrom"),
+        (F.col("at") + F.when(first, F.coalesce("_come", F.lit(0))).otherwise(F.lit(0))).alias("at"),
+        "letters",
+    )
+    return placed.where(F.col("chrom").isNotNull() & (F.length("letters") > 0))
+
+
 def conserved_elements(lines: DataFrame) -> DataFrame:
     """chrom, start, end, name ("lod=<n>"), score, tab-separated; no lod reads as 0."""
     f = F.split("value", "\t")
