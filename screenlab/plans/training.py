@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenlab.operators import models, pipeline, screen
+from screenlab.operators import models, pipeline, screen, tree_search
 from screenlab.operators.metrics import ranking_metrics, regression_metrics
 from screenlab.plans import roles
 from screenlab.plans.registry import query, rounded
@@ -145,23 +145,19 @@ def grid_search(spark: SparkSession, sf: str) -> DataFrame:
 def nested_random_search(spark: SparkSession, sf: str, n_trials: int = TRIALS) -> DataFrame:
     """Per outer cell: random search over all its training cells, then one prediction per row.
 
-    `n_trials` settings are drawn once and judged on each inner cell, so there are
-    cells x (n_trials x (cells - 1) + 1) fits.
+    `n_trials` settings are drawn once and judged on each inner cell. All trees of
+    all cells and settings are grown together, a pass over the rows a level.
     """
     space = {"maxDepth": ("int", 2, 5), "minInstancesPerNode": ("int", 1, 50, "log")}
     trials = models.draws(space, n_trials, seed=1)
-    out = None
+    design = None
     for outer in roles.CELLS:
-        design = _design(spark, sf, outer)
-        train, test = _parts(design, outer)
-        inner = [c for c in roles.CELLS if c != outer]
-        found = models.search(train, "cell", inner, "decision_tree", trials)
-        params = models.best_params(found, trials)
-        part = models.fit_predict("decision_tree", train, test, [*KEYS, "label"], **params)
-        part = cut_lineage(part.withColumn("params", F.lit(repr(params))))
-        design.unpersist()
-        out = part if out is None else out.unionByName(part)
-    checked = models.require_once(out, KEYS)
+        rows = screen.with_outcomes(roles.gene(spark, sf)).join(screen.cross_cell_priors(roles.gene(spark, sf), outer), KEYS)
+        part = models.assembled(rows, NAMES).select(*KEYS, "label", "features", F.lit(outer).alias("outer"))
+        design = part if design is None else design.unionByName(part)
+    out, best = tree_search.nested_search(cut_lineage(design), "outer", "cell", roles.CELLS, trials, [*KEYS, "label"])
+    table = spark.createDataFrame([(o, repr(t)) for o, (t, _) in best.items()], "outer string, params string")
+    checked = models.require_once(cut_lineage(out.join(table, "outer")), KEYS)
     return ranking_metrics(checked, ["cell", "params"], "score", "label")
 
 
