@@ -93,7 +93,7 @@ def multi_hot(listing: Column, categories: Sequence[str], prefix: str) -> list[C
 
 
 def split_list(listing: Column) -> Column:
-    parts = F.transform(F.split(listing, ","), F.trim)
+    parts = F.transform(F.split(listing, ","), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
 
 

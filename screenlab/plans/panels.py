@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenlab.functions import maths as fm
-from screenlab.operators import panels
+from screenlab.operators import annotation, panels
 from screenlab.plans import roles
 from screenlab.plans.registry import query, round_all
 from screenlab.plans.sqltext import corr, pct_rank, r
@@ -241,24 +240,108 @@ def marker_coexpression_by_organ(spark: SparkSession, sf: str) -> DataFrame:
     return round_all(panels.coexpression(roles.atlas(spark, sf), [3, 8], by_organ=True), ["rho"])
 
 
+_ANNOTATION = """
+, ann AS (SELECT p_partkey, p_size, p_retailprice, p_brand, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_type END AS kind,
+   CASE WHEN p_size % 4 <> 0 THEN p_retailprice END AS effect FROM part)
+, cat AS (SELECT p_partkey, unnest([{'c': 'p_brand', 'v': coalesce(p_brand, 'nan')}, {'c': 'kind', 'v': coalesce(kind, 'nan')}]) AS x FROM ann)
+, fit AS (SELECT x.c AS "column", x.v AS category, count(*) AS rows FROM cat WHERE p_partkey % 3 <> 0 GROUP BY x.c, x.v)
+"""
+
+
+def _annotation(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The annotation table, and the categories of two thirds of its rows."""
+    kind = F.when(F.col("p_size") % 7 != 0, F.col("p_type"))
+    effect = F.when(F.col("p_size") % 4 != 0, F.col("p_retailprice"))
+    part = roles.table(spark, sf, "part").select(
+        "p_partkey", "p_size", "p_retailprice", "p_brand", kind.alias("kind"), effect.alias("effect")
+    )
+    fitted = annotation.fit_categories(part.where(F.col("p_partkey") % 3 != 0), ["p_brand", "kind"])
+    return part, fitted
+
+
+@query("fitted_categories", _ANNOTATION + 'SELECT "column", category, rows FROM fit')
+def fitted_categories(spark: SparkSession, sf: str) -> DataFrame:
+    return _annotation(spark, sf)[1]
+
+
 @query(
     "static_annotation_block",
-    f"""SELECT p_partkey, {r('coalesce(p_size, -1)', 'size')}, {r('ln(1 + greatest(p_retailprice, 0))', 'log_price')},
-  {', '.join(f"CAST(p_brand = 'Brand#{i}{j}' AS INT) * 1e0 AS brand_{i}{j}" for i in (1, 2) for j in (1, 2))},
-  CASE WHEN p_size % 4 = 0 THEN 0e0 ELSE p_retailprice END AS effect, CAST(p_size % 4 = 0 AS INT) * 1e0 AS effect_missing
-FROM part""",
+    _ANNOTATION
+    + f"""
+, long AS (SELECT p_partkey, unnest([
+    {{'f': 'p_size', 'v': coalesce(p_size, -1)::DOUBLE}}, {{'f': 'p_retailprice', 'v': coalesce(p_retailprice, -1)::DOUBLE}},
+    {{'f': 'log_p_retailprice', 'v': ln(1 + greatest(coalesce(p_retailprice, 0), 0))}},
+    {{'f': 'effect', 'v': coalesce(effect, 0)::DOUBLE}}, {{'f': 'effect_missing', 'v': (effect IS NULL)::INT::DOUBLE}}]) AS x FROM ann)
+SELECT p_partkey, x.f AS feature, {r('x.v', 'value')} FROM long
+UNION ALL SELECT p_partkey, x.c || '_' || x.v, 1e0 FROM cat JOIN fit ON fit."column" = x.c AND fit.category = x.v""",
 )
 def static_annotation_block(spark: SparkSession, sf: str) -> DataFrame:
-    """Numbers with -1 for missing, log scale, category indicators, filled external value."""
-    part = roles.table(spark, sf, "part")
-    brands = [f"Brand#{i}{j}" for i in (1, 2) for j in (1, 2)]
-    flags = fm.one_hot(F.col("p_brand"), brands, "")
-    external = F.when(F.col("p_size") % 4 != 0, F.col("p_retailprice"))
-    out = part.select(
+    """Numbers with -1 for missing, log scale, indicators of all fitted categories, filled external value."""
+    part, fitted = _annotation(spark, sf)
+    out = annotation.static_annotation(
+        part, ["p_partkey"], ["p_size", "p_retailprice"], ["p_retailprice"], ["p_brand", "kind"],
+        {"effect": F.col("effect")}, fitted,
+    )
+    return round_all(out, ["value"])
+
+
+_LISTS = " || ".join(f"CASE WHEN p_size % {k + 2} = 0 THEN '{s},' ELSE '' END" for k, s in enumerate(SAMPLES))
+
+
+@query(
+    "neighbour_context_blocks",
+    f"""
+, n AS (SELECT p_partkey, CASE WHEN p_size % 9 = 0 THEN NULL ELSE p_size - 5 END AS distance, p_type AS class, {_LISTS} AS tissues FROM part)
+SELECT p_partkey, 'distance' AS feature, coalesce(distance, -1)::DOUBLE AS value FROM n
+UNION ALL SELECT p_partkey, 'log_distance', {r('ln(1 + greatest(coalesce(distance, -1), 0))', 'value')} FROM n
+UNION ALL SELECT p_partkey, 'class_' || coalesce(class, 'nan'), 1e0 FROM n
+UNION ALL SELECT p_partkey, 'tissues_' || t, 1e0 FROM (SELECT p_partkey, unnest(string_split(tissues, ',')) AS t FROM n) WHERE t <> ''""",
+)
+def neighbour_context_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """A neighbour's distance, its class and the tissues listed for it."""
+    tissues = F.concat(*[F.when(F.col("p_size") % (k + 2) == 0, f"{s},").otherwise("") for k, s in enumerate(SAMPLES)])
+    rows = roles.table(spark, sf, "part").select(
         "p_partkey",
-        F.coalesce(F.col("p_size").cast("double"), F.lit(-1.0)).alias("size"),
-        fm.safe_log1p(F.col("p_retailprice")).alias("log_price"),
-        *[c.alias(f"brand_{b[-2:]}") for c, b in zip(flags, brands, strict=True)],
-        *fm.filled(external, "effect"),
+        F.when(F.col("p_size") % 9 != 0, F.col("p_size") - 5).alias("distance"),
+        F.col("p_type").alias("class"),
+        tissues.alias("tissues"),
+    )
+    keys = ["p_partkey"]
+    kinds = rows.select("p_partkey", "class")
+    out = annotation.distance_block(keys, "distance", rows)
+    out = out.unionByName(annotation.one_hot_rows(kinds, keys, annotation.fit_categories(kinds, ["class"])))
+    return round_all(out.unionByName(annotation.listed_block(rows, keys, "tissues", SAMPLES)), ["value"])
+
+
+@query(
+    "neighbour_level_block",
+    _MRNA
+    + f"""
+, names AS (SELECT 0 AS src, 'S' || (c_custkey % 60) AS name, c_custkey AS id, c_custkey % 2 AS rank FROM customer
+  UNION ALL SELECT 1, 'S' || (s_suppkey % 80), s_suppkey, 0 FROM supplier)
+, m AS (SELECT name, id FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY src, rank, id) AS k FROM names) WHERE k = 1)
+, t AS (SELECT gene, sample, coalesce(mrna.value, panel.value) AS v FROM panel FULL JOIN mrna USING (gene, sample)
+  WHERE sample IN {SAMPLES})
+, has AS (SELECT gene, sum(v) / {len(SAMPLES)} AS mean, count(*) FILTER (v >= 1) AS breadth FROM t GROUP BY gene)
+, x AS (SELECT p_partkey, 'S' || (p_partkey % 100) AS symbol, unnest({list(SAMPLES)}) AS sample FROM part)
+SELECT p_partkey, symbol, x.sample, {r('ln(1 + coalesce(t.v, 0))', 'log_total')},
+  {r('CASE WHEN has.gene IS NULL THEN 0 ELSE ln(1 + coalesce(panel.value, 0)) END', 'log_mrna')},
+  {r('ln(1 + coalesce(mean, 0))', 'log_mean')}, coalesce(breadth, 0) * 1e0 AS breadth, (has.gene IS NULL)::INT * 1e0 AS missing
+FROM x LEFT JOIN m ON m.name = symbol LEFT JOIN has ON has.gene = m.id LEFT JOIN t ON t.gene = m.id AND t.sample = x.sample
+LEFT JOIN panel ON panel.gene = m.id AND panel.sample = x.sample""",
+    ("panel",),
+)
+def neighbour_level_block(spark: SparkSession, sf: str) -> DataFrame:
+    """Levels of the gene that a symbol leads to, by two maps and two sources in order of preference."""
+    rows = roles.table(spark, sf, "part").select("p_partkey", F.concat(F.lit("S"), F.col("p_partkey") % 100).alias("symbol"))
+    first = roles.table(spark, sf, "customer").select(
+        F.concat(F.lit("S"), F.col("c_custkey") % 60).alias("name"),
+        F.col("c_custkey").alias("id"),
+        (F.col("c_custkey") % 2).cast("bigint").alias("rank"),
+    )
+    second = roles.table(spark, sf, "supplier").select(
+        F.concat(F.lit("S"), F.col("s_suppkey") % 80).alias("name"), F.col("s_suppkey").alias("id"), F.lit(0).cast("bigint").alias("rank")
     )
-    return round_all(out, ["size", "log_price"])
+    panel, mrna = roles.panel(spark, sf), _mrna(spark, sf)
+    out = annotation.neighbour_levels(rows, [first, second], [mrna, panel], [panel], SAMPLES)
+    return round_all(out, ["log_total", "log_mrna", "log_mean"])
