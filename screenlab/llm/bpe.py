@@ -59,7 +59,8 @@ class Coder:
             tokens = [(base64.b64decode(a), int(b)) for a, b in map(bytes.split, f)]
         rank = dict(tokens)
         self.first = np.array([rank[bytes([b])] for b in range(256)], np.int32)
-        self.pieces = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
+        self.pieces = self.pattern.findall
         # No token holds some pairs of bytes, so no contraction crosses them.
         self.meets = np.zeros((256, 256), bool)
         splits = []
@@ -115,9 +116,25 @@ class Coder:
         self.db.execute("INSERT INTO known SELECT w, p, id FROM _new")
         self.db.unregister("_new")
 
+    def windows(self, text: str) -> Iterator[list[str]]:
+        """The pre-tokens of a text, in lists of about CHUNK letters."""
+        words, size = [], 0
+        for match in self.pattern.finditer(text):
+            words.append(match.group())
+            size += len(words[-1])
+            if size >= CHUNK:
+                yield words
+                words, size = [], 0
+        yield words
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The token ids of each text."""
-        split = [self.pieces(t) for t in texts]
+        """The token ids of each text; one longer than a chunk goes through the queries in parts."""
+        if len(texts) == 1 and len(texts[0]) > CHUNK:
+            return [np.concatenate([self.encode_words([words])[0] for words in self.windows(texts[0])])]
+        return self.encode_words([self.pieces(t) for t in texts])
+
+    def encode_words(self, split: list[list[str]]) -> list[np.ndarray]:
+        """The token ids of each list of pre-tokens."""
         if len(self.known) > REMEMBERED:
             self.forget()
         fresh = list(set(chain.from_iterable(split)).difference(self.known))
@@ -134,10 +151,13 @@ class Coder:
         found = self.rows(
             "SELECT doc, list(id ORDER BY (nth << 32) | place) AS ids FROM occurs JOIN known USING (word) GROUP BY doc"
         )
-        return _by_number(found, len(texts), np.zeros(0, np.int32))
+        return _by_number(found, len(split), np.zeros(0, np.int32))
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        """The bytes of each row of ids; an id the vocabulary lacks is an error."""
+        """The bytes of each row of ids, a long one in parts; an id the vocabulary lacks is an error."""
+        if len(ids) == 1 and len(ids[0]) > CHUNK // 3:
+            parts = (ids[0][k : k + CHUNK // 3] for k in range(0, len(ids[0]), CHUNK // 3))
+            return [b"".join(self.decode([part])[0] for part in parts)]
         size = np.array([len(x) for x in ids], np.int64)
         flat = np.concatenate([*ids, np.zeros(0, np.int32)])
         self.store("told", doc=np.repeat(np.arange(len(ids), dtype=np.int32), size), nth=np.arange(len(flat)), id=flat)
@@ -169,13 +189,15 @@ def coder(path: str, pattern: str) -> Coder:
 
 
 def _chunks(column: pa.Array) -> Iterator[list]:
+    """Texts of CHUNK letters together at most, or one longer one."""
     part, held = [], 0
     for x in column:
-        part.append(x.as_py() or "")
-        held += len(part[-1])
-        if held > CHUNK:
+        text = x.as_py() or ""
+        if part and held + len(text) > CHUNK:
             yield part
             part, held = [], 0
+        part.append(text)
+        held += len(text)
     if part:
         yield part
 

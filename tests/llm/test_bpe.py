@@ -56,3 +56,28 @@ def test_null_ids_and_empty_table(spark, none):
     rows = decode(df, PATH, P.PATTERN).select("row.doc_id", "bytes").orderBy(F.col("doc_id")).collect()
     assert [bytes(r["bytes"]) for r in rows] == [b"", b"", b'!"']
     assert round_trip(none, PATH, P.PATTERN).count() == 0
+
+
+def test_text_of_eleven_million_letters(library):
+    own = Coder(PATH, P.PATTERN)
+    unit = "".join(f"word{k % 977} of a long text, line {k % 31}\n" for k in range(2000)) + "日本語 " * 50
+    text = unit * (11_200_000 // len(unit) + 1)
+    ids = own.encode([text])[0]
+    assert len(text) > 11_000_000 and ids.tolist() == library.encode_ordinary(text)
+    assert own.decode([ids])[0] == text.encode()
+
+
+def test_a_long_text_among_short_ones(spark, library, monkeypatch):
+    from screenlab.llm import bpe
+
+    monkeypatch.setattr(bpe, "CHUNK", 50)
+    import pyarrow as pa
+
+    texts = ["a b", None, "c" * 30, "long text " * 40, "", "d e f", "x" * 51]
+    parts = list(bpe._chunks(pa.array(texts)))
+    assert [x for p in parts for x in p] == [t or "" for t in texts]
+    assert all(len(p) == 1 or sum(map(len, p)) <= 50 for p in parts)
+    own = bpe.Coder(PATH, P.PATTERN)
+    ids = [x for p in parts for x in own.encode(p)]
+    assert [x.tolist() for x in ids] == [library.encode_ordinary(t or "") for t in texts]
+    assert b"".join(own.decode([x])[0] for x in ids) == "".join(t or "" for t in texts).encode()
