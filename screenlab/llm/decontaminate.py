@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from screenlab.llm.common import shared_folder, written
+
 WINDOW = 10
+#: Pairs of equal windows of items and texts that are looked at together.
+PAIRS = 1 << 20
 #: Words of test items in one broadcast, and of documents in one suffix array.
 BLOCK, SHARD = 400_000, 1_000_000
 
@@ -82,13 +87,22 @@ def longest_matches(flat: np.ndarray, block: TestBlock) -> tuple[np.ndarray, np.
     array, keys = at[order], keys[order]
     lo = np.searchsorted(keys, block.low, "left")
     n = np.searchsorted(keys, block.high, "right") - lo
-    # A match that can be carried on to the left is found from its first word.
-    which = np.repeat(np.arange(len(n)), n)
-    p = array[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
-    q = block.start[which]
-    before = np.where((p > 0) & (q > 0), flat[np.maximum(p, 1) - 1], 0)
-    first = (before == 0) | (before != block.flat[np.maximum(q, 1) - 1])
-    p, q, which = p[first], q[first], which[first]
+    # A match that can be carried on to the left is found from its first word. Of a passage
+    # that many items and texts share, all pairs are looked at, but never more than PAIRS at once.
+    upto = np.cumsum(n)
+    part = np.searchsorted(upto, np.arange(PAIRS, upto[-1] + PAIRS, PAIRS), "right") if len(n) else []
+    ps, qs, whichs = [], [], []
+    for a, b in zip([0, *part], [*part, len(n)], strict=True):
+        own = n[a:b]
+        which = np.repeat(np.arange(a, b), own)
+        p = array[np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + np.repeat(lo[a:b], own)]
+        q = block.start[which]
+        before = np.where((p > 0) & (q > 0), flat[np.maximum(p, 1) - 1], 0)
+        first = (before == 0) | (before != block.flat[np.maximum(q, 1) - 1])
+        ps.append(p[first])
+        qs.append(q[first])
+        whichs.append(which[first])
+    p, q, which = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (ps, qs, whichs))
     size = block.size[which].copy()
     on = np.arange(len(p))
     while len(on):
@@ -194,10 +208,17 @@ def find_matches(
     kind = pa.list_(
         pa.struct([("start", pa.int64()), ("words", pa.int64()), ("item", arrow), ("item_start", pa.int64())])
     )
-    blocks = list(item_blocks(benchmark, item_id, item_text, window, block)) or [TestBlock([], window)]
-    for b in blocks:
-        search = functools.partial(_searched, spark.sparkContext.broadcast(b), found.columns, kind)
-        found = found.mapInArrow(search, schema)
+    blocks = item_blocks(benchmark, item_id, item_text, window, block)
+    now, following = next(blocks, TestBlock([], window)), next(blocks, None)
+    folder = None if following is None else shared_folder(spark)
+    while now is not None:
+        sent = spark.sparkContext.broadcast(now)
+        found = found.mapInArrow(functools.partial(_searched, sent, found.columns, kind), schema)
+        if folder is not None:
+            # The driver holds one block and the next; what a block has found is written before it goes.
+            found = written(found, folder, uuid.uuid4().hex)
+            sent.destroy()
+        now, following = following, next(blocks, None)
     return found.select(F.col("_row").alias("row"), F.col("_n").alias("n_words"), F.col("_m").alias("matches"))
 
 

@@ -70,3 +70,36 @@ def test_clean_rows_stay_whole(spark, odd, none):
     assert left.count() == odd.count() - 5
     assert decontaminate(odd, items.limit(0)).count() == odd.count()
     assert decontaminate(none, items).count() == 0
+
+
+def test_many_items_and_texts_with_one_passage_need_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from screenlab.llm import decontaminate
+
+    passage = [b"w%d" % k for k in range(30)]
+    block = decontaminate.TestBlock([(i, passage) for i in range(300)], 10)
+    ids = [block.vocab[w] for w in passage] + [0]
+    flat = np.array(ids * 2000 + [0], np.int64)
+    tracemalloc.start()
+    p, owner, q, size = decontaminate.longest_matches(flat, block)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(p) == 600_000 and set(size.tolist()) == {30} and set((p % 31).tolist()) == {0}
+    assert len(set(zip(p.tolist(), owner.tolist(), strict=True))) == 600_000
+    assert peak < 200e6
+
+
+def test_blocks_of_items_give_what_one_block_gives(spark, odd):
+    items = [(k, " ".join(f"w{j}" for j in range(k, k + 15))) for k in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    from screenlab.llm.decontaminate import find_matches
+
+    def rows(**options):
+        got = find_matches(odd, bench, **options).select("row.doc_id", "n_words", "matches").collect()
+        return sorted((str(r[0]), r[1], sorted(map(tuple, r[2]))) for r in got)
+
+    one = rows()
+    assert rows(block=60) == one and any(m for *_, m in one)
