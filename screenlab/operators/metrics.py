@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -194,15 +195,24 @@ def effect_size(df: DataFrame, by: Sequence[str], value: str, label: str) -> Dat
 
 
 def normal_two_sided(z: Column) -> Column:
-    """2 (1 - Phi(z)) for z >= 0, by the rational erfc fit of Abramowitz and Stegun 7.1.26."""
-    # The published coefficients.
-    a1, a2, a3, a4, a5, p = (
-        0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429, 0.3275911,
-    )
+    """2 (1 - Phi(z)) for z >= 0, right to about twelve digits of itself however small.
+
+    Up to 2 by the series of the error function, whose terms are all positive,
+    beyond by the continued fraction of its complement.
+    """
     x = z / F.lit(2.0**0.5)
-    t = F.lit(1.0) / (F.lit(1.0) + x * p)
-    poly = ((((t * a5 + a4) * t + a3) * t + a2) * t + a1) * t
-    return poly * F.exp(-x * x)
+    terms = F.sequence(F.lit(1), F.lit(80))
+    start = F.struct(x.alias("term"), x.alias("total"))
+
+    def add(a: Column, k: Column) -> Column:
+        term = a["term"] * 2.0 * x * x / (2 * k + 1)
+        return F.struct(term.alias("term"), (a["total"] + term).alias("total"))
+
+    scale = F.exp(-x * x) / F.lit(math.pi**0.5)
+    near = 1.0 - 2.0 * scale * F.aggregate(terms, start, add, lambda a: a["total"])
+    far = F.greatest(x, F.lit(1.0))
+    fraction = F.aggregate(F.sequence(F.lit(120), F.lit(1), F.lit(-1)), far, lambda f, k: far + k / 2.0 / f)
+    return F.when(x < 1.4, near).otherwise(scale / fraction)
 
 
 # Metrics a run may be tuned on, by name: each gives the named column per group.

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from screenlab import schema
 from screenlab.functions import maths as fm
 from screenlab.operators.metrics import guarded_corr
-from screenlab.operators.ordered import quantiles
 
 
 def hit(p: str = "p", fc: str = "fc") -> Column:
@@ -300,38 +299,39 @@ def guide_outcomes(df: DataFrame, scale: float = 1.0) -> DataFrame:
     all lack a finite replicate keeps its row, filled with zeros.
     """
     by = ["cell", "target"]
-    a, b = F.col("rep1"), F.col("rep2")
-    good = finite_pairs(df, "rep1", "rep2")
+    finite = [x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")) for x in (F.col("rep1"), F.col("rep2"))]
+    good = finite[0] & finite[1]
+    # A guide has a row for each replicate; what it says of both is in the first. All in one grouping.
+    sides = F.posexplode(F.array(-F.col("rep1"), -F.col("rep2"))).alias("i", "d")
+    each = df.select(*by, F.when(good, F.col("rep1")).alias("a"), F.when(good, F.col("rep2")).alias("b"), sides)
+    each = each.select(
+        *by,
+        F.when(F.col("a").isNotNull(), F.col("d")).alias("d"),
+        *[F.when(F.col("i") == 0, F.col(x)).alias(x) for x in "ab"],
+    )
+    a, b, d = F.col("a"), F.col("b"), F.col("d")
     half, one = 0.5 * scale, 1.0 * scale
-    each = good.select(*by, F.explode(F.array(-a, -b)).alias("d"))
-    d = F.col("d")
-    single = each.groupBy(*by).agg(
+    mean = -(a + b) / 2.0
+    out = each.groupBy(*by).agg(
         F.avg(d).alias("depletion_mean"),
+        F.percentile(d, 0.5).alias("depletion_median"),
         F.max(d).alias("depletion_max"),
         F.min(d).alias("depletion_min"),
         F.stddev_pop(d).alias("depletion_std"),
-        F.avg((d > 0).cast("double")).alias("fraction_depleted"),
-        F.avg((d > half).cast("double")).alias("fraction_depleted_0p5"),
-        F.avg((d > one).cast("double")).alias("fraction_depleted_1p0"),
-    )
-    mean = -(a + b) / 2.0
-    pairs = good.groupBy(*by).agg(
+        F.percentile(d, 0.75).alias("depletion_q75"),
         F.avg(mean).alias("mean_depletion_mean"),
+        F.percentile(mean, 0.5).alias("mean_depletion_median"),
         F.max(mean).alias("mean_depletion_max"),
         F.stddev_pop(mean).alias("mean_depletion_std"),
+        F.avg((d > 0).cast("double")).alias("fraction_depleted"),
+        F.avg((d > half).cast("double")).alias("fraction_depleted_0p5"),
+        F.avg((d > one).cast("double")).alias("fraction_depleted_1p0"),
         F.avg(((a < 0) & (b < 0)).cast("double")).alias("fraction_both_reps_depleted"),
-        F.avg(((a < -half) & (b < -half)).cast("double")).alias(
-            "fraction_both_reps_depleted_0p5"
-        ),
-        F.coalesce(guarded_corr(a, b), F.lit(0.0)).alias("replicate_correlation"),
+        F.avg(((a < -half) & (b < -half)).cast("double")).alias("fraction_both_reps_depleted_0p5"),
+        guarded_corr(a, b).alias("replicate_correlation"),
         F.avg(F.abs(a - b)).alias("mean_replicate_abs_difference"),
-        F.count(F.lit(1)).cast("double").alias("guide_count"),
+        F.count(a).cast("double").alias("guide_count"),
     )
-    q = quantiles(each, by, "d", {"depletion_median": 0.5, "depletion_q75": 0.75})
-    qm = quantiles(good.select(*by, mean.alias("m")), by, "m", {"mean_depletion_median": 0.5})
-    out = df.select(*by).distinct()
-    for part in (single, pairs, q, qm):
-        out = out.join(part, by, "left")
     return out.select(*by, *[F.coalesce(s, F.lit(0.0)).alias(s) for s in GUIDE_STATS])
 
 

@@ -117,3 +117,14 @@ def test_effect_size_p_value(spark):
     df = spark.createDataFrame([(float(i), int(i >= 10)) for i in range(20)], "v double, y int")
     m = metrics.effect_size(df, [], "v", "y").first()
     assert m.auroc == 1 and m.mean_hit == 14.5 and m.p_value < 0.001
+
+
+def test_small_p_values_keep_their_digits(spark):
+    import math
+
+    from screenlab.operators.metrics import normal_two_sided
+
+    zs = [0.0, 1e-9, 0.5, 1.97, 1.98, 2.0, 5.0, 10.0, 37.0]
+    df = spark.createDataFrame([(z,) for z in zs], "z double")
+    for r in df.select("z", normal_two_sided(F.col("z")).alias("p")).collect():
+        assert r.p == pytest.approx(math.erfc(r.z / 2**0.5), rel=1e-11)
