@@ -301,12 +301,14 @@ def search(
     metric: str = "auprc",
     label: str = "label",
     prepare: Callable[[DataFrame], DataFrame] | None = None,
+    parts: Callable[[str], tuple[DataFrame, DataFrame]] | None = None,
 ) -> DataFrame:
     """(trial, params, score, folds): mean fold metric per trial, best first.
 
     Each fit is a job, and the plan is cut after each trial; all predictions are
     then scored in one grouped pass. ``prepare`` gets the training rows of a fold
-    (to balance them, say), never the rows it is judged on.
+    (to balance them, say), never the rows it is judged on; ``parts`` gives both
+    kinds of rows of a fold, where each has features of its own.
     """
     scored = None
     folds = list(folds)
@@ -314,7 +316,7 @@ def search(
     for t, params in enumerate(trials):
         own = None
         for f in folds:
-            train, valid = design.where(F.col(fold) != f), design.where(F.col(fold) == f)
+            train, valid = parts(f) if parts else (design.where(F.col(fold) != f), design.where(F.col(fold) == f))
             out = fit_predict(name, prepared.get(f, train), valid, [label], **params)
             out = out.select(F.lit(t).alias("trial"), F.lit(str(f)).alias("fold"), F.col(label).alias("label"), "score")
             own = out if own is None else own.unionByName(out)

@@ -6,12 +6,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenlab.operators import models, pipeline, screen, tree_search
+from screenlab.operators import gene_runs, models, pipeline, screen, tree_search
 from screenlab.operators.metrics import ranking_metrics, regression_metrics
 from screenlab.plans import roles
 from screenlab.plans.registry import query, rounded
 from screenlab.plans.sqltext import r
-from screenlab.session import cut_lineage
+from screenlab.session import cut_lineage, shared_folder
 
 HELD = "RF"
 NAMES = [f"{o}_{s}" for o in screen.OUTCOMES for s in ("mean", "max", "min", "std")]
@@ -216,18 +216,56 @@ def gene_propensity(spark: SparkSession, sf: str) -> DataFrame:
     return _scored(out.withColumnRenamed("propensity", "score"), "gene_propensity")
 
 
+def _sequence_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(target, cell, chrom, label, distance) of targets with a body, and the bodies."""
+    notes = roles.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("target"), F.when(F.col("p_size") > 10, F.col("p_size")).alias("distance")
+    )
+    bodies = roles.seqs(spark, sf).where(F.length("seq") >= 2)
+    rows = roles.gene(spark, sf).select(*KEYS, "chrom", "label").join(notes, "target")
+    return rows.join(bodies.select("target"), "target", "left_semi"), bodies
+
+
 @query("configured_run")
 def configured_run(spark: SparkSession, sf: str) -> DataFrame:
-    """A whole run from its configuration: grid over stratified folds, fit, score by cell."""
-    design = _design(spark, sf).select(*KEYS, "chrom", "label", "features")
-    train, test = design.where(F.col("cell") != HELD), design.where(F.col("cell") == HELD)
+    """A whole run from its configuration: features of each fold from sequences, grid, fit, score by cell."""
+    rows, bodies = _sequence_rows(spark, sf)
     config = pipeline.Config(
         model="decision_tree",
         cv="stratified",
-        stratified_k=2,
+        stratified_k=5,
         tuning="grid",
         space={"maxDepth": [2, 4]},
         class_weight="balanced",
         resampling="random_under",
     )
-    return pipeline.run(config, train, test).metrics
+    train, test = rows.where(F.col("cell") != HELD), rows.where(F.col("cell") == HELD)
+    return gene_runs.run_from_sequences(config, train, test, bodies, 2, roles.CELLS).metrics
+
+
+@query(
+    "saved_model_scores",
+    """, b AS (SELECT target FROM seqs WHERE length(seq) >= 2)
+, x AS (SELECT cell, count(*) AS rows FROM gene JOIN part ON p_partkey = target SEMI JOIN b USING (target) GROUP BY cell)
+SELECT cell, rows, rows AS same_in_batch, TRUE AS same_alone FROM x""",
+    ("gene", "seqs"),
+)
+def saved_model_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """A model saved and read again: rows it scores as before, and whether one sequence alone scores so too."""
+    rows, bodies = _sequence_rows(spark, sf)
+    own = gene_runs.GeneFeatures.fit(rows, bodies, 2, roles.CELLS)
+    design = models.weighted(own.design(rows, bodies))
+    model = models.build("histogram_trees", rounds=5, rate=0.3).fit(design)
+    folder = f"{shared_folder(spark)}/model"
+    gene_runs.SavedModel(own, model).save(spark, folder)
+    read = gene_runs.SavedModel.load(spark, folder)
+    before = models.predicted(model, design, KEYS)
+    after = read.score(rows, bodies).withColumnRenamed("score", "again")
+    one = rows.join(bodies, "target").orderBy("target", "cell").select(*KEYS, "distance", "seq").first()
+    alone = read.score_one(spark, one.seq, [one.cell], one.distance).select(F.col("score").alias("alone"))
+    mine = cut_lineage(before.join(after, KEYS))
+    want = mine.where((F.col("target") == one.target) & (F.col("cell") == one.cell)).select("score").scalar()
+    same = alone.select((F.abs(F.col("alone") - want) < 1e-12).alias("s")).scalar()
+    return mine.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("score") == F.col("again")).alias("same_in_batch")
+    ).select("*", same.alias("same_alone"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,16 @@ def local_session(cpus: str = "*", app: str = "screenlab", partitions: int = 8)
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that every executor can reach, under spark.checkpoint.dir."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return os.path.join(base, uuid.uuid4().hex)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder the cluster names in spark.checkpoint.dir.
 
