@@ -110,22 +110,31 @@ def screen_features(
     cells: Sequence[str],
     bodies: DataFrame | None = None,
     spread: bool = False,
+    vocab: DataFrame | None = None,
+    body_vectors: DataFrame | None = None,
+    guide_vectors: DataFrame | None = None,
 ) -> DataFrame:
-    """Guide-level features: guide k-mers, body k-mers, day, cell and distance.
+    """Guide-level features: k-mers of the guide and of both body windows, day, cell, distance, embeddings.
 
-    records(record, target, spacer, day, cell, distance), bodies(target, seq).
-    Spacers and bodies are counted once each, however many records share them.
+    records(record, target, spacer, day, cell, distance), bodies(target, first_seq,
+    last_seq), body_vectors(target, vec), guide_vectors(spacer, vec). Spacers and
+    bodies are counted once each, however many records share them; a target or
+    spacer without a body or vector has zeros there.
     """
     keys = ["record"]
     spacers = records.select("spacer").distinct()
     guide = kmers.kmer_frequencies(
-        spacers.select("spacer", F.col("spacer").alias("_s")), ["spacer"], "_s", k
+        spacers.select("spacer", F.col("spacer").alias("_s")), ["spacer"], "_s", k, vocab
     )
     blocks = [kmer_block(records, keys, "spacer", guide, "guide")]
     if bodies is not None:
         used = bodies.join(records.select("target").distinct(), "target", "left_semi")
-        body = kmers.kmer_frequencies(used, ["target"], "seq", k, spread=spread)
-        blocks.append(kmer_block(records, keys, "target", body, "body"))
+        for side in ("first", "last"):
+            body = kmers.kmer_frequencies(used, ["target"], f"{side}_seq", k, vocab, spread)
+            blocks.append(kmer_block(records, keys, "target", body, f"body_{side}"))
+    for on, vectors, name in (("target", body_vectors, "body_emb"), ("spacer", guide_vectors, "guide_emb")):
+        if vectors is not None:
+            blocks.append(vector_block(records, keys, on, vectors, name))
     blocks += [
         one_hot_block(records, keys, "day", F.col("day"), days),
         one_hot_block(records, keys, "cell", F.col("cell"), cells),

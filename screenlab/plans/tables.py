@@ -13,10 +13,12 @@ from screenlab.plans.sqltext import r
 
 CELLS = roles.CELLS
 DIMS = 64
+#: Letters of a body at each end.
+WINDOW = 1000
 
 # screen rows that have a guide: its number among the target's guides is the line number
 _RECORDS = """
-, records AS (SELECT row_number() OVER (ORDER BY s.guide, s.target, s.cell, s.rep, fc) AS record, s.target, g.spacer,
+, records AS (SELECT {'guide': s.guide, 'target': s.target, 'cell': s.cell, 'rep': s.rep, 'fc': fc} AS record, s.target, g.spacer,
     s.day, s.cell, CASE WHEN p_size > 10 THEN p_size END AS distance
   FROM (SELECT DISTINCT guide, target, cell, day, rep, fc FROM screen) s
   JOIN guides g ON g.guide_id = s.target * 1000000 + s.guide % 10 - 1 JOIN part ON p_partkey = s.target)
@@ -60,25 +62,41 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
     _RECORDS
     + ", spc AS (SELECT DISTINCT spacer, spacer AS sq FROM records)\n"
     + _kmers_sql("spc", "spacer", "sq", 2, "gk")
-    + _kmers_sql("seqs", "target", "seq", 2, "bk")
     + f"""
-, long AS (SELECT 'guide' AS block, 'guide_' || kmer AS feature, value FROM records JOIN gk USING (spacer)
-  UNION ALL SELECT 'body', 'body_' || kmer, value FROM records JOIN bk USING (target)
-  UNION ALL SELECT 'day', 'day_' || day, 1e0 FROM records
-  UNION ALL SELECT 'cell', 'cell_' || cell, 1e0 FROM records
-  UNION ALL SELECT 'distance', 'distance', coalesce(distance, -1) * 1e0 FROM records)
-SELECT block, feature, count(*) AS n, {r('sum(value)', 'total', 6)}, {r('max(value)', 'top')} FROM long GROUP BY block, feature""",
+, ends AS (SELECT target, substring(seq, 1, {WINDOW}) AS f, right(seq, {WINDOW}) AS l FROM seqs)
+"""
+    + _kmers_sql("ends", "target", "f", 2, "bf")
+    + _kmers_sql("ends", "target", "l", 2, "bl")
+    + f"""
+, ev AS (SELECT vec_id AS target, i, CAST(embedding[i] AS DOUBLE) AS value FROM (
+    SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings) WHERE embedding[i] <> 0)
+, long AS (SELECT record, 'guide' AS block, 'guide_' || kmer AS feature, value FROM records JOIN gk USING (spacer)
+  UNION ALL SELECT record, 'body_first', 'body_first_' || kmer, value FROM records JOIN bf USING (target)
+  UNION ALL SELECT record, 'body_last', 'body_last_' || kmer, value FROM records JOIN bl USING (target)
+  UNION ALL SELECT record, 'body_emb', 'body_emb_' || i, value FROM records JOIN ev USING (target)
+  UNION ALL SELECT record, 'day', 'day_' || day, 1e0 FROM records
+  UNION ALL SELECT record, 'cell', 'cell_' || cell, 1e0 FROM records
+  UNION ALL SELECT record, 'distance', 'distance', coalesce(distance, -1) * 1e0 FROM records)
+SELECT record.guide AS guide, record.target AS target, record.cell AS cell, record.rep AS rep, record.fc AS fc, block,
+  count(*) AS n, {r('sum(value)', 'total', 6)}, max(feature) AS last, {r('max(value)', 'top', 6)} FROM long GROUP BY record, block""",
     ("screen", "guides"),
 )
 def screen_feature_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """Entries, sum and maximum per feature of the guide-level table."""
+    """Of every record and block: entries, sum, last feature and largest value."""
+    seqs = roles.seqs(spark, sf)
+    bodies = seqs.select(
+        "target",
+        F.substring("seq", 1, WINDOW).alias("first_seq"),
+        F.right("seq", F.lit(WINDOW)).alias("last_seq"),
+    )
+    vectors = roles.emb(spark, sf).select(F.col("id").alias("target"), "vec")
     long = features.screen_features(
-        _records(spark, sf), 2, schema.DAYS, CELLS, roles.seqs(spark, sf)
+        _records(spark, sf), 2, schema.DAYS, CELLS, bodies, body_vectors=vectors
     )
-    out = long.groupBy("block", "feature").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max("value").alias("top")
+    out = long.groupBy("record", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max("feature").alias("last"), F.max("value").alias("top")
     )
-    return round_all(round_all(out, ["top"]), ["total"], 6)
+    return round_all(out.select("record.*", "block", "n", "total", "last", "top"), ["total", "top"], 6)
 
 
 _COORDS = """
