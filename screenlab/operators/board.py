@@ -77,20 +77,38 @@ def bad_score(score: str) -> Column:
 def problem_list(
     df: DataFrame, truth: DataFrame, excluded: DataFrame, sub: str, keys: Sequence[str], score: str
 ) -> DataFrame:
-    """(submission, problem, n) for every problem found without using labels."""
+    """(submission, problem, n) for every problem found without using labels.
+
+    One grouping of the submissions by key, one join with the known keys, one
+    grouping of what came out.
+    """
     k = list(keys)
+    each = df.groupBy(sub, *k).agg(F.count(F.lit(1)).alias("_copies"), F.count_if(bad_score(score)).alias("_bad"))
+    known = truth.select(*k, F.lit(1).alias("_truth")).unionByName(excluded.select(*k, F.lit(0).alias("_truth")))
+    known = known.groupBy(*k).agg(F.max("_truth").alias("_truth"))
+    total = truth.select(*k).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+    counts = each.join(known, k, "left").groupBy(sub).agg(
+        F.count_if(F.col("_copies") > 1).alias("duplicate"),
+        (total - F.count_if(F.col("_truth") == 1)).alias("missing"),
+        F.count_if(F.col("_truth").isNull()).alias("extra"),
+        F.sum("_bad").alias("not a finite number"),
+    )
+    names = ("duplicate", "missing", "extra", "not a finite number")
+    told = F.inline(F.array(*[F.struct(F.lit(n).alias("problem"), F.col(f"`{n}`").alias("n")) for n in names]))
+    return counts.select(sub, told).where(F.col("n") > 0)
 
-    def counted(frame: DataFrame, problem: str, n: Column) -> DataFrame:
-        return frame.groupBy(sub).agg(F.lit(problem).alias("problem"), n.alias("n"))
 
-    each = F.count(F.lit(1))
-    out = counted(duplicate_keys(df, sub, k), "duplicate", each)
-    lacking = missing_keys(df, truth, sub, k).where(F.col("missing") > 0)
-    out = out.unionByName(
-        lacking.select(sub, F.lit("missing").alias("problem"), F.col("missing").alias("n"))
+def metadata_problem_rows(df: DataFrame) -> DataFrame:
+    """``df`` with ``problems``: what `metadata_problems` finds, for a row a submission.
+
+    Fields are text columns or missing (null); the flag is "true" or "false".
+    """
+    lacking = [F.when(F.col(f).isNull(), F.lit(f"missing field {f}")) for f in METADATA]
+    handle = F.when(~valid_handle(F.col("submitter")), F.concat(F.lit("bad handle "), "submitter"))
+    flag = F.when(
+        ~F.col("uses_measured_depletion").isin("true", "false"), F.lit("uses_measured_depletion must be true or false")
     )
-    out = out.unionByName(counted(extra_keys(df, truth, excluded, sub, k), "extra", each))
-    return out.unionByName(counted(df.where(bad_score(score)), "not a finite number", each))
+    return df.withColumn("problems", F.array_compact(F.array(*lacking, handle, flag)))
 
 
 def score_all(

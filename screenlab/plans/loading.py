@@ -11,6 +11,7 @@ from screenlab.operators import screen
 from screenlab.plans import roles
 from screenlab.plans.registry import query, rounded
 from screenlab.plans.sqltext import r
+from screenlab.session import shared_folder
 from screenlab.sources import genome, records, runs, sheets
 
 CELLS = roles.CELLS
@@ -499,3 +500,20 @@ def pooled_against_own(spark: SparkSession, sf: str) -> DataFrame:
     own = part.groupBy("cell").agg(F.avg("label").alias("rate"))
     out = runs.pooled_against_own(pooled, own, "cell", "rate")
     return out.withColumns({c: rounded(c) for c in ("pooled_rate", "own_rate", "delta_rate")})
+
+
+@query(
+    "written_run_tables",
+    """SELECT 'a' AS run_id, count(*) AS n, CAST(sum(target) AS BIGINT) AS targets FROM gene WHERE cell = 'RO'
+UNION ALL SELECT 'b', count(*), CAST(sum(target) AS BIGINT) FROM gene WHERE cell = 'RF'""",
+    ("gene",),
+)
+def written_run_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions of two runs read back; the first run was written twice, and only its last tables stay."""
+    folder, gene = shared_folder(spark), roles.gene(spark, sf)
+    empty = spark.createDataFrame([], "n long")
+    for run, cell in (("a", "AF"), ("b", "RF"), ("a", "RO")):
+        rows = gene.where(F.col("cell") == cell).select("target", "cell", "label")
+        records.write_run(folder, run, empty, empty, spark.createDataFrame([(cell,)], "params string"), rows)
+    out = spark.read.parquet(f"{folder}/predictions")
+    return out.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("targets"))

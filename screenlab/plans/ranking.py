@@ -335,6 +335,36 @@ def submission_problems(spark: SparkSession, sf: str) -> DataFrame:
     return board.problem_list(subs, truth, excluded, "submission", ["target", "cell"], "score")
 
 
+_META = """
+, meta AS (SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN NULL WHEN s_suppkey % 3 = 0 THEN '-' || s_name ELSE 'user-' || s_suppkey END AS submitter,
+    CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE 'm' END AS model,
+    CASE s_suppkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'true' WHEN 2 THEN 'false' ELSE 'maybe' END AS uses_measured_depletion FROM supplier)
+"""
+
+
+@query(
+    "metadata_problem_rows",
+    _META
+    + """SELECT s_suppkey, list_filter([
+    CASE WHEN submitter IS NULL THEN 'missing field submitter' END, CASE WHEN model IS NULL THEN 'missing field model' END,
+    CASE WHEN uses_measured_depletion IS NULL THEN 'missing field uses_measured_depletion' END,
+    CASE WHEN submitter LIKE '-%' THEN 'bad handle ' || submitter END,
+    CASE WHEN uses_measured_depletion = 'maybe' THEN 'uses_measured_depletion must be true or false' END],
+  lambda x: x IS NOT NULL) AS problems FROM meta""",
+)
+def metadata_problem_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """What is wrong with each submission's metadata."""
+    key = F.col("s_suppkey")
+    name = F.when(key % 5 == 0, None).when(key % 3 == 0, F.concat(F.lit("-"), "s_name"))
+    meta = roles.table(spark, sf, "supplier").select(
+        "s_suppkey",
+        name.otherwise(F.concat(F.lit("user-"), key)).alias("submitter"),
+        F.when(key % 7 != 0, F.lit("m")).alias("model"),
+        F.when(key % 4 == 1, "true").when(key % 4 == 2, "false").when(key % 4 == 3, "maybe").alias("uses_measured_depletion"),
+    )
+    return board.metadata_problem_rows(meta).select("s_suppkey", "problems")
+
+
 @query(
     "submission_duplicates",
     _SUBS

@@ -464,3 +464,27 @@ def finite_replicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Guides whose two replicates are both there and finite."""
     rows = screen.finite_pairs(_replicates(spark, sf), "rep1", "rep2")
     return rows.select("cell", "target", "guide", "rep1", "rep2")
+
+
+@query(
+    "kept_cells",
+    "SELECT target, cell, label FROM gene WHERE cell NOT IN ('NF', 'NO') AND cell IN ('RF', 'NF', 'AF')",
+    ("gene",),
+)
+def kept_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Exclude and keep-only lists together; nothing left would be an error."""
+    rows = screen.keep_cells(roles.gene(spark, sf), exclude=["NF", "NO"], only=["RF", "NF", "AF"])
+    return rows.select("target", "cell", "label")
+
+
+@query(
+    "asserted_rows",
+    f"SELECT target, cell, {r('p', 'p')} FROM gene",
+    ("gene",),
+)
+def asserted_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that pass the leak checks: no share outside 0 to 1, no answer among the columns."""
+    rows = roles.gene(spark, sf).select("target", "cell", "p")
+    p = F.col("p")
+    fine = screen.assert_none(rows, p.isNull() | (p < 0) | (p > 1), "p outside 0 to 1")
+    return round_all(screen.assert_no_columns(fine, ["label", "fc"]), ["p"])

@@ -91,3 +91,25 @@ def trial_summary(spark: SparkSession, sf: str) -> DataFrame:
 )
 def best_trial(spark: SparkSession, sf: str) -> DataFrame:
     return round_all(sweep.best_trial(_results(spark, sf), "trees"), ["mean", "sd"])
+
+
+@query(
+    "sweep_runs",
+    """, c AS (SELECT unnest(['mean', 'half']) AS config), f AS (SELECT DISTINCT cell AS fold FROM gene WHERE cell IN ('RF', 'RO'))
+, s AS (SELECT unnest([1, 2]) AS seed)
+SELECT config, fold, CAST(seed AS INT) AS seed, round((SELECT avg(abs(label - CASE config WHEN 'half' THEN 0.5e0
+    ELSE (SELECT avg(label) FROM gene b WHERE b.cell <> fold AND (b.target + seed) % 3 <> 0) END)) FROM gene a WHERE a.cell = fold), 9) + 0e0 AS value
+FROM c, f, s""",
+    ("gene",),
+)
+def sweep_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Two baselines over two folds and two seeds: absolute error on the fold, fitted on two thirds of the rest."""
+    gene = roles.gene(spark, sf)
+
+    def one(config: str, fold: str, seed: int) -> DataFrame:
+        train = gene.where((F.col("cell") != fold) & ((F.col("target") + seed) % 3 != 0))
+        guess = train.agg(F.avg("label").alias("m")).scalar() if config == "mean" else F.lit(0.5)
+        held = gene.where(F.col("cell") == fold).select(F.abs(F.col("label") - guess).alias("e"))
+        return held.agg(F.avg("e").alias("value"))
+
+    return round_all(sweep.run_sweep(["mean", "half"], ["RF", "RO"], [1, 2], one), ["value"])
