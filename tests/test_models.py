@@ -201,14 +201,23 @@ def test_saved_run(spark, design, tmp_path):
 def test_nested_search_uses_every_cell(spark, sf, monkeypatch):
     from screenlab.plans import roles, training
 
-    judged = {}
+    grown, drawn = [], []
+    grow, search = training.tree_search.grow, training.tree_search.nested_search
 
-    def search(train, fold, folds, name, trials):
-        cells = {r[0] for r in train.select(fold).distinct().collect()}
-        judged[tuple(set(roles.CELLS) - cells)] = (set(folds) == cells, len(trials))
-        return spark.createDataFrame([(0,)], "trial int")
+    def watched_grow(rows, fits, *rest):
+        grown.append(fits)
+        return grow(rows, fits, *rest)
 
-    monkeypatch.setattr(training.models, "search", search)
+    def watched_search(design, outer, fold, folds, trials, keep):
+        drawn.extend(trials)
+        return search(design, outer, fold, folds, trials, keep)
+
+    monkeypatch.setattr(training.tree_search, "grow", watched_grow)
+    monkeypatch.setattr(training.tree_search, "nested_search", watched_search)
     got = training.nested_random_search(spark, sf).collect()
-    assert judged == {(c,): (True, 50) for c in roles.CELLS}
+    inner, final = grown
+    assert len(drawn) == 50
+    pairs = {(o, i) for o in roles.CELLS for i in roles.CELLS if i != o}
+    assert {(f.outer, f.inner, f.least) for f in inner} == {(*x, t["minInstancesPerNode"]) for x in pairs for t in drawn}
+    assert [(f.outer, f.inner) for f in final] == [(o, None) for o in roles.CELLS]
     assert {r["cell"] for r in got} == set(roles.CELLS)
