@@ -260,7 +260,12 @@ def random_over_sample(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("target", "cell", "label")
 
 
-@query("balanced_bagging_samples")
+@query(
+    "balanced_bagging_samples",
+    """, c AS (SELECT count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM gene)
+SELECT CAST(unnest(range(0, 5)) AS INT) AS estimator, pos + least(pos, neg) AS n, pos, pos + least(pos, neg) AS distinct_rows FROM c""",
+    ("gene",),
+)
 def balanced_bagging_samples(spark: SparkSession, sf: str) -> DataFrame:
     """Rows and positives drawn per estimator; sizes are exact, the draw is hash-ordered."""
     out = resample.bagging_samples(_keyed(spark, sf), "label", "k", 5, 1.0)
