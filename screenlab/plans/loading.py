@@ -15,6 +15,9 @@ from screenlab.session import shared_folder
 from screenlab.sources import genome, records, runs, sheets
 
 CELLS = roles.CELLS
+#: More than any part key, so that a page's rows are in order of order, line and part.
+#: It holds 900 million orders in a bigint; more are an overflow error.
+PART_STRIDE = 1_000_000_000
 
 
 def _page(spark: SparkSession, data: DataFrame, header: list[str], title: str) -> DataFrame:
@@ -30,7 +33,7 @@ def _page(spark: SparkSession, data: DataFrame, header: list[str], title: str) -
 def _guide_page(spark: SparkSession, sf: str) -> DataFrame:
     """Guide library; an order's lines share an id, so later lines overwrite earlier ones."""
     data = roles.table(spark, sf, "lineitem").select(
-        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias(
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * PART_STRIDE + F.col("l_partkey")).alias(
             "row"
         ),
         F.when(F.col("l_quantity") > 45, " ")

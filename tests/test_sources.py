@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from screenlab import schema
+from screenlab.plans import loading
 from screenlab.sources import genome, records, runs, sheets
 
 
@@ -161,3 +162,12 @@ def test_first_number(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = {r.t: r.v for r in df.select("t", fm.first_number(F.col("t")).alias("v")).collect()}
     assert got == texts
+
+
+def test_the_last_line_of_an_order_names_its_target(spark, tmp_path):
+    """Also where the parts of an order lie more than a million apart."""
+    lines = [(1, 1, 1_200_000, 5), (1, 2, 7, 5), (2, 1, 3, 5), (2, 1, 2_000_000, 5)]
+    kind = "l_orderkey long, l_linenumber int, l_partkey long, l_quantity int"
+    spark.createDataFrame(lines, kind).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.guide_id: r.target for r in loading.load_targets(spark, str(tmp_path)).collect()}
+    assert got == {"G1": "T7", "G2": "T2000000"}
