@@ -3,9 +3,11 @@
 The corpus is cut into cells around a few pivot vectors.  From the cells' sizes
 and radii each query gets a distance within which its k neighbours must lie, and
 by the triangle inequality only the cells that reach into that distance are
-searched.  A cell is searched in pieces of bounded size, and so are its queries,
-so neither a dense cell nor a popular one becomes one large task.  Each piece
-returns its k best per query; no pair leaves a task.
+searched.  Neighbouring small cells share a bundle, which gets a query once however
+many of its cells are wanted.  A bundle is searched in pieces of bounded size, and so
+are its queries, so neither a dense cell nor a popular one becomes one large task.
+Each piece returns its k best per query; no pair leaves a task.  Inside a task a
+block of queries is compared at a time, whatever ties and copies there are.
 """
 
 from __future__ import annotations
@@ -23,7 +25,11 @@ from screenlab.operators.ordered import row_numbers
 from screenlab.session import cut_lineage
 
 PIVOTS = 64
-PIECE = 2048
+#: Rows that a task holds of the corpus, and of the queries, at most on average; a vector
+#: travels once for each piece of the other side.
+PIECE = 16384
+#: Distances that a task holds at once.
+HELD = 1 << 21
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -61,6 +67,20 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
+def _bundles(points: np.ndarray, sizes: np.ndarray, piece: int) -> np.ndarray:
+    """The number of each cell's bundle: cells in a walk from each to the nearest left, up to ``piece`` rows together."""
+    apart, at = _distances(points, points), 0
+    left, out = np.ones(len(points), bool), np.zeros(len(points), np.int32)
+    number = held = 0
+    for _ in points:
+        left[at] = False
+        if held and held + sizes[at] > piece:
+            number, held = number + 1, 0
+        out[at], held = number, held + sizes[at]
+        at = int(np.where(left, apart[at], np.inf).argmin())
+    return out
+
+
 def knn(
     queries: DataFrame,
     corpus: DataFrame,
@@ -86,41 +106,47 @@ def knn(
     cells = np.array([s.cell for s in stats], dtype=np.int64)
     sizes = np.array([s.n for s in stats], dtype=np.int64)
     radii = np.array([s.radius for s in stats], dtype=np.float64)
+    bundle = _bundles(points[cells], sizes, piece)
     need = k + (1 if exclude_self else 0)
     # room for the rounding of the distances to pivots
     slack = 1e-6 * (1.0 + float(np.abs(points).max()) * math.sqrt(points.shape[1]))
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf):
-                continue
-            to = _distances(_matrix(pdf["vec"]), points)[:, cells]
-            far = to + radii
-            order = np.argsort(far, axis=1)
-            enough = np.cumsum(sizes[order], axis=1) >= need
-            last = np.where(enough.any(1), enough.argmax(1), len(cells) - 1)
-            within = np.take_along_axis(far, order, 1)[np.arange(len(pdf)), last]
-            rows, hits = np.nonzero(to - radii <= within[:, None] + slack)
-            out = pdf.iloc[rows].reset_index(drop=True)
-            out["cell"] = cells[hits].astype("int32")
-            yield out
-
-    wanted = queries.mapInPandas(candidates, f"{_ddl(queries)}, cell int")
-    asked = {r.cell: r.n for r in wanted.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+            for at in range(0, len(pdf), 256):
+                some = pdf.iloc[at : at + 256]
+                to = _distances(_matrix(some["vec"]), points)[:, cells]
+                far = to + radii
+                order = np.argsort(far, axis=1)
+                enough = np.cumsum(sizes[order], axis=1) >= need
+                last = np.where(enough.any(1), enough.argmax(1), len(cells) - 1)
+                within = np.take_along_axis(far, order, 1)[np.arange(len(some)), last]
+                wanted = np.zeros((len(some), int(bundle.max()) + 1), bool)
+                rows, hits = np.nonzero(to - radii <= within[:, None] + slack)
+                wanted[rows, bundle[hits]] = True
+                rows, hits = np.nonzero(wanted)
+                out = some.iloc[rows].reset_index(drop=True)
+                yield out.assign(bundle=hits.astype("int32"))
+
+    wanted = queries.mapInPandas(candidates, f"{_ddl(queries)}, bundle int")
+    asked = {r.bundle: r.n for r in wanted.groupBy("bundle").agg(F.count(F.lit(1)).alias("n")).collect()}
+    held = np.bincount(bundle, weights=sizes)
     parts = [
-        (int(c), max(1, math.ceil(n / piece)), max(1, math.ceil(asked.get(int(c), 0) / piece)))
-        for c, n in zip(cells, sizes, strict=True)
+        (b, max(1, math.ceil(n / piece)), max(1, math.ceil(asked.get(b, 0) / piece))) for b, n in enumerate(held.tolist())
     ]
-    plan = queries.sparkSession.createDataFrame(parts, "cell int, cn int, qn int")
-    left = wanted.join(plan, "cell").select(
-        "cell",
+    plan = queries.sparkSession.createDataFrame(parts, "bundle int, cn int, qn int")
+    of = queries.sparkSession.createDataFrame(
+        list(zip(cells.tolist(), bundle.tolist(), strict=True)), "cell int, bundle int"
+    )
+    left = wanted.join(plan, "bundle").select(
+        "bundle",
         F.pmod(F.xxhash64("id"), "qn").cast("int").alias("qp"),
         F.explode(F.sequence(F.lit(0), F.col("cn") - 1)).alias("cp"),
         "id",
         "vec",
     )
-    right = located.join(plan, "cell").select(
-        "cell",
+    right = located.join(of.join(plan, "bundle"), "cell").select(
+        "bundle",
         F.explode(F.sequence(F.lit(0), F.col("qn") - 1)).alias("qp"),
         F.pmod(F.xxhash64("id"), "cn").cast("int").alias("cp"),
         "id",
@@ -129,24 +155,36 @@ def knn(
 
     def search(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"id": [], "neighbour": [], "distance": []})
+        found = [empty.astype({"id": "int64", "neighbour": "int64", "distance": "float64"})]
         if not len(q) or not len(c):
-            return empty.astype({"id": "int64", "neighbour": "int64", "distance": "float64"})
-        a, b = _matrix(q["vec"]), _matrix(c["vec"])
-        ids = c["id"].to_numpy()
-        rough = _distances(a, b)
+            return found[0]
+        c = c.sort_values("id")
+        b, ids = _matrix(c["vec"]), c["id"].to_numpy()
         keep = min(need, len(c))
-        limit = np.partition(rough, keep - 1, axis=1)[:, keep - 1] + slack
-        rows, cols = np.nonzero(rough <= limit[:, None])
-        exact = np.round(np.sqrt(((a[rows] - b[cols]) ** 2).sum(1)), digits)
-        out = pd.DataFrame(
-            {"id": q["id"].to_numpy()[rows], "neighbour": ids[cols], "distance": exact}
-        )
-        if exclude_self:
-            out = out[out["id"] != out["neighbour"]]
-        out = out.sort_values(["id", "distance", "neighbour"])
-        return out.groupby("id", sort=False).head(k)
-
-    keys = ["cell", "qp", "cp"]
+        block = max(1, HELD // (len(c) + 1))
+        for at in range(0, len(q), block):
+            a, mine = _matrix(q["vec"][at : at + block]), q["id"].to_numpy()[at : at + block]
+            rough = _distances(a, b)
+            limit = np.partition(rough, keep - 1, axis=1)[:, keep - 1] + slack
+            rows, cols = np.nonzero(rough <= limit[:, None])
+            # Many copies may be within the limit; their vectors are laid side by side in parts.
+            square = np.empty(len(rows))
+            step = max(1, HELD // b.shape[1])
+            for x in range(0, len(rows), step):
+                square[x : x + step] = ((a[rows[x : x + step]] - b[cols[x : x + step]]) ** 2).sum(1)
+            exact = np.round(np.sqrt(square), digits)
+            if exclude_self:
+                other = mine[rows] != ids[cols]
+                rows, cols, exact = rows[other], cols[other], exact[other]
+            # by query, distance and id; ids are in order
+            order = np.lexsort((cols, exact, rows))
+            rows, cols, exact = rows[order], cols[order], exact[order]
+            nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            rows, cols, exact = rows[nth < k], cols[nth < k], exact[nth < k]
+            found.append(pd.DataFrame({"id": mine[rows], "neighbour": ids[cols], "distance": exact}))
+        return pd.concat(found[1:])
+
+    keys = ["bundle", "qp", "cp"]
     found = (
         left.groupBy(*keys)
         .cogroup(right.groupBy(*keys))

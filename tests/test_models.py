@@ -221,3 +221,21 @@ def test_nested_search_uses_every_cell(spark, sf, monkeypatch):
     assert {(f.outer, f.inner, f.least) for f in inner} == {(*x, t["minInstancesPerNode"]) for x in pairs for t in drawn}
     assert [(f.outer, f.inner) for f in final] == [(o, None) for o in roles.CELLS]
     assert {r["cell"] for r in got} == set(roles.CELLS)
+
+
+def test_small_cells_share_a_bundle():
+    points = np.array([[0.0], [10.0], [1.0], [11.0], [2.0], [12.0]])
+    bundle = neighbours._bundles(points, np.array([4, 4, 4, 4, 4, 4]), 12)
+    assert bundle[[0, 2, 4]].tolist() == [0, 0, 0] and bundle[[1, 3, 5]].tolist() == [1, 1, 1]
+    assert neighbours._bundles(points, np.array([90, 1, 1, 1, 1, 1]), 12).max() == 1
+
+
+def test_neighbours_among_many_copies(spark):
+    """More copies than k: the smallest ids are the neighbours, whatever piece they are in."""
+    rows = [(i, [1.0, 2.0]) for i in range(300)] + [(1000 + i, [float(i), 5.0]) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    got = {}
+    for r in neighbours.knn(df, df, 3, pivots=4, piece=50).orderBy("id", "place").collect():
+        got.setdefault(r.id, []).append(r.neighbour)
+    assert all(got[i] == [j for j in range(4) if j != i][:3] for i in range(300))
+    assert len(got) == 320 and all(len(x) == 3 for x in got.values())
