@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,43 +25,57 @@ METRICS = (
 OFFSETS = (-5, -4, -3, -2, -1, 1, 2, 3, 4, 5)
 
 
+def _sites(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (target, text, guides) as a row a guide, each searched in its text once."""
+    for batch in batches:
+        # A few texts at a time, as each may have many guides.
+        for at in range(0, batch.num_rows, 256):
+            yield from _searched(batch.slice(at, 256))
+
+
+def _searched(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    targets, texts, lists = batch.columns
+    texts, of, found = texts.to_pylist(), [], []
+    for nth, guides in enumerate(lists):
+        text = texts[nth]
+        for rc in guides.values.field("_rc").to_pylist():
+            of.append(nth)
+            start = None if rc is None else text.find(rc)
+            if start is None or start < 0:
+                found.append((0, start, len(text), "", *[None] * len(OFFSETS)))
+                continue
+            size = len(rc)
+            around = [start + (o if o < 0 else size + o - 1) for o in OFFSETS]
+            flanks = [text[i] if 0 <= i < len(text) else None for i in around]
+            context = text[max(start - 50, 0) : start + size + 50]
+            found.append((text.count(rc, start) if rc else 0, start, len(text), context, *flanks))
+    if not found:
+        return
+    guides = lists.flatten()
+    kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.string()] * (1 + len(OFFSETS))]
+    columns = [pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), kinds, strict=True)]
+    names = ["exact_match_count", "at", "transcript_length", "context", *[f"flank_{o:+d}" for o in OFFSETS]]
+    own = [guides.field("guide_id"), targets.take(pa.array(of)), guides.field("spacer")]
+    yield pa.record_batch([*own, *columns], ["guide_id", "target", "spacer", *names])
+
+
 def guide_sites(guides: DataFrame, transcripts: DataFrame) -> DataFrame:
     """guides(guide_id, target, spacer) with match count, first site and site context.
 
-    The transcript is joined in for the search and dropped at once; only the
-    context around the site travels further.
+    A transcript meets the list of its guides once; only the context around a site
+    travels further.
     """
-    s, t = F.col("spacer"), F.coalesce(F.col("seq"), F.lit(""))
-    joined = guides.join(transcripts.select("target", "seq"), "target", "left").select(
-        "guide_id", "target", "spacer", t.alias("_t"), F.reverse(F.translate(s, "ACGT", "TGCA")).alias("_rc")
+    rc = F.reverse(F.translate("spacer", "ACGT", "TGCA"))
+    listed = guides.groupBy("target").agg(F.collect_list(F.struct("guide_id", "spacer", rc.alias("_rc"))).alias("_g"))
+    joined = listed.join(transcripts.select("target", "seq"), "target", "left").select(
+        "target", F.coalesce("seq", F.lit("")).alias("_t"), "_g"
     )
-    found = joined.select(
-        "*",
-        fs.first_position(F.col("_t"), F.col("_rc")).alias("at"),
-        F.length("_t").alias("_len"),
-    )
-    # the text is searched a second time only where there is something to count
-    times = F.when(F.col("at") >= 0, fs.occurrences(F.col("_t"), F.col("_rc")))
-    placed = found.select("*", F.coalesce(times, F.lit(0)).alias("exact_match_count"))
-    size = F.length("spacer")
-    cut = F.when(F.col("at") >= 0, fs.context(F.col("_t"), F.col("at"), size))
-    flanks = [
-        F.when(
-            (F.col("at") >= 0) & (where >= 0) & (where < F.col("_len")),
-            F.substring(F.col("_t"), (where + 1).cast("int"), F.lit(1)),
-        ).alias(f"flank_{o:+d}")
-        for o in OFFSETS
-        for where in [F.col("at") + (F.lit(o) if o < 0 else size + (o - 1))]
-    ]
-    return placed.select(
-        "guide_id",
-        "target",
-        "spacer",
-        "exact_match_count",
-        "at",
-        F.col("_len").alias("transcript_length"),
-        F.coalesce(cut, F.lit("")).alias("context"),
-        *flanks,
+    kinds = dict(guides.dtypes)
+    flanks = ", ".join(f"`flank_{o:+d}` string" for o in OFFSETS)
+    return joined.mapInArrow(
+        _sites,
+        f"guide_id {kinds['guide_id']}, target {kinds['target']}, spacer string, exact_match_count long,"
+        f" at int, transcript_length int, context string, {flanks}",
     )
 
 

@@ -6,6 +6,9 @@ hundredths, so sign and zero do not depend on the order of a float sum.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,25 +42,37 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+_TABLE = bytes.maketrans((_LETTERS + "0123456789").encode(), (_AS_BASES + "N" * 10).encode())
+_DROPPED = bytes(sorted(set(range(256)) - set((_LETTERS + "0123456789").encode())))
+
+
+def _as_bases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(1).cast(pa.binary()).to_pylist()
+        dna = [None if t is None else t.translate(_TABLE, _DROPPED) for t in texts]
+        yield pa.record_batch([batch.column(0), pa.array(dna, pa.binary()).cast(pa.string())], ["target", "seq"])
+
+
 def seqs(spark: SparkSession, sf: str) -> DataFrame:
     """Letters become bases, digits N; everything else is dropped."""
-    kept = F.regexp_replace("text", "[^A-Za-z0-9]", "")
-    dna = F.translate(kept, _LETTERS + "0123456789", _AS_BASES + "N" * 10)
     texts = dealt_out(table(spark, sf, "documents").select("doc_id", "text"))
-    return texts.select(F.col("doc_id").alias("target"), dna.alias("seq"))
+    kind = dict(texts.dtypes)["doc_id"]
+    # No byte of a longer UTF-8 letter is that of a kept one, so bytes tell.
+    return texts.mapInArrow(_as_bases, f"target {kind}, seq string")
 
 
 def guides(spark: SparkSession, sf: str) -> DataFrame:
     """A 23-base guide every 151 bases of the whole sequence, odd ones from the other strand."""
-    tiles = seqs(spark, sf).where(F.length("seq") >= 23)
-    at = F.explode(
-        F.expr(f"sequence(0, cast((length(seq) - 23) div {GUIDE_STRIDE} as int))")
+    # Bytes are cut, as a cut in a text walks to its place from the start.
+    tiles = seqs(spark, sf).select("target", F.col("seq").cast("binary").alias("seq")).where(F.length("seq") >= 23)
+    cuts = F.expr(
+        f"transform(sequence(0, cast((length(seq) - 23) div {GUIDE_STRIDE} as int)),"
+        f" i -> struct(i, substring(seq, 1 + {GUIDE_STRIDE} * i, 23) as cut))"
     )
-    cut = F.expr(f"substring(seq, 1 + {GUIDE_STRIDE} * i, 23)")
     flipped = F.reverse(F.translate("cut", "ACGT", "TGCA"))
     return (
-        tiles.select("target", "seq", at.alias("i"))
-        .select("target", "i", cut.alias("cut"))
+        tiles.select("target", F.explode(cuts).alias("x"))
+        .select("target", "x.i", F.col("x.cut").cast("string").alias("cut"))
         .select(
             (F.col("target") * 1000000 + F.col("i")).alias("guide_id"),
             "target",

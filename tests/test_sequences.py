@@ -5,6 +5,8 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
+from screenlab.operators import guides as go
+from screenlab.plans import roles
 from screenlab.functions import seq as fs
 from screenlab.operators import features, guides, kmers
 
@@ -162,3 +164,31 @@ def test_guide_site_and_flanks(spark):
     assert row["at"] == 5 and row.exact_match_count == 1
     assert row["flank_-1"] == "T" and row["flank_+1"] == transcript[28]
     assert row.context == transcript
+
+
+def test_sites_of_a_long_text_in_linear_steps(spark, tmp_path):
+    """A guide costs no walk through its text for each cut: a million letters take seconds."""
+    import random
+    import time
+
+    text = "".join(random.Random(4).choices("ACGT", k=1_000_000))
+    spark.createDataFrame([(7, text + " ä!"), (8, None), (9, "")], "doc_id long, text string").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    start = time.monotonic()
+    own = roles.seqs(spark, str(tmp_path))
+    sites = go.guide_sites(roles.guides(spark, str(tmp_path)), own).collect()
+    took = time.monotonic() - start
+    # a base of the text stands for itself only as far as the table of letters says so
+    dna = next(r.seq for r in own.collect() if r.target == 7)
+    assert len(dna) == len(text) and {r.target: r.seq for r in own.collect() if r.target != 7} == {8: None, 9: ""}
+    assert len(sites) == (len(text) - 23) // 151 + 1
+    for r in sites:
+        i = r.guide_id - 7_000_000
+        rc = r.spacer[::-1].translate(str.maketrans("ACGT", "TGCA"))
+        assert (rc if i % 2 else r.spacer) == dna[151 * i : 151 * i + 23]
+        assert r.at == dna.find(rc) and r.exact_match_count == dna.count(rc)
+        if r.at >= 0:
+            assert r.context == dna[max(r.at - 50, 0) : r.at + 73]
+            assert r["flank_+1"] == (dna[r.at + 23 : r.at + 24] or None)
+    assert took < 30
