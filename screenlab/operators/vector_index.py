@@ -71,7 +71,7 @@ class VectorIndex:
 
 
 def fit_index(
-    corpus: DataFrame, k: int = 10, cells: int = 64, parts: int = 16, recall: float = 0.95, seed: int = 0
+    corpus: DataFrame, k: int = 10, cells: int = 64, parts: int = 32, recall: float = 0.95, seed: int = 0
 ) -> VectorIndex:
     """An index of corpus(id, vec), fitted on the SAMPLE rows first in hash order of their id.
 

@@ -65,3 +65,19 @@ def test_tiny_and_empty_corpora(spark):
     assert {r.id: r.distance for r in found.where("place = 1").collect()}.keys() == {0, 1, 2}
     with pytest.raises(ValueError, match="empty"):
         vector_index.fit_index(df.limit(0))
+
+
+def test_codes_tell_near_rows_of_data_without_structure(spark):
+    """Of the 15 nearest, nearly all are among the 30 that the codes put first."""
+    x = np.random.default_rng(5).normal(0, 1, (6000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    index = vector_index.fit_index(df, 15)
+    cell = index.cells(x, 1)[:, 0]
+    codes, asked = index.codes(x, cell), x[:100]
+    rough = np.empty((len(asked), len(x)))
+    for c in set(cell.tolist()):
+        rough[:, cell == c] = index.rough(asked, c, codes[cell == c])
+    true = ((asked[:, None] - x[None]) ** 2).sum(2)
+    first = np.argsort(rough, 1)[:, :31]
+    hit = [len(set(a) & set(b)) / 16 for a, b in zip(first.tolist(), np.argsort(true, 1)[:, :16].tolist())]
+    assert np.mean(hit) >= 0.9
