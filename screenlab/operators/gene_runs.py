@@ -10,19 +10,38 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenlab.operators import features, kmers, metrics, models, pipeline
+from screenlab.operators import kmers, metrics, models, pipeline
 from screenlab.operators.boosting import Boosted
 from screenlab.session import cut_lineage
 
 KEYS = ["target", "cell"]
 
 
+def counted_bodies(bodies: DataFrame, k: int) -> DataFrame:
+    """bodies(target, seq) as (target, kmers: k-mer and count), a row a target with any.
+
+    Written, as each fold and model takes its features from these counts: texts are
+    read and counted once, whatever the number of folds.
+    """
+    counts = kmers.kmer_counts(bodies, ["target"], "seq", k, spread=True)
+    listed = F.map_from_entries(F.collect_list(F.struct("kmer", "n")))  # 4^k entries at most
+    return cut_lineage(counts.groupBy("target").agg(listed.alias("kmers")))
+
+
+def _counted(bodies: DataFrame, k: int) -> DataFrame:
+    return bodies if "kmers" in bodies.columns else counted_bodies(bodies, k)
+
+
 @dataclass(frozen=True)
 class GeneFeatures:
-    """Body k-mer shares, cell indicators and the distance, in a fixed order of columns."""
+    """Body k-mer shares, cell indicators and the distance, in a fixed order of columns.
+
+    ``bodies`` are sequences (target, seq), or `counted_bodies` of the same k.
+    """
 
     k: int
     cells: tuple[str, ...]
@@ -31,8 +50,8 @@ class GeneFeatures:
     @classmethod
     def fit(cls, train: DataFrame, bodies: DataFrame, k: int, cells: Sequence[str]) -> GeneFeatures:
         """The k-mers of the training targets' bodies; there are 4^k at most."""
-        used = bodies.join(train.select("target").distinct(), "target", "left_semi")
-        found = kmers.fit_vocab(used, "seq", k, spread=True).collect()
+        used = _counted(bodies, k).join(train.select("target").distinct(), "target", "left_semi")
+        found = used.select(F.explode(F.map_keys("kmers")).alias("kmer")).distinct().collect()
         return cls(k, tuple(cells), tuple(sorted(r.kmer for r in found)))
 
     @property
@@ -41,11 +60,18 @@ class GeneFeatures:
 
     def design(self, rows: DataFrame, bodies: DataFrame) -> DataFrame:
         """rows(target, cell, distance, ...) with ``features``; k-mers outside the vocabulary are left out."""
-        spark = rows.sparkSession
-        vocab = spark.createDataFrame([(x,) for x in self.vocabulary], "kmer string")
-        long = features.gene_features(rows, bodies, self.k, self.cells, vocab=vocab)
-        vectors = features.assemble(features.require_features(long, self.columns), KEYS, self.columns)
-        return rows.join(vectors, KEYS)
+        known = F.array(*[F.lit(x) for x in self.vocabulary]).cast("array<string>")
+        times = F.transform(known, lambda x: F.coalesce(F.try_element_at("kmers", x), F.lit(0)))
+        body = _counted(bodies, self.k).select("target", times.alias("_times"))
+        total = F.aggregate("_times", F.lit(0).cast("bigint"), lambda a, x: a + x)
+        body = body.select("target", "_times", total.alias("_total"))
+        shares = F.transform("_times", lambda x: F.coalesce(F.try_divide(x, F.col("_total")), F.lit(0.0)))
+        none = F.array_repeat(F.lit(0.0), len(self.vocabulary))
+        body = body.select("target", shares.alias("_shares"))
+        here = [F.when(F.col("cell") == c, F.lit(1.0)).otherwise(F.lit(0.0)) for c in self.cells]
+        distance = F.coalesce(F.col("distance").cast("double"), F.lit(-1.0))
+        vector = F.concat(F.coalesce("_shares", none), F.array(*here, distance))
+        return rows.join(body, "target", "left").select(*rows.columns, array_to_vector(vector).alias("features"))
 
 
 @dataclass
@@ -96,6 +122,7 @@ def run_from_sequences(
     training rows only.
     """
     pipeline.validate(config)
+    bodies = counted_bodies(bodies, k)
 
     def prepared(fit_on: DataFrame, judged: DataFrame) -> tuple[DataFrame, DataFrame, GeneFeatures]:
         own = GeneFeatures.fit(fit_on, bodies, k, cells)

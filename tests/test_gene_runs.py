@@ -70,3 +70,12 @@ def test_a_run_fits_features_in_each_fold(data, monkeypatch):
     assert all(t < 50 for s in seen for t, _ in s)
     assert done.predictions.count() == 20 and done.cv.first().folds == 2
     assert {r.cell for r in done.metrics.collect()} == {None, "x", "y"}
+
+
+def test_texts_are_counted_once_for_all_folds(data, monkeypatch):
+    rows, bodies, _ = data
+    calls, count = [], gene_runs.kmers.kmer_counts
+    monkeypatch.setattr(gene_runs.kmers, "kmer_counts", lambda *a, **k: calls.append(a) or count(*a, **k))
+    config = pipeline.Config("decision_tree", cv="cellline", params={"maxDepth": 2})
+    gene_runs.run_from_sequences(config, rows.where("target < 50"), rows.where("target >= 50"), bodies, 2, "xy")
+    assert len(calls) == 1

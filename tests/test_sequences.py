@@ -192,3 +192,28 @@ def test_sites_of_a_long_text_in_linear_steps(spark, tmp_path):
             assert r.context == dna[max(r.at - 50, 0) : r.at + 73]
             assert r["flank_+1"] == (dna[r.at + 23 : r.at + 24] or None)
     assert took < 30
+
+
+def test_pieces_of_long_and_short_texts_count_as_one(spark, monkeypatch):
+    monkeypatch.setattr(kmers, "PIECE", 5)
+    monkeypatch.setattr(kmers, "AT_ONCE", 8)
+    texts = {1: "ACGTNACGTACCA", 2: "AC", 3: "", 4: "GGGGGGGGGGé", 5: "acgACG"}
+    df = spark.createDataFrame([*texts.items(), (6, None)], "id int, seq string")
+    for k in (1, 2, 3):
+        want = {}
+        for t, s in texts.items():
+            for i in range(len(s) - k + 1):
+                if set(s[i : i + k]) <= set("ACGT"):
+                    want[t, s[i : i + k]] = want.get((t, s[i : i + k]), 0) + 1
+        got = kmers.kmer_counts(df, ["id"], "seq", k).collect()
+        assert {(r.id, r.kmer): r.n for r in got} == want and len(got) == len(want)
+
+
+def test_no_window_becomes_a_row_and_copies_of_a_guide_share_their_kmers(spark):
+    bodies = spark.createDataFrame([(1, "ACGTAC")], "target int, seq string")
+    guides = spark.createDataFrame([(7, 1, "GTA"), (7, 1, "CGT"), (8, 1, "AAA")], "guide_id int, target int, spacer string")
+    plan = kmers.kmer_counts(bodies, ["target"], "seq", 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and plan.count("Generate explode") == 1  # pieces, not windows
+    got = sorted((r.guide_id, r.kmer, r.value) for r in kmers.signed_overlap(guides, bodies, 3).collect())
+    copies = [(7, "ACG", -0.25), (7, "CGT", 0.25), (7, "GTA", 0.25), (7, "TAC", -0.25)]
+    assert got == sorted(copies * 2 + [(8, x, 0.25) for x in ("ACG", "CGT", "GTA", "TAC")])
