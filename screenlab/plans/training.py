@@ -223,7 +223,8 @@ def _sequence_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     )
     bodies = roles.seqs(spark, sf).where(F.length("seq") >= 2)
     rows = roles.gene(spark, sf).select(*KEYS, "chrom", "label").join(notes, "target")
-    return rows.join(bodies.select("target"), "target", "left_semi"), bodies
+    # Written, as every fold and fit reads the rows.
+    return cut_lineage(rows.join(bodies.select("target"), "target", "left_semi")), bodies
 
 
 @query("configured_run")
@@ -253,16 +254,18 @@ SELECT cell, rows, rows AS same_in_batch, TRUE AS same_alone FROM x""",
 def saved_model_scores(spark: SparkSession, sf: str) -> DataFrame:
     """A model saved and read again: rows it scores as before, and whether one sequence alone scores so too."""
     rows, bodies = _sequence_rows(spark, sf)
-    own = gene_runs.GeneFeatures.fit(rows, bodies, 2, roles.CELLS)
-    design = models.weighted(own.design(rows, bodies))
+    counted = gene_runs.counted_bodies(bodies, 2)
+    own = gene_runs.GeneFeatures.fit(rows, counted, 2, roles.CELLS)
+    design = models.weighted(own.design(rows, counted))
     model = models.build("histogram_trees", rounds=5, rate=0.3).fit(design)
     folder = f"{shared_folder(spark)}/model"
     gene_runs.SavedModel(own, model).save(spark, folder)
     read = gene_runs.SavedModel.load(spark, folder)
     before = models.predicted(model, design, KEYS)
-    after = read.score(rows, bodies).withColumnRenamed("score", "again")
-    one = rows.join(bodies, "target").orderBy("target", "cell").select(*KEYS, "distance", "seq").first()
-    alone = read.score_one(spark, one.seq, [one.cell], one.distance).select(F.col("score").alias("alone"))
+    after = read.score(rows, counted).withColumnRenamed("score", "again")
+    one = rows.orderBy("target", "cell").select(*KEYS, "distance").first()
+    text = bodies.where(F.col("target") == one.target).first().seq
+    alone = read.score_one(spark, text, [one.cell], one.distance).select(F.col("score").alias("alone"))
     mine = cut_lineage(before.join(after, KEYS))
     want = mine.where((F.col("target") == one.target) & (F.col("cell") == one.cell)).select("score").scalar()
     same = alone.select((F.abs(F.col("alone") - want) < 1e-12).alias("s")).scalar()
