@@ -128,9 +128,8 @@ def screen_features(
     )
     blocks = [kmer_block(records, keys, "spacer", guide, "guide")]
     if bodies is not None:
-        used = bodies.join(records.select("target").distinct(), "target", "left_semi")
         for side in ("first", "last"):
-            body = kmers.kmer_frequencies(used, ["target"], f"{side}_seq", k, vocab, spread)
+            body = kmers.kmer_frequencies(bodies, ["target"], f"{side}_seq", k, vocab, spread)
             blocks.append(kmer_block(records, keys, "target", body, f"body_{side}"))
     for on, vectors, name in (("target", body_vectors, "body_emb"), ("spacer", guide_vectors, "guide_emb")):
         if vectors is not None:
@@ -143,6 +142,59 @@ def screen_features(
     return union_blocks(*blocks)
 
 
+def _totals(long: DataFrame, on: str, name: str) -> DataFrame:
+    """(on, name: entries, sum, last feature, largest value) of long(on, feature, value)."""
+    sums = (F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max("feature").alias("last"), F.max("value").alias("top"))
+    return long.groupBy(on).agg(*sums).select(on, F.struct("n", "total", "last", "top").alias(name))
+
+
+def screen_block_totals(
+    records: DataFrame, k: int, days: Sequence[int], cells: Sequence[str], bodies: DataFrame, body_vectors: DataFrame
+) -> DataFrame:
+    """Of every record and block of `screen_features`: entries, sum, last feature and largest value.
+
+    The entries of a block follow from one sequence or vector, so they are summed
+    there, and a record meets one row of sums for each of them, not its entries.
+    """
+    spacers = records.select("spacer").distinct().select("spacer", F.col("spacer").alias("_s"))
+    spectra = [(kmers.kmer_frequencies(spacers, ["spacer"], "_s", k), "spacer", "guide")]
+    for side in ("first", "last"):
+        spectra.append((kmers.kmer_frequencies(bodies, ["target"], f"{side}_seq", k), "target", f"body_{side}"))
+    sums = [
+        _totals(s.select(on, F.concat(F.lit(f"{name}_"), "kmer").alias("feature"), "value"), on, name)
+        for s, on, name in spectra
+    ]
+    entries = body_vectors.select("target", F.posexplode("vec").alias("i", "value")).where(F.col("value") != 0)
+    entries = entries.select("target", F.concat(F.lit("body_emb_"), F.col("i") + 1).alias("feature"), F.col("value").cast("double").alias("value"))
+    sums.append(_totals(entries, "target", "body_emb"))
+    of_target = sums[1].join(sums[2], "target", "full").join(sums[3], "target", "full")
+    met = records.join(of_target, "target", "left").join(sums[0], "spacer", "left")
+
+    def one(feature: Column, value: Column) -> Column:
+        return F.struct(F.lit(1).cast("bigint").alias("n"), value.alias("total"), feature.alias("last"), value.alias("top"))
+
+    distance = F.coalesce(F.col("distance").cast("double"), F.lit(-1.0))
+    own = {"distance": one(F.lit("distance"), distance)}
+    for name, known in (("day", days), ("cell", cells)):
+        text = F.col(name).cast("string")
+        feature = F.concat(F.lit(f"{name}_"), text)
+        own[name] = F.when(text.isin(*[str(x) for x in known]), one(feature, F.lit(1.0)))
+    names = ["guide", "body_first", "body_last", "body_emb", *own]
+    met = met.select("record", *names[:4], *[x.alias(f"_{n}") for n, x in own.items()])
+    # Rows that are the same record count together.
+    merged = met.groupBy("record").agg(*[
+        F.struct(
+            F.lit(n).alias("block"),
+            F.sum(x["n"]).alias("n"),
+            F.sum(x["total"]).alias("total"),
+            F.max(x["last"]).alias("last"),
+            F.max(x["top"]).alias("top"),
+        ).alias(n)
+        for n, x in ((n, F.col(f"_{n}" if n in own else n)) for n in names)
+    ])
+    return merged.select("record", F.inline(F.array(*names))).where(F.col("n").isNotNull())
+
+
 def gene_features(
     rows: DataFrame,
     bodies: DataFrame,
@@ -155,8 +207,8 @@ def gene_features(
 ) -> DataFrame:
     """Gene-level features: body k-mers, cell one-hot, cell coordinates and distance."""
     keys = ["target", "cell"]
-    used = bodies.join(rows.select("target").distinct(), "target", "left_semi")
-    body = kmers.kmer_frequencies(used, ["target"], "seq", k, vocab, spread)
+    # Counted where they are read: counts are far smaller than texts, and the join leaves the unused ones out.
+    body = kmers.kmer_frequencies(bodies, ["target"], "seq", k, vocab, spread)
     blocks = [
         kmer_block(rows, keys, "target", body, "body"),
         one_hot_block(rows, keys, "cell", F.col("cell"), cells),

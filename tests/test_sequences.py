@@ -217,3 +217,19 @@ def test_no_window_becomes_a_row_and_copies_of_a_guide_share_their_kmers(spark):
     got = sorted((r.guide_id, r.kmer, r.value) for r in kmers.signed_overlap(guides, bodies, 3).collect())
     copies = [(7, "ACG", -0.25), (7, "CGT", 0.25), (7, "GTA", 0.25), (7, "TAC", -0.25)]
     assert got == sorted(copies * 2 + [(8, x, 0.25) for x in ("ACG", "CGT", "GTA", "TAC")])
+
+
+def test_block_totals_are_those_of_the_entries(spark):
+    rows = [(1, 7, "ACGTACGT", 7, "x", 5), (2, 8, "ACGTACGT", 14, "z", None), (2, 8, "TTTTACG", 14, "z", None), (3, 9, "NN", 7, "y", 0)]
+    df = spark.createDataFrame(rows, "record int, target int, spacer string, day int, cell string, distance int")
+    bodies = spark.createDataFrame([(7, "AACCG", "GGT"), (9, "AN", "ACA")], "target int, first_seq string, last_seq string")
+    vectors = spark.createDataFrame([(7, [0.5, 0.0, -2.0]), (8, [1.0])], "target int, vec array<double>")
+    args = (2, (7, 14), ("x", "y"), bodies)
+    want = {}
+    for r in features.screen_features(df, *args, body_vectors=vectors).collect():
+        want.setdefault((r.record, r.block), []).append((r.feature, r.value))
+    out = features.screen_block_totals(df, *args, vectors)
+    got = {(r.record, r.block): (r.n, round(r.total, 9), r["last"], r.top) for r in out.collect()}
+    assert got == {
+        k: (len(v), round(sum(x for _, x in v), 9), max(f for f, _ in v), max(x for _, x in v)) for k, v in want.items()
+    }
