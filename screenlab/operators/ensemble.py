@@ -7,12 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from screenlab.operators.ordered import null_safe_join, with_rank
+from screenlab.operators.ordered import with_rank
 
 
 def coverage_problems(df: DataFrame, keys: Sequence[str], model: str, models: int) -> DataFrame:
-    """Keys that some model lacks or holds more than once, with both counts."""
-    per = df.groupBy(*keys, model).agg(F.count(F.lit(1)).alias("n"))
+    """Keys that some model lacks or holds more than once, with both counts.
+
+    Rows are dealt out by key once, for both groupings: few rows are alike, so summing
+    before the shuffle would only hold them all in a table of each task.
+    """
+    parts = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    per = df.select(*keys, model).repartition(parts, *keys).groupBy(*keys, model).agg(F.count(F.lit(1)).alias("n"))
     return (
         per.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("models"), F.max("n").alias("copies"))
@@ -50,8 +55,17 @@ def rank_average(
 
 
 def _scaled(df: DataFrame, aggs: Sequence[Column]) -> DataFrame:
-    """Rows with their model's summary attached (one summary row per model)."""
-    return null_safe_join(df, df.groupBy("model").agg(*aggs), ["model"])
+    """Rows with their model's summary attached.
+
+    The summaries, one a model, are one value that every row looks its own up in:
+    a join on the model would sort all rows of a model in one task.
+    """
+    per = df.groupBy("model").agg(*aggs)
+    names = [c for c in per.columns if c != "model"]
+    key = F.coalesce(F.concat(F.lit("="), F.col("model").cast("string")), F.lit(""))
+    table = per.agg(F.map_from_entries(F.collect_list(F.struct(key, F.struct(*names)))).alias("m")).scalar()
+    found = df.select("*", F.try_element_at(table, key).alias("_found"))
+    return found.select(*df.columns, *[F.col(f"_found.{n}").alias(n) for n in names])
 
 
 def minmax_blend(df: DataFrame, keys: Sequence[str], weights: dict[str, float]) -> DataFrame:

@@ -125,3 +125,23 @@ def test_bootstrap_counts_are_poisson():
         u = bootstrap._uniform(key, np.arange(5), 0, 1)
         x = bootstrap._poisson(np.full(len(key), mean), u)
         assert abs(x.mean() - mean) < 0.03 * mean and abs(x.var() - mean) < 0.05 * mean
+
+
+def test_models_meet_their_summary_without_a_join(spark):
+    rows = [("a", 1, 1.0), ("a", 2, 3.0), (None, 1, 5.0), (None, 2, 9.0), ("", 1, 2.0), ("", 2, 2.0)]
+    df = spark.createDataFrame(rows, "model string, k int, score double")
+    out = ensemble.zscores(df)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.model, r.k): r.z for r in out.collect()} == {
+        ("a", 1): -1.0, ("a", 2): 1.0, (None, 1): -1.0, (None, 2): 1.0, ("", 1): 0.0, ("", 2): 0.0
+    }
+
+
+def test_coverage_deals_rows_out_once_in_more_parts(spark):
+    rows = [(1, "a"), (1, "b"), (2, "a"), (3, "a"), (3, "a"), (3, "b"), (4, "a"), (4, "b")]
+    df = spark.createDataFrame(rows, "k int, model string")
+    out = ensemble.coverage_problems(df, ["k"], "model", 2)
+    assert sorted(map(tuple, out.collect())) == [(2, 1, 1), (3, 2, 2)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert "hashpartitioning(k" in plan and f", {parts})" in plan and "ENSURE_REQUIREMENTS" not in plan
