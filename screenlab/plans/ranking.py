@@ -267,11 +267,11 @@ HAVING count(*) <> 3 OR max(n) > 1""",
 def model_coverage_problems(spark: SparkSession, sf: str) -> DataFrame:
     """Keys that the models do not cover once each, in a frame with holes and copies put in."""
     keys = roles.preds(spark, sf).drop("label")
-    holes = keys.where(~((F.col("model") == "hash") & (F.col("score") < 0.1)))
-    copies = keys.where((F.col("model") == "pvalue") & (F.col("score") > 0.9))
-    return ensemble.coverage_problems(
-        holes.unionByName(copies), ["target", "cell"], "model", 3
-    )
+    hole = (F.col("model") == "hash") & (F.col("score") < 0.1)
+    copied = (F.col("model") == "pvalue") & (F.col("score") > 0.9)
+    times = F.when(~hole, 1).otherwise(0) + F.when(copied, 1).otherwise(0)
+    rows = keys.select("model", "target", "cell", F.explode(F.array_repeat(F.lit(0), times)).alias("copy"))
+    return ensemble.coverage_problems(rows, ["target", "cell"], "model", 3)
 
 
 # ---- submissions: every model is one, with faults put in ------------------------
