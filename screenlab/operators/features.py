@@ -219,6 +219,39 @@ def gene_features(
     return union_blocks(*blocks)
 
 
+def gene_block_sums(
+    rows: DataFrame,
+    bodies: DataFrame,
+    k: int,
+    cells: Sequence[str],
+    coordinates: DataFrame | None = None,
+    dims: int = 2,
+    vocab: DataFrame | None = None,
+    spread: bool = False,
+) -> DataFrame:
+    """Of every block and feature of `gene_features`: entries, sum and largest value.
+
+    Rows are counted by target and by cell first; a target's count meets its
+    spectrum, a cell's its coordinates, and no row is repeated for its entries.
+    """
+    body = kmers.kmer_frequencies(bodies, ["target"], "seq", k, vocab, spread)
+    uses = rows.groupBy("target").agg(F.count(F.lit(1)).alias("_c"))
+    met = kmer_block(uses, ["_c"], "target", body, "body")
+    distance = F.coalesce(F.col("distance").cast("double"), F.lit(-1.0))
+    of_cell = rows.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("_c"), F.sum(distance).alias("_total"), F.max(distance).alias("_top")
+    )
+    met = met.unionByName(one_hot_block(of_cell, ["_c"], "cell", F.col("cell"), cells))
+    if coordinates is not None:
+        met = met.unionByName(vector_block(of_cell, ["_c"], "cell", coordinates, "coord", dims))
+    sums = met.groupBy("block", "feature").agg(
+        F.sum("_c").alias("n"), F.sum(F.col("value") * F.col("_c")).alias("total"), F.max("value").alias("top")
+    )
+    far = of_cell.agg(F.sum("_c").alias("n"), F.sum("_total").alias("total"), F.max("_top").alias("top"))
+    far = far.where(F.col("n") > 0).select(F.lit("distance").alias("block"), F.lit("distance").alias("feature"), "n", "total", "top")
+    return sums.unionByName(far)
+
+
 def variances(long: DataFrame, rows: Column) -> DataFrame:
     """Population variance per feature over ``rows`` rows, absent entries being zeros."""
     per = long.groupBy("feature").agg(
