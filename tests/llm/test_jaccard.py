@@ -64,6 +64,24 @@ def test_large_family_of_near_copies(spark, monkeypatch):
     assert got(df) == brute(rows)
 
 
+def test_rounds_read_the_texts_once(spark, monkeypatch):
+    """Rounds for large keys take the sets of candidates from one table, and end when they join no more."""
+    monkeypatch.setattr(jaccard, "LARGE", 8)
+    monkeypatch.setattr(jaccard, "PAIRS", 0)
+    made, rounds = [], []
+    sets_of, fellows = jaccard._Join.sets_of, jaccard._Join.fellows
+    monkeypatch.setattr(jaccard._Join, "sets_of", lambda *x: made.append(1) or sets_of(*x))
+    monkeypatch.setattr(jaccard._Join, "fellows", lambda *x: rounds.append(1) or fellows(*x))
+    rng = random.Random(6)
+    rows = family(rng, 60, 60, 4, 0)
+    # Sets that share rare shingles and are not alike: no round joins them.
+    shared = " ".join(f"s{k}" for k in range(6))
+    rows += [(500 + k, shared + " " + " ".join(f"u{rng.randint(0, 9)}" for _ in range(30))) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got(df) == brute(rows)
+    assert len(made) == 1 and 1 <= len(rounds) < jaccard.ROUNDS
+
+
 def test_other_similarity(spark):
     rows = family(random.Random(9), 40, 15, 6, 0)
     df = spark.createDataFrame(rows, "doc_id long, text string")
