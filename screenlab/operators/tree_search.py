@@ -119,14 +119,20 @@ def grow(rows: DataFrame, fits: Sequence[Fit], depth: int, width: int, size: int
             total: dict[tuple[int, int], np.ndarray] = {}
             for pdf in batches:
                 for o, bins, y, folds in _parts(pdf):
+                    mine = folds != o
+                    bins, y, folds = bins[mine], y[mine], folds[mine]
+                    used: dict[str, tuple[np.ndarray, np.ndarray]] = {}
                     for k, inner, tree in heads.get(o, ()):
-                        use = (folds != o) & (folds != str(inner))
-                        b, own = bins[use], y[use]
+                        if str(inner) not in used:
+                            use = folds != str(inner)
+                            used[str(inner)] = bins[use], y[use]
+                        b, own = used[str(inner)]
                         at = tree.nodes(b)
-                        for node in np.unique(at[at >= first]).tolist():
-                            here = at == node
-                            slot = (own[here, None] * width + np.arange(width)) * size + b[here]
-                            hist = np.bincount(slot.ravel(), minlength=2 * width * size)
+                        here = at >= first
+                        nodes, nth = np.unique(at[here], return_inverse=True)
+                        slot = ((2 * nth + own[here])[:, None] * width + np.arange(width)) * size + b[here]
+                        hists = np.bincount(slot.ravel(), minlength=len(nodes) * 2 * width * size)
+                        for node, hist in zip(nodes.tolist(), hists.reshape(len(nodes), 2 * width * size), strict=True):
                             total[k, node] = total.get((k, node), 0) + hist
             yield pd.DataFrame(
                 {"k": [k for k, _ in total], "node": [x for _, x in total], "h": [h.tobytes() for h in total.values()]}
@@ -156,21 +162,33 @@ def grow(rows: DataFrame, fits: Sequence[Fit], depth: int, width: int, size: int
     return trees
 
 
+def alike(trees: dict[Fit, Grown]) -> list[list[Fit]]:
+    """Fits with the same rows and cuts: one walk through the tree of the first tells for all."""
+    out: dict[tuple, list[Fit]] = defaultdict(list)
+    for f, t in trees.items():
+        out[(f.outer, f.inner, *sorted((n, k, t.cut[n]) for n, k in t.feature.items()))].append(f)
+    return list(out.values())
+
+
 def held_counts(rows: DataFrame, trees: dict[Fit, Grown]) -> dict[Fit, dict[int, tuple[int, int]]]:
     """Negatives and positives of each fit's inner fold in each leaf of its tree."""
-    fits = list(trees)
-    by = defaultdict(list)
-    for k, f in enumerate(fits):
-        by[f.outer].append((k, f.inner, trees[f]))
+    shared = alike(trees)
+    by = defaultdict(lambda: defaultdict(list))
+    for k, same in enumerate(shared):
+        by[same[0].outer][str(same[0].inner)].append((k, trees[same[0]]))
 
-    def counted(batches: Iterator[pd.DataFrame], by=dict(by)) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pd.DataFrame], by={o: dict(x) for o, x in by.items()}) -> Iterator[pd.DataFrame]:
         total: dict[tuple[int, int], np.ndarray] = defaultdict(lambda: np.zeros(2, np.int64))
         for pdf in batches:
             for o, bins, y, folds in _parts(pdf):
-                for k, inner, tree in by.get(o, ()):
-                    use = folds == str(inner)
-                    for node, label in zip(tree.nodes(bins[use]).tolist(), y[use].tolist(), strict=True):
-                        total[k, node][label] += 1
+                for inner, heads in by.get(o, {}).items():
+                    use = folds == inner
+                    b, own = bins[use], y[use]
+                    for k, tree in heads:
+                        nodes, nth = np.unique(tree.nodes(b), return_inverse=True)
+                        counts = np.bincount(2 * nth + own, minlength=2 * len(nodes)).reshape(-1, 2)
+                        for node, count in zip(nodes.tolist(), counts, strict=True):
+                            total[k, node] += count
         yield pd.DataFrame(
             [(k, node, int(x[0]), int(x[1])) for (k, node), x in total.items()], columns=["k", "node", "a", "b"]
         ).astype("int64")
@@ -178,7 +196,8 @@ def held_counts(rows: DataFrame, trees: dict[Fit, Grown]) -> dict[Fit, dict[int,
     found = rows.select("_o", "_f", "_y", "_b").mapInPandas(counted, "k long, node long, a long, b long")
     out: dict[Fit, dict[int, tuple[int, int]]] = defaultdict(dict)
     for r in found.groupBy("k", "node").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect():
-        out[fits[r.k]][r.node] = (r.a, r.b)
+        for f in shared[r.k]:
+            out[f][r.node] = (r.a, r.b)
     return out
 
 

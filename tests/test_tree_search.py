@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
 
-from screenlab.operators.tree_search import Fit, average_precision, binned, grow, nested_search
+from screenlab.operators.tree_search import Fit, alike, average_precision, binned, grow, held_counts, nested_search
 
 
 def plain_tree(x, y, edges, depth, least, positive=None):
@@ -96,6 +96,24 @@ def test_search_takes_the_best_setting_of_the_inner_folds(data):
                 assert np.isclose(got[o, r[0]], tree(np.array(r[4])))
 
 
+def test_trees_that_are_alike_are_walked_once(data):
+    df, rows = data
+    edges = {o: [[-1.0, -0.3, 0.0, 0.4, 1.1]] * 3 for o in "ABC"}
+    kept = binned(df, "outer", "cell", edges, ["id"])
+    fits = [Fit(o, i, m) for o in "ABC" for i in "ABC" if i != o for m in (1, 2, 20)]
+    trees = grow(kept, fits, 2, 3, 6)
+    same = alike(trees)
+    assert sorted(f for g in same for f in g) == sorted(fits) and len(same) < len(fits)
+    got = held_counts(kept, trees)
+    for f in fits:
+        want = {}
+        for _, o, c, y, v in rows:
+            if o == f.outer and c == f.inner:
+                code = np.array([[np.searchsorted(edges[o][k], v[k], "left") for k in range(3)]])
+                want.setdefault(int(trees[f].nodes(code)[0]), [0, 0])[y] += 1
+        assert got[f] == {n: tuple(x) for n, x in want.items()}
+
+
 def test_average_precision_by_hand():
     assert average_precision([(0.9, 0, 1), (0.5, 1, 1), (0.1, 2, 0)]) == pytest.approx((1 + 2 / 3) / 2)
     assert average_precision([(0.9, 0, 1)]) is None and average_precision([]) is None
