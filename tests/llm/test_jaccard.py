@@ -82,6 +82,41 @@ def test_rounds_read_the_texts_once(spark, monkeypatch):
     assert len(made) == 1 and 1 <= len(rounds) < jaccard.ROUNDS
 
 
+def test_few_pairs_of_a_family_are_compared(spark, monkeypatch):
+    """Of a family without a text that all are like, bits leave out nearly all pairs that are not alike."""
+    monkeypatch.setattr(jaccard, "BLOCK", 40, raising=False)
+    compared = []
+    alike = jaccard._Join.alike
+
+    def counted(join, sets, pairs):
+        out = alike(join, sets, pairs)
+        compared.append((out.filter("NOT linked").count(), sets.count()))
+        return out
+
+    monkeypatch.setattr(jaccard._Join, "alike", counted)
+    rng = random.Random(3)
+    base = [f"b{rng.randint(0, 10**6)}" for _ in range(150)]
+    rows = []
+    for k in range(300):
+        words = base[:]
+        for at in rng.sample(range(150), rng.choice([2, 3, 3, 3])):
+            words[at] = f"e{rng.randint(0, 10**6)}"
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got(df) == brute(rows)
+    # Rounds hold a set against FELLOWS others; what comes after them is less than that.
+    last, sets = compared[-1]
+    assert sets == 300 and last <= jaccard.FELLOWS * sets
+
+
+def test_sets_have_as_many_bits_as_others_of_their_band():
+    x = jaccard.shingles(" ".join(f"w{k}" for k in range(154)), jaccard._Known())
+    for band in (0, 20, 22, 23, 60):
+        m = jaccard.marks(x, band, 80)
+        assert len(m) in (1, 8, 16, 256) and int(jaccard.np.bitwise_count(m.view(jaccard.np.uint64)).sum()) <= len(x)
+    assert len(jaccard.marks(x[:140], 22, 80)) == len(jaccard.marks(x, 22, 80))
+
+
 def test_other_similarity(spark):
     rows = family(random.Random(9), 40, 15, 6, 0)
     df = spark.createDataFrame(rows, "doc_id long, text string")
