@@ -1,13 +1,14 @@
-"""Exact k nearest neighbours without pairing every row with every other.
+"""Exact k nearest neighbours without moving each row to every other.
 
 The corpus is cut into cells around a few pivot vectors.  From the cells' sizes
 and radii each query gets a distance within which its k neighbours must lie, and
 by the triangle inequality only the cells that reach into that distance are
-searched.  Neighbouring small cells share a bundle, which gets a query once however
-many of its cells are wanted.  A bundle is searched in pieces of bounded size, and so
-are its queries, so neither a dense cell nor a popular one becomes one large task.
-Each piece returns its k best per query; no pair leaves a task.  Inside a task a
-block of queries is compared at a time, whatever ties and copies there are.
+searched.  Neighbouring small cells share a bundle.  The rows of a bundle are packed
+into blocks of bounded size, one row of bytes each, and written once; blocks of
+queries meet blocks of the corpus in a cartesian product, which reads these files
+again and shuffles no vector.  A task keeps the k best of a block of queries over
+all blocks of its part of the corpus, so what is shuffled is k rows a query and part.
+Inside a task some distances are held at once, whatever ties and copies there are.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,9 +27,10 @@ from screenlab.operators.ordered import row_numbers
 from screenlab.session import cut_lineage
 
 PIVOTS = 64
-#: Rows that a task holds of the corpus, and of the queries, at most on average; a vector
-#: travels once for each piece of the other side.
-PIECE = 16384
+#: Rows of a block at most on average.
+PIECE = 4096
+#: Blocks of a part of the corpus, or of the queries; a task meets one part of each.
+HEAPED = 16
 #: Distances that a task holds at once.
 HELD = 1 << 21
 
@@ -81,6 +84,123 @@ def _bundles(points: np.ndarray, sizes: np.ndarray, piece: int) -> np.ndarray:
     return out
 
 
+def _packed(
+    rows: DataFrame, points: np.ndarray, cells: np.ndarray, sizes: np.ndarray, radii: np.ndarray, need: int, piece: int, slack: float
+) -> DataFrame:
+    """(block, bundle, wanted, n, ids, vecs, within): rows(id, vec) as blocks of about ``piece`` rows of a bundle, written.
+
+    ``within`` has a distance for each row that holds ``need`` corpus rows, ``wanted`` the
+    bundles that any of the rows has to be compared with.
+    """
+    bundle = _bundles(points[cells], sizes, piece)
+    of = np.zeros(len(points), np.int32)
+    of[cells] = bundle
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.assign(bundle=of[_distances(_matrix(pdf["vec"]), points).argmin(1)])
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        x = _matrix(pdf["vec"])
+        within, wanted = np.empty(len(x)), np.zeros(int(bundle.max()) + 1, bool)
+        for at in range(0, len(x), 256):
+            to = _distances(x[at : at + 256], points)[:, cells]
+            far = to + radii
+            order = np.argsort(far, axis=1)
+            enough = np.cumsum(sizes[order], axis=1) >= need
+            last = np.where(enough.any(1), enough.argmax(1), len(cells) - 1)
+            within[at : at + 256] = np.take_along_axis(far, order, 1)[np.arange(len(to)), last] + slack
+            wanted[bundle[(to - radii <= within[at : at + 256, None]).any(0)]] = True
+        return pd.DataFrame(
+            {
+                "block": [f"{pdf['bundle'].iloc[0]}.{pdf['part'].iloc[0]}"],
+                "bundle": pdf["bundle"].iloc[:1].to_numpy(),
+                "wanted": [np.flatnonzero(wanted).astype(np.int32)],
+                "n": [len(x)],
+                "ids": [pdf["id"].to_numpy(np.int64).tobytes()],
+                "vecs": [x.tobytes()],
+                "within": [within.tobytes()],
+            }
+        )
+
+    located = rows.mapInPandas(placed, f"{_ddl(rows)}, bundle int")
+    held = {r.bundle: r.n for r in located.groupBy("bundle").agg(F.count(F.lit(1)).alias("n")).collect()}
+    blocks = [(b, max(1, math.ceil(n / piece))) for b, n in held.items()]
+    total = sum(n for _, n in blocks)
+    # Fewer blocks still give each core some pairs of parts.
+    few = math.ceil(math.sqrt(4 * rows.sparkSession.sparkContext.defaultParallelism))
+    parts = max(1, math.ceil(total / HEAPED), min(total, few))
+    plan = F.create_map(*[F.lit(x) for pair in blocks or [(0, 1)] for x in pair])
+    part = F.pmod(F.xxhash64("id"), plan[F.col("bundle")])
+    out = located.withColumn("part", part.cast("int")).repartition(parts, "bundle", "part").groupBy("bundle", "part")
+    kinds = "block string, bundle int, wanted array<int>, n int, ids binary, vecs binary, within binary"
+    return cut_lineage(out.applyInPandas(pack, kinds))
+
+
+class _Best:
+    """The k best of the rows of a block so far."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, within: np.ndarray, k: int, exclude_self: bool, digits: int, slack: float) -> None:
+        self.ids, self.x, self.limit = ids, x, within.copy()
+        self.k, self.other, self.digits, self.slack = k, exclude_self, digits, slack
+        self.distance = np.full((len(x), k), np.inf)
+        self.neighbour = np.full((len(x), k), np.iinfo(np.int64).max)
+
+    def meet(self, mine: np.ndarray, ids: np.ndarray, y: np.ndarray, middle: np.ndarray) -> None:
+        """Compare the rows ``mine`` with the rows of a block."""
+        a, b = self.x[mine] - middle, y - middle
+        aa, bb = (a * a).sum(1), (b * b).sum(1)
+        largest = max(aa.max(), bb.max())
+        # In single precision to a known error; what may be near is compared again in double.
+        kind = np.float32 if largest < 1e30 else np.float64
+        error = 4 * (a.shape[1] + 8) * float(np.finfo(kind).eps) * largest
+        a = np.column_stack([-2 * a, aa, np.ones(len(a))]).astype(kind)
+        b = np.column_stack([b, np.ones(len(b)), bb]).astype(kind)
+        need = self.k + self.other
+        block = max(1, HELD // len(b))
+        for at in range(0, len(a), block):
+            here = mine[at : at + block]
+            rough = a[at : at + block] @ b.T
+            limit = self.limit[here]
+            if len(b) >= need and not np.isfinite(self.distance[here, -1]).all():
+                some = rough[:, : max(512, 8 * need)]
+                nth = np.partition(some, need - 1, axis=1)[:, need - 1].astype(np.float64)
+                limit = np.minimum(limit, np.sqrt(np.maximum(nth + error, 0.0)) + self.slack)
+            most = (limit * limit + error).astype(kind) * (1 + np.finfo(kind).eps)
+            rows, cols = np.divmod(np.flatnonzero(rough <= most[:, None]), len(b))
+            # Many copies may be within the limit; their vectors are laid side by side in parts.
+            square = np.empty(len(rows))
+            step = max(1, HELD // y.shape[1])
+            for i in range(0, len(rows), step):
+                square[i : i + step] = ((self.x[here[rows[i : i + step]]] - y[cols[i : i + step]]) ** 2).sum(1)
+            exact = np.round(np.sqrt(square), self.digits)
+            rows, to = here[rows], ids[cols]
+            if self.other:
+                keep = self.ids[rows] != to
+                rows, to, exact = rows[keep], to[keep], exact[keep]
+            self._add(rows, to, exact)
+
+    def _add(self, rows: np.ndarray, to: np.ndarray, exact: np.ndarray) -> None:
+        touched = np.unique(rows)
+        rows = np.concatenate([np.repeat(touched, self.k), rows])
+        to = np.concatenate([self.neighbour[touched].ravel(), to])
+        exact = np.concatenate([self.distance[touched].ravel(), exact])
+        # by query, distance and id
+        order = np.lexsort((to, exact, rows))
+        rows, to, exact = rows[order], to[order], exact[order]
+        nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        best = nth < self.k
+        self.distance[rows[best], nth[best]], self.neighbour[rows[best], nth[best]] = exact[best], to[best]
+        self.limit[touched] = np.minimum(self.limit[touched], self.distance[touched, -1] + self.slack)
+
+    def batch(self) -> pa.RecordBatch:
+        found = np.isfinite(self.distance)
+        ids = np.repeat(self.ids, self.k).reshape(found.shape)
+        return pa.record_batch([ids[found], self.neighbour[found], self.distance[found]], ["id", "neighbour", "distance"])
+
+
 def knn(
     queries: DataFrame,
     corpus: DataFrame,
@@ -95,101 +215,48 @@ def knn(
     queries(id, vec) and corpus(id, vec).  Distances are rounded to ``digits``;
     equal ones are placed by id.
     """
+    same = queries is corpus
     queries, corpus = queries.select("id", "vec"), corpus.select("id", "vec")
     points = _pivots(corpus, pivots)
     if len(points) == 0:
         raise ValueError("an empty corpus has no neighbours")
-    located = _assigned(corpus, points)
     stats = (
-        located.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("radius"))
+        _assigned(corpus, points).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("radius"))
     ).collect()  # at most one row per pivot
     cells = np.array([s.cell for s in stats], dtype=np.int64)
     sizes = np.array([s.n for s in stats], dtype=np.int64)
     radii = np.array([s.radius for s in stats], dtype=np.float64)
     bundle = _bundles(points[cells], sizes, piece)
-    need = k + (1 if exclude_self else 0)
     # room for the rounding of the distances to pivots
     slack = 1e-6 * (1.0 + float(np.abs(points).max()) * math.sqrt(points.shape[1]))
-
-    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                some = pdf.iloc[at : at + 256]
-                to = _distances(_matrix(some["vec"]), points)[:, cells]
-                far = to + radii
-                order = np.argsort(far, axis=1)
-                enough = np.cumsum(sizes[order], axis=1) >= need
-                last = np.where(enough.any(1), enough.argmax(1), len(cells) - 1)
-                within = np.take_along_axis(far, order, 1)[np.arange(len(some)), last]
-                wanted = np.zeros((len(some), int(bundle.max()) + 1), bool)
-                rows, hits = np.nonzero(to - radii <= within[:, None] + slack)
-                wanted[rows, bundle[hits]] = True
-                rows, hits = np.nonzero(wanted)
-                out = some.iloc[rows].reset_index(drop=True)
-                yield out.assign(bundle=hits.astype("int32"))
-
-    wanted = queries.mapInPandas(candidates, f"{_ddl(queries)}, bundle int")
-    asked = {r.bundle: r.n for r in wanted.groupBy("bundle").agg(F.count(F.lit(1)).alias("n")).collect()}
-    held = np.bincount(bundle, weights=sizes)
-    parts = [
-        (b, max(1, math.ceil(n / piece)), max(1, math.ceil(asked.get(b, 0) / piece))) for b, n in enumerate(held.tolist())
-    ]
-    plan = queries.sparkSession.createDataFrame(parts, "bundle int, cn int, qn int")
-    of = queries.sparkSession.createDataFrame(
-        list(zip(cells.tolist(), bundle.tolist(), strict=True)), "cell int, bundle int"
-    )
-    left = wanted.join(plan, "bundle").select(
-        "bundle",
-        F.pmod(F.xxhash64("id"), "qn").cast("int").alias("qp"),
-        F.explode(F.sequence(F.lit(0), F.col("cn") - 1)).alias("cp"),
-        "id",
-        "vec",
-    )
-    right = located.join(of.join(plan, "bundle"), "cell").select(
-        "bundle",
-        F.explode(F.sequence(F.lit(0), F.col("qn") - 1)).alias("qp"),
-        F.pmod(F.xxhash64("id"), "cn").cast("int").alias("cp"),
-        "id",
-        "vec",
-    )
-
-    def search(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": [], "neighbour": [], "distance": []})
-        found = [empty.astype({"id": "int64", "neighbour": "int64", "distance": "float64"})]
-        if not len(q) or not len(c):
-            return found[0]
-        c = c.sort_values("id")
-        b, ids = _matrix(c["vec"]), c["id"].to_numpy()
-        keep = min(need, len(c))
-        block = max(1, HELD // (len(c) + 1))
-        for at in range(0, len(q), block):
-            a, mine = _matrix(q["vec"][at : at + block]), q["id"].to_numpy()[at : at + block]
-            rough = _distances(a, b)
-            limit = np.partition(rough, keep - 1, axis=1)[:, keep - 1] + slack
-            rows, cols = np.nonzero(rough <= limit[:, None])
-            # Many copies may be within the limit; their vectors are laid side by side in parts.
-            square = np.empty(len(rows))
-            step = max(1, HELD // b.shape[1])
-            for x in range(0, len(rows), step):
-                square[x : x + step] = ((a[rows[x : x + step]] - b[cols[x : x + step]]) ** 2).sum(1)
-            exact = np.round(np.sqrt(square), digits)
-            if exclude_self:
-                other = mine[rows] != ids[cols]
-                rows, cols, exact = rows[other], cols[other], exact[other]
-            # by query, distance and id; ids are in order
-            order = np.lexsort((cols, exact, rows))
-            rows, cols, exact = rows[order], cols[order], exact[order]
-            nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
-            rows, cols, exact = rows[nth < k], cols[nth < k], exact[nth < k]
-            found.append(pd.DataFrame({"id": mine[rows], "neighbour": ids[cols], "distance": exact}))
-        return pd.concat(found[1:])
-
-    keys = ["bundle", "qp", "cp"]
-    found = (
-        left.groupBy(*keys)
-        .cogroup(right.groupBy(*keys))
-        .applyInPandas(search, "id long, neighbour long, distance double")
-    )
+    right = _packed(corpus, points, cells, sizes, radii, k + exclude_self, piece, slack)
+    left = right if same else _packed(queries, points, cells, sizes, radii, k + exclude_self, piece, slack)
+    right = right.select(F.col("bundle").alias("r_bundle"), F.col("ids").alias("r_ids"), F.col("vecs").alias("r_vecs"))
+    pairs = left.drop("bundle").join(right.hint("shuffle_replicate_nl"), F.array_contains("wanted", F.col("r_bundle")))
+    width, middle = points.shape[1], points.mean(0)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, best = None, None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                this = {c: batch.column(c)[row] for c in batch.schema.names}
+                if this["block"].as_py() != name:
+                    if best is not None:
+                        yield best.batch()
+                    name = this["block"].as_py()
+                    x = np.frombuffer(this["vecs"].as_buffer()).reshape(-1, width).copy()
+                    ids = np.frombuffer(this["ids"].as_buffer(), np.int64).copy()
+                    best = _Best(ids, x, np.frombuffer(this["within"].as_buffer()), k, exclude_self, digits, slack)
+                    to = _distances(x, points)[:, cells] - radii
+                y = np.frombuffer(this["r_vecs"].as_buffer()).reshape(-1, width)
+                near = to[:, bundle == this["r_bundle"].as_py()] <= best.limit[:, None] + slack
+                mine = np.flatnonzero(near.any(1))
+                if len(mine):
+                    best.meet(mine, np.frombuffer(this["r_ids"].as_buffer(), np.int64), y, middle)
+        if best is not None:
+            yield best.batch()
+
+    found = pairs.mapInArrow(search, "id long, neighbour long, distance double")
     order = Window.partitionBy("id").orderBy("distance", "neighbour")
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 

@@ -239,3 +239,21 @@ def test_neighbours_among_many_copies(spark):
         got.setdefault(r.id, []).append(r.neighbour)
     assert all(got[i] == [j for j in range(4) if j != i][:3] for i in range(300))
     assert len(got) == 320 and all(len(x) == 3 for x in got.values())
+
+
+def test_neighbours_shuffle_no_vector_per_block(spark):
+    """Four times the rows move four times the bytes, not sixteen times, however many blocks there are."""
+    def written():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty()
+        seen = context.statusStore().executorList(False)
+        return sum(seen.apply(i).totalShuffleWrite() for i in range(seen.size()))
+
+    rng, moved = np.random.default_rng(5), []
+    for n in (1000, 4000):
+        rows = [(i, v) for i, v in enumerate(rng.normal(size=(n, 32)).tolist())]
+        df = spark.createDataFrame(rows, "id long, vec array<double>")
+        before = written()
+        assert neighbours.knn(df, df, 1, piece=50).count() == n
+        moved.append(written() - before)
+    assert moved[1] < 6 * moved[0], moved
