@@ -17,12 +17,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from screenlab.operators.boosting import Tree, bin_edges
-from screenlab.session import cut_lineage
+from screenlab.operators.boosting import Tree
+from screenlab.session import written
 
 
 class Fit(NamedTuple):
@@ -70,32 +71,77 @@ def best_cut(hist: np.ndarray, least: int, positive: float) -> tuple[int, int] |
     return tuple(int(x) for x in np.unravel_index(gain.argmax(), gain.shape))
 
 
+def _values(design: DataFrame) -> Column:
+    """The features as an array, whether they are one or a vector."""
+    return F.col("features") if dict(design.dtypes)["features"].startswith("array") else vector_to_array("features")
+
+
+def outer_edges(design: DataFrame, outer: str, fold: str, folds: Sequence[str], width: int, bins: int) -> dict[str, list[list[float]]]:
+    """`bin_edges` of the training rows of every outer fold, in one pass."""
+    shares = F.array(*[F.lit(k / bins) for k in range(1, bins)])
+    rows = design.where(F.col(outer).isin(*folds) & ~F.col(fold).eqNullSafe(F.col(outer)))
+    rows = rows.select(F.col(outer).cast("string").alias("_o"), _values(design).alias("_x"))
+    cuts = [F.percentile_approx(F.get("_x", F.lit(k)), shares, 10_000).alias(f"f{k}") for k in range(width)]
+    found = {r["_o"]: [sorted(set(r[f"f{k}"] or [])) for k in range(width)] for r in rows.groupBy("_o").agg(*cuts).collect()}
+    return {o: found.get(o, [[] for _ in range(width)]) for o in folds}
+
+
 def binned(design: DataFrame, outer: str, fold: str, edges: dict[str, list[list[float]]], keep: Sequence[str]) -> DataFrame:
-    """Rows with one byte a feature, by the edges of their outer fold; written, as every level reads them."""
-    names = [f"`{c}` {design.schema[c].dataType.simpleString()}" for c in keep]
+    """Rows with one byte a feature, by the edges of their outer fold; written, as every level reads them.
 
-    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for o, part in pdf.groupby("_o"):
-                x = np.stack(part["_x"].to_list())
-                b = np.stack([np.searchsorted(e, x[:, k], "left").astype(np.uint8) for k, e in enumerate(edges[o])], 1)
-                yield part.drop(columns="_x").assign(_b=[r.tobytes() for r in b])
+    Many rows of an outer fold and a fold are packed into one: the labels, a byte each, and
+    the bins, feature by feature. Rows held out have their ``keep`` columns as arrays, which
+    no other rows need.
+    """
+    names = [f"`{c}` array<{design.schema[c].dataType.simpleString()}>" for c in keep]
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            y = batch.column("_y").to_numpy(zero_copy_only=False).astype(np.uint8)
+            pairs = pd.MultiIndex.from_arrays([batch.column(c).to_pandas().astype(str) for c in ("_o", "_f")])
+            codes, kinds = pd.factorize(pairs)
+            kept: dict[str, list] = {c: [] for c in keep}
+            out: list[tuple[str, str, bytes, bytes]] = []
+            for code, (o, f) in enumerate(kinds):
+                at = np.flatnonzero(codes == code)
+                b = np.stack([np.searchsorted(e, x[at, k], "left").astype(np.uint8) for k, e in enumerate(edges[o])])
+                out.append((o, f, y[at].tobytes(), b.tobytes()))
+                for c in keep:
+                    kept[c].append(batch.column(c).take(pa.array(at)).to_pylist() if o == f else None)
+            arrays = [pa.array(kept[c], pa.list_(batch.column(c).type)) for c in keep]
+            for part, kind in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.binary(), pa.binary()), strict=True):
+                arrays.append(pa.array(part, kind))
+            yield pa.record_batch(arrays, [*keep, "_o", "_f", "_y", "_b"])
 
     rows = design.select(
         *keep,
         F.col(outer).cast("string").alias("_o"),
         F.col(fold).cast("string").alias("_f"),
         F.col("label").cast("int").alias("_y"),
-        vector_to_array("features").alias("_x"),
+        _values(design).alias("_x"),
     )
-    return cut_lineage(rows.mapInPandas(coded, ", ".join([*names, "_o string", "_f string", "_y int", "_b binary"])))
+    return written(rows.mapInArrow(coded, ", ".join([*names, "_o string", "_f string", "_y binary", "_b binary"])))
 
 
-def _parts(pdf: pd.DataFrame) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
-    """(outer, bins, labels, folds) of a batch."""
-    for o, part in pdf.groupby("_o"):
-        bins = np.frombuffer(b"".join(part["_b"]), np.uint8).reshape(len(part), -1)
-        yield o, bins, part["_y"].to_numpy(), part["_f"].to_numpy().astype(str)
+#: Rows whose bins are looked at together.
+TOGETHER = 1 << 16
+
+
+def _bins(packed: bytes, rows: int) -> np.ndarray:
+    """The bins of a packed row, a row a vector."""
+    return np.frombuffer(packed, np.uint8).reshape(-1, rows).T
+
+
+def _parts(pdf: pd.DataFrame) -> Iterator[tuple[str, str, np.ndarray, np.ndarray]]:
+    """(outer, fold, bins, labels) of the packed rows of a batch, many rows at once."""
+    for (o, f), part in pdf.groupby(["_o", "_f"]):
+        ends = part["_y"].str.len().cumsum() // TOGETHER
+        for _, some in part.groupby(ends):
+            bins = np.concatenate([_bins(b, len(y)) for b, y in zip(some["_b"], some["_y"], strict=True)])
+            yield o, f, bins, np.frombuffer(b"".join(some["_y"]), np.uint8).astype(np.int64)
 
 
 def grow(rows: DataFrame, fits: Sequence[Fit], depth: int, width: int, size: int) -> dict[Fit, Grown]:
@@ -118,19 +164,14 @@ def grow(rows: DataFrame, fits: Sequence[Fit], depth: int, width: int, size: int
         def counted(batches: Iterator[pd.DataFrame], heads=dict(heads), first=first, n=len(shared)) -> Iterator[pd.DataFrame]:
             total: dict[tuple[int, int], np.ndarray] = {}
             for pdf in batches:
-                for o, bins, y, folds in _parts(pdf):
-                    mine = folds != o
-                    bins, y, folds = bins[mine], y[mine], folds[mine]
-                    used: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-                    for k, inner, tree in heads.get(o, ()):
-                        if str(inner) not in used:
-                            use = folds != str(inner)
-                            used[str(inner)] = bins[use], y[use]
-                        b, own = used[str(inner)]
-                        at = tree.nodes(b)
+                for o, fold, bins, y in _parts(pdf):
+                    for k, inner, tree in heads.get(o, ()) if fold != o else ():
+                        if fold == str(inner):
+                            continue
+                        at = tree.nodes(bins)
                         here = at >= first
                         nodes, nth = np.unique(at[here], return_inverse=True)
-                        slot = ((2 * nth + own[here])[:, None] * width + np.arange(width)) * size + b[here]
+                        slot = ((2 * nth + y[here])[:, None] * width + np.arange(width)) * size + bins[here]
                         hists = np.bincount(slot.ravel(), minlength=len(nodes) * 2 * width * size)
                         for node, hist in zip(nodes.tolist(), hists.reshape(len(nodes), 2 * width * size), strict=True):
                             total[k, node] = total.get((k, node), 0) + hist
@@ -180,15 +221,12 @@ def held_counts(rows: DataFrame, trees: dict[Fit, Grown]) -> dict[Fit, dict[int,
     def counted(batches: Iterator[pd.DataFrame], by={o: dict(x) for o, x in by.items()}) -> Iterator[pd.DataFrame]:
         total: dict[tuple[int, int], np.ndarray] = defaultdict(lambda: np.zeros(2, np.int64))
         for pdf in batches:
-            for o, bins, y, folds in _parts(pdf):
-                for inner, heads in by.get(o, {}).items():
-                    use = folds == inner
-                    b, own = bins[use], y[use]
-                    for k, tree in heads:
-                        nodes, nth = np.unique(tree.nodes(b), return_inverse=True)
-                        counts = np.bincount(2 * nth + own, minlength=2 * len(nodes)).reshape(-1, 2)
-                        for node, count in zip(nodes.tolist(), counts, strict=True):
-                            total[k, node] += count
+            for o, fold, bins, y in _parts(pdf):
+                for k, tree in by.get(o, {}).get(fold, ()):
+                    nodes, nth = np.unique(tree.nodes(bins), return_inverse=True)
+                    counts = np.bincount(2 * nth + y, minlength=2 * len(nodes)).reshape(-1, 2)
+                    for node, count in zip(nodes.tolist(), counts, strict=True):
+                        total[k, node] += count
         yield pd.DataFrame(
             [(k, node, int(x[0]), int(x[1])) for (k, node), x in total.items()], columns=["k", "node", "a", "b"]
         ).astype("int64")
@@ -230,8 +268,8 @@ def nested_search(
     inner folds that have both labels; of equal ones the first trial wins. The
     predictions have the ``keep`` columns, ``outer`` and ``score``.
     """
-    width = len(design.select(vector_to_array("features")).first()[0])
-    edges = {o: bin_edges(design.where((F.col(outer) == o) & (F.col(fold) != o)), width, bins) for o in folds}
+    width = len(design.select(_values(design)).first()[0])
+    edges = outer_edges(design, outer, fold, folds, width, bins)
     size = max(len(e) for per in edges.values() for e in per) + 1
     rows = binned(design, outer, fold, edges, keep)
     depth = max(t["maxDepth"] for t in trials)
@@ -255,15 +293,23 @@ def nested_search(
         best[o] = (trials[at], float(scores[at]))
     chosen = {o: Fit(o, None, t["minInstancesPerNode"]) for o, (t, _) in best.items()}
     final = grow(rows, list(chosen.values()), depth, width, size)
-    share = {o: final[f].shares(best[o][0]["maxDepth"]) for o, f in chosen.items()}
+    scores_of = {}
+    for o, f in chosen.items():
+        share = final[f].shares(best[o][0]["maxDepth"])
+        nodes = np.array(sorted(share), np.int64)
+        scores_of[o] = final[f], nodes, np.array([share[n][1] for n in nodes.tolist()])
+
+    def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each, names = [], []
+            for o, y, b in zip(*(batch.column(c).to_pylist() for c in ("_o", "_y", "_b")), strict=True):
+                tree, nodes, scores = scores_of[o]
+                each.append(scores[np.searchsorted(nodes, tree.nodes(_bins(b, len(y))))])
+                names += [o] * len(y)
+            kept = [batch.column(c).flatten() for c in keep]
+            score = np.concatenate([np.zeros(0), *each])
+            yield pa.record_batch([*kept, pa.array(names, pa.string()), score], [*keep, outer, "score"])
 
-    def predicted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for o, part in pdf.groupby("_o"):
-                b = np.frombuffer(b"".join(part["_b"]), np.uint8).reshape(len(part), -1)
-                score = [share[o][n][1] for n in final[chosen[o]].nodes(b).tolist()]
-                yield part[[*keep]].assign(**{outer: o, "score": score})
-
-    names = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
-    out = rows.where(F.col("_o") == F.col("_f")).mapInPandas(predicted, ", ".join([*names, f"`{outer}` string", "score double"]))
-    return out, best
+    names = [f"`{c}` {design.schema[c].dataType.simpleString()}" for c in keep]
+    held_out = rows.where(F.col("_o") == F.col("_f"))
+    return held_out.mapInArrow(predicted, ", ".join([*names, f"`{outer}` string", "score double"])), best

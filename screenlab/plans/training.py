@@ -11,7 +11,7 @@ from screenlab.operators.metrics import ranking_metrics, regression_metrics
 from screenlab.plans import roles
 from screenlab.plans.registry import query, rounded
 from screenlab.plans.sqltext import r
-from screenlab.session import cut_lineage, shared_folder
+from screenlab.session import cut_lineage, shared_folder, written
 
 HELD = "RF"
 NAMES = [f"{o}_{s}" for o in screen.OUTCOMES for s in ("mean", "max", "min", "std")]
@@ -150,14 +150,10 @@ def nested_random_search(spark: SparkSession, sf: str, n_trials: int = TRIALS) -
     """
     space = {"maxDepth": ("int", 2, 5), "minInstancesPerNode": ("int", 1, 50, "log")}
     trials = models.draws(space, n_trials, seed=1)
-    design = None
-    for outer in roles.CELLS:
-        rows = screen.with_outcomes(roles.gene(spark, sf)).join(screen.cross_cell_priors(roles.gene(spark, sf), outer), KEYS)
-        part = models.assembled(rows, NAMES).select(*KEYS, "label", "features", F.lit(outer).alias("outer"))
-        design = part if design is None else design.unionByName(part)
-    out, best = tree_search.nested_search(cut_lineage(design), "outer", "cell", roles.CELLS, trials, [*KEYS, "label"])
+    design = screen.cross_cell_designs(roles.gene(spark, sf), roles.CELLS)
+    out, best = tree_search.nested_search(design, "outer", "cell", roles.CELLS, trials, [*KEYS, "label"])
     table = spark.createDataFrame([(o, repr(t)) for o, (t, _) in best.items()], "outer string, params string")
-    checked = models.require_once(cut_lineage(out.join(table, "outer")), KEYS)
+    checked = models.require_once(written(out.join(table, "outer")), KEYS)
     return ranking_metrics(checked, ["cell", "params"], "score", "label")
 
 

@@ -117,3 +117,37 @@ def test_trees_that_are_alike_are_walked_once(data):
 def test_average_precision_by_hand():
     assert average_precision([(0.9, 0, 1), (0.5, 1, 1), (0.1, 2, 0)]) == pytest.approx((1 + 2 / 3) / 2)
     assert average_precision([(0.9, 0, 1)]) is None and average_precision([]) is None
+
+
+def test_rows_are_packed_and_only_held_out_ones_keep_columns(data):
+    df, rows = data
+    edges = {o: [[-1.0, -0.3, 0.0, 0.4, 1.1]] * 3 for o in "ABC"}
+    kept = binned(df, "outer", "cell", edges, ["id"]).collect()
+    assert len(kept) <= 4 * 9 and all((r["id"] is None) == (r["_o"] != r["_f"]) for r in kept)
+    assert sum(len(r["_b"]) for r in kept) == 3 * len(rows)
+    assert sorted(i for r in kept for i in r["id"] or ()) == sorted(r[0] for r in rows if r[1] == r[2])
+    for r in kept:
+        if r["_o"] == r["_f"]:
+            of = {x[0]: x for x in rows if x[1] == r["_o"]}
+            want = np.array([np.searchsorted(edges["A"][0], of[i][4], "left") for i in r["id"]], np.uint8)
+            assert bytes(r["_b"]) == want.T.tobytes() and list(r["_y"]) == [of[i][3] for i in r["id"]]
+
+
+def test_designs_of_all_outer_cells_are_the_priors(spark, sf, monkeypatch):
+    """Features made from one row a target equal those joined for each outer cell; only that row is stored."""
+    from screenlab.operators import screen
+    from screenlab.plans import roles
+    from screenlab.plans.training import NAMES
+
+    stored, written = [], screen.written
+    monkeypatch.setattr(screen, "written", lambda df: stored.append(df) or written(df))
+    gene = roles.gene(spark, sf).where("NOT (target % 7 = 3 AND cell IN ('AF', 'RO', 'NO'))")
+    got = screen.cross_cell_designs(gene, roles.CELLS)
+    assert len(stored) == 1 and stored[0].count() == gene.select("target").distinct().count()
+    got = {(r.outer, r.target, r.cell): (r.label, r.features) for r in got.collect()}
+    assert len(got) == 6 * gene.count()
+    labels = {(r.target, r.cell): r.label for r in gene.collect()}
+    for outer in ("AF", "RF"):
+        for r in screen.cross_cell_priors(gene, outer).fillna(0.0, subset=NAMES).collect():
+            label, features = got[outer, r.target, r.cell]
+            assert label == labels[r.target, r.cell] and np.allclose(features, [r[n] for n in NAMES], 0, 1e-12)
