@@ -1,7 +1,9 @@
 import re
+import zlib
 
 import pytest
 
+from screenlab.llm import licences
 from screenlab.llm.licences import fit, scan
 
 LINES = {
@@ -88,3 +90,19 @@ def test_time_follows_the_length_of_a_paragraph(spark, scanner):
         took.append(time.time() - start)
         assert [x["family"] for x in rows[0]["found"]] == ["mit"]
     assert took[1] < 8 * took[0] + 2
+
+
+def test_every_line_of_every_document_teaches_the_unknown_class(spark):
+    """2,000 documents: all their lines are counted, and one held-out line of any of them moves the threshold."""
+    plain = ["The ship left the harbour.", "All of it was in the hold", "Copyright law is a part of it.", "", "a version of the rights"]
+    rows = [(k, "\n".join(plain[: 1 + k % 5])) for k in range(2_000)]
+    docs = spark.createDataFrame([*rows, (-1, None)], "doc_id long, text string").repartition(3)
+    own = fit(docs)
+    found = licences.background(docs, "text", own.vocabulary).collect()
+    want = [x for _, t in rows for x in t.split("\n") if x and "Copyright" not in x]
+    assert sum(r["n"] for r in found) == len(want) and len(found) <= 2 * 3
+    assert own.threshold == 0.5
+    line = next(x for k in range(99) if zlib.crc32((x := f"apache 2.0 x{k}").encode()) % 3 == 1)
+    for at in (1_999,):
+        more = [(k, t + "\n" + line if k == at else t) for k, t in rows]
+        assert fit(spark.createDataFrame(more, "doc_id long, text string")).threshold > 0.55
